@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.types import is_float, is_text, nan_as_null
@@ -42,11 +40,6 @@ def with_keys(df: DataFrame, columns: list[str], prefix: str = "__k") -> tuple[D
     return df.select("*", *keys), names
 
 
-def null_safe(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Equality on all key columns with null equal to null."""
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def quoted(name: str) -> str:
     """A column name safe to pass to ``F.col`` even with dots in it."""
     return "`" + name.replace("`", "``") + "`"

@@ -8,9 +8,9 @@ A key may hold a third of all rows, so the table is never simply shuffled by key
   broadcast, and only the rows of the remaining keys are shuffled.  Each of those
   keys holds less than 1/``HOT_KEYS`` of the table.
 
-The facts are written to the checkpoint folder first: they are measured and joined
-from there instead of being computed twice, and both join inputs are then plain
-exchanges, which adaptive execution can split further.
+The facts are written to the shared folder first: they are measured and joined from
+there instead of being computed twice, and both join inputs are then plain exchanges
+over scans, which adaptive execution can split further.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plumbline.functions.keys import null_safe, quoted
+from plumbline.functions.keys import quoted
 from plumbline.session import cut_lineage
 
 BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 1024
 
 
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+def fits_broadcast(df: DataFrame) -> bool:
     """Is the data, as measured, small enough to send to every executor?"""
 
     def width(f: T.StructField) -> Column:
@@ -36,11 +36,8 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
         return F.lit(16)
 
     row = reduce(lambda a, b: a + b, [width(f) for f in df.schema])
-    # A few rows more than could ever fit are enough to answer; the rest is not read.
-    limit = BROADCAST_BYTES if limit is None else limit
-    rows = limit // (16 * len(df.columns)) + 1
-    used = df.limit(rows).agg(F.sum(row.cast("long")).alias("used")).first()["used"]
-    return (used or 0) <= limit
+    used = df.agg(F.sum(row.cast("long")).alias("used")).first()["used"]
+    return (used or 0) <= BROADCAST_BYTES
 
 
 def _match(df: DataFrame, facts: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -80,7 +77,3 @@ def attach(
     frequent = _match(_match(df, F.broadcast(hot), keys, "left_semi"), F.broadcast(hot_facts), keys, how)
     others = _match(_match(df, F.broadcast(hot), keys, "left_anti"), facts, keys, how)
     return frequent.unionByName(others)
-
-
-def same_key(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return null_safe(left, right, names)

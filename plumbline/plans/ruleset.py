@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from plumbline.functions.json import row_json
 from plumbline.operators import Check, Custom, KeyedCheck, RowCheck, SchemaValidation, build_check
-from plumbline.plans.rule import RESULT_SCHEMA, Rule, Run, TableSource, resolve_tables
+from plumbline.plans.rule import RECORD_SCHEMA, RESULT_SCHEMA, Rule, Run, TableSource, resolve_tables
 
 logger = logging.getLogger(__name__)
 
-# Aggregates per pass: beyond about a hundred, Spark stops compiling the stage.
-AGGREGATES_PER_PASS = 80
+# Expressions per pass: the compiled code of more would be too long for the JVM to optimise.
+EXPRESSIONS_PER_PASS = 32
 
 
 def union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -74,7 +74,7 @@ class TableRun:
         aggregates = [F.count(F.lit(1)).alias("total")]
         for i, c in enumerate(part):
             if isinstance(c.check, RowCheck):
-                aggregates.append(F.count_if(c.check.fails(schema)).alias(f"f{i}"))
+                aggregates.append(F.count(F.when(c.check.fails(schema), 1)).alias(f"f{i}"))
             else:
                 aggregates += [m.alias(f"m{i}_{n}") for n, m in c.check.measures(schema).items()]
         rows = []
@@ -128,14 +128,16 @@ class TableRun:
         """
         rows = [c for c in self.compiled if isinstance(c.check, RowCheck) and not c.runs_python()]
         frames = []
-        if rows:
-            hits = F.array_compact(
-                F.array(*[F.when(c.check.fails(self.df.schema), _tag(c)) for c in rows])
-            )
-            flagged = self.df.withColumn("__hits", hits).filter(F.size("__hits") > 0)
+        for part in _passes(rows, self.df):
+            fails = [c.check.fails(self.df.schema) for c in part]
+            # Written with plain operators, not array functions with a lambda, so that
+            # filter, JSON and explode compile into one stage.
+            hits = F.array(*[F.when(failed, _tag(c)) for failed, c in zip(fails, part)])
             frames.append(
-                flagged.select(row_json(self.df.columns).alias("failed_row"), "__hits")
-                .select("failed_row", F.explode("__hits").alias("hit"))
+                self.df.filter(reduce(lambda a, b: a | b, fails))
+                .withColumn("__json", row_json(self.df.columns))  # once per row, not per hit
+                .select(F.col("__json").alias("failed_row"), F.explode(hits).alias("hit"))
+                .filter(F.col("hit").isNotNull())
             )
         for c in self.compiled:
             if c in rows:
@@ -144,8 +146,6 @@ class TableRun:
             if failing is not None:
                 frames.append(failing.select(row_json(self.df.columns).alias("failed_row"), _tag(c).alias("hit")))
         if not frames:
-            from plumbline.plans.rule import RECORD_SCHEMA
-
             return self.df.sparkSession.createDataFrame([], RECORD_SCHEMA)
         return union(frames).select(
             F.lit(self.run.run_id).alias("run_id"),
@@ -208,7 +208,7 @@ def _passes(fused: list[Compiled], df: DataFrame) -> Iterable[list[Compiled]]:
     part, used = [], 0
     for c in fused:
         needed = 1 if isinstance(c.check, RowCheck) else len(c.check.measures(df.schema))
-        if part and used + needed > AGGREGATES_PER_PASS:
+        if part and used + needed > EXPRESSIONS_PER_PASS:
             yield part
             part, used = [], 0
         part.append(c)

@@ -1,8 +1,9 @@
-"""Session helpers: a configured session and the shared checkpoint folder."""
+"""Session helpers: a configured session, the shared folder, cutting lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,26 +29,30 @@ def local_session(app: str = "plumbline", cpus: int | str = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
+    """This application's folder in the one named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
-    driver-local path would be lost, or unreadable, with the machine.
+    Every executor can reach it, so what is written there outlives any of them.  Only
+    a local session may fall back to a temporary folder of the machine.
     """
+    application = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-    folder = tempfile.mkdtemp(prefix="plumbline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
+        folder = _local_dirs.setdefault(application, tempfile.mkdtemp(prefix="plumbline-"))
+    return f"{folder.rstrip('/')}/plumbline-{application}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and continue from the files.
+
+    Parquet rather than ``checkpoint()``: readers take only the columns they need,
+    the planner knows the true size, and joins start from a plain scan.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
