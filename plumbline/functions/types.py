@@ -23,9 +23,9 @@ NUMBER_TEXT = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 INFINITY_TEXT = r"^\s*[+-]?(?i:inf|infinity)\s*$"
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 TIMEDELTA_TEXT = (
-    r"^\s*[+-]?\s*(?:[0-9]+(?:\.[0-9]+)?\s*"
-    r"(?i:days?|d|hours?|hr|h|minutes?|min|m|seconds?|sec|s|millis|ms|micros|us|nanos|ns|weeks?|w)?"
-    r"[\s,]*)*(?:[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?\s*$"
+    r"^\s*[+-]?\s*(?:[0-9]+|(?:[0-9]+(?:\.[0-9]+)?\s*"
+    r"(?i:days?|d|hours?|hr|h|minutes?|min|m|seconds?|sec|s|millis|ms|micros|us|nanos|ns|weeks?|w)"
+    r"[\s,]*)*(?:[0-9]{1,2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?)?)\s*$"
 )
 
 # Schema-check names that stand for more than one Spark type.

@@ -62,6 +62,10 @@ class Check:
         for name in self.input_columns():
             if name not in df.columns:
                 raise MissingColumnError(name)
+        self.check_types(df.schema)
+
+    def check_types(self, schema: T.StructType) -> None:
+        """Raise if a column's type makes no sense for the check."""
 
     def static_details(self) -> dict[str, Any]:
         """Check-specific summary fields that do not depend on the data."""

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, ClassVar
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
 
 from plumbline.errors import RuleConfigError
 from plumbline.functions import patterns, predicates, text
@@ -81,9 +81,8 @@ class Range(RowCheck):
     def input_columns(self) -> list[str]:
         return [self.column]
 
-    def guard(self, df: DataFrame) -> None:
-        super().guard(df)
-        dtype = df.schema[self.column].dataType
+    def check_types(self, schema: T.StructType) -> None:
+        dtype = schema[self.column].dataType
         if not is_number(dtype):
             raise RuleConfigError(f"RangeEval: '{self.column}' is {dtype.simpleString()}, not a number.")
 

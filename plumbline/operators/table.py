@@ -73,9 +73,8 @@ class FeatureDrift(TableCheck):
     def input_columns(self) -> list[str]:
         return [self.column]
 
-    def guard(self, df: DataFrame) -> None:
-        super().guard(df)
-        dtype = df.schema[self.column].dataType
+    def check_types(self, schema: T.StructType) -> None:
+        dtype = schema[self.column].dataType
         if not (is_number(dtype) or isinstance(dtype, T.BooleanType)):
             raise RuleConfigError(f"{self.method}: '{self.column}' is {dtype.simpleString()}, not a number.")
 
@@ -130,9 +129,8 @@ class DataFreshness(TableCheck):
     def input_columns(self) -> list[str]:
         return [self.column]
 
-    def guard(self, df: DataFrame) -> None:
-        super().guard(df)
-        dtype = df.schema[self.column].dataType
+    def check_types(self, schema: T.StructType) -> None:
+        dtype = schema[self.column].dataType
         if not is_datetime(dtype):
             raise RuleConfigError(f"{self.method}: '{self.column}' is {dtype.simpleString()}, not a timestamp.")
 

@@ -50,7 +50,7 @@ def save_results(results: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """The stored results.  Filters on ``run_id`` read only that run's folder."""
-    return spark.read.schema(STORED_SCHEMA).parquet(path)
+    return spark.read.schema(STORED_SCHEMA).parquet(path).select(*STORED)
 
 
 def save_results_jdbc(results: DataFrame, url: str, table: str, properties: Mapping[str, str]) -> None:
