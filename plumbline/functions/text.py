@@ -19,8 +19,8 @@ def has_mojibake(text: Column) -> Column:
     return F.coalesce(text.rlike(MOJIBAKE_PAIR), F.lit(False))
 
 
-def _normaliser(form: str):
-    # A closure, so that executors need no copy of this package.
+def _through_python(form: str, digested: bool):
+    # Closures, so that executors need no copy of this package.
     import pandas as pd
 
     def normalise(values: pd.Series) -> pd.Series:
@@ -28,29 +28,48 @@ def _normaliser(form: str):
 
         return values.map(lambda v: v if v is None else unicodedata.normalize(form, v))
 
-    normalise.__annotations__ = {"values": pd.Series, "return": pd.Series}
-    return F.pandas_udf(normalise, "string")
+    def normalise_and_digest(values: pd.Series) -> pd.Series:
+        import hashlib
+        import unicodedata
+
+        def digest(v):
+            return v if v is None else hashlib.sha256(unicodedata.normalize(form, v).encode()).digest()
+
+        return values.map(digest)
+
+    chosen, kind = (normalise_and_digest, "binary") if digested else (normalise, "string")
+    chosen.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(chosen, kind)
+
+
+def _non_ascii(text: Column) -> Column:
+    """The text if it holds more than ASCII, else null.
+
+    ASCII text is the same in every normal form.  It is sent to Python as null,
+    because a guard around the call would not keep the values from being shipped.
+    """
+    return F.when(F.octet_length(text) != F.length(text), text)
 
 
 def normalised(text: Column, form: str = "NFC") -> Column:
     """``text`` in a Unicode normal form; null becomes the empty string.
 
     Spark has no built-in for this, so non-ASCII values go through an Arrow UDF.
-    ASCII text is the same in every form and is sent to Python as null: a guard
-    around the call would not keep the values from being shipped.
     """
-    non_ascii = F.octet_length(text) != F.length(text)
-    through_python = _normaliser(form)(F.when(non_ascii, text))
-    return F.coalesce(through_python, text, F.lit(""))
+    return F.coalesce(_through_python(form, digested=False)(_non_ascii(text)), text, F.lit(""))
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the UTF-8 bytes, as 32 binary bytes."""
-    return F.unhex(F.sha2(text, 256))
+def normal_digest(text: Column, form: str = "NFC") -> Column:
+    """SHA-256 of the normalised text's UTF-8 bytes, as 32 binary bytes.
+
+    Python returns digests, not texts, so only one copy of a text crosses over.
+    """
+    in_jvm = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+    return F.coalesce(_through_python(form, digested=True)(_non_ascii(text)), in_jvm)
 
 
-def row_digest(texts: list[Column]) -> Column:
-    """One 32-byte digest for a list of texts, equal only if all of them are."""
-    if len(texts) == 1:
-        return digest(texts[0])
-    return F.unhex(F.sha2(F.concat(*[F.sha2(t, 256) for t in texts]), 256))
+def row_digest(digests: list[Column]) -> Column:
+    """One 32-byte digest for a list of digests, equal only if all of them are."""
+    if len(digests) == 1:
+        return digests[0]
+    return F.unhex(F.sha2(F.concat(*digests), 256))

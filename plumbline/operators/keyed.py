@@ -176,7 +176,9 @@ class ReferentialIntegrity(KeyedCheck):
             rows = keyed.join(F.broadcast(known), keys, "left_anti")
         else:
             counts, _ = rows_per_key(df, [self.column])
-            rows = attach(keyed, counts.join(known, keys, "left_anti"), keys, "left_semi", weight="n")
+            # Distinct, so that a value the reference repeats often is shuffled once per task.
+            orphans = counts.join(known.distinct(), keys, "left_anti")
+            rows = attach(keyed, orphans, keys, "left_semi", weight="n")
         return rows.select(*[quoted(c) for c in df.columns])
 
     def static_details(self) -> dict[str, Any]:

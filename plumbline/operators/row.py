@@ -56,9 +56,7 @@ class Empty(RowCheck):
         if is_float(column.dataType):
             empty = empty | F.isnan(value)
         if is_text(column.dataType):
-            # The extra null test keeps the expression from being null.
-            blank = F.trim(value) == "" if self.trim else value == ""
-            empty = empty | blank
+            empty = empty | (value.rlike(r"(?U)^\s*\z") if self.trim else value == "")
         return empty
 
 

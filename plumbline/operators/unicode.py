@@ -72,8 +72,8 @@ class UnicodeValidation(KeyedCheck):
                 raise MissingColumnError(name)
 
     def _digest(self, columns) -> Any:
-        forms = [text.normalised(F.col(quoted(c)).cast("string"), self.normalization_form) for c in columns]
-        return text.row_digest(forms)
+        texts = [F.col(quoted(c)).cast("string") for c in columns]
+        return text.row_digest([text.normal_digest(t, self.normalization_form) for t in texts])
 
     def _source(self, df: DataFrame) -> DataFrame:
         """The source rows with key, digest and damage flags."""

@@ -7,13 +7,22 @@ from pyspark.sql import DataFrame, types as T
 from plumbline.sources.failed_log import flattened, select_records
 
 
+def _evened_out(rows: DataFrame) -> DataFrame:
+    """Files of a sensible size.
+
+    Failing rows are few in most input partitions and many in some; adaptive
+    execution merges the small ones and splits the large ones.
+    """
+    return rows.hint("rebalance")
+
+
 def write_log(records: DataFrame, path: str) -> None:
     """Write failing rows as JSON lines, a folder per run and table.
 
     Only the folders present in ``records`` are replaced, so a retry is harmless.
     """
     (
-        records.write.mode("overwrite")
+        _evened_out(records).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id", "table_name")
         .json(path)
@@ -28,7 +37,7 @@ def promote(records: DataFrame, table: str, row_schema: T.StructType, path: str,
     target = f"{path}/{table}_failed_rows"
     rows = flattened(select_records(records, run_id=run_id, table=table), row_schema)
     (
-        rows.write.mode("overwrite")
+        _evened_out(rows).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
         .parquet(target)
@@ -39,10 +48,12 @@ def promote(records: DataFrame, table: str, row_schema: T.StructType, path: str,
 def promote_to_table(records: DataFrame, table: str, row_schema: T.StructType, schema: str = "default") -> str:
     """As ``promote``, appending to a table of the catalog."""
     target = f"`{schema}`.`{table}_failed_rows`"
-    flattened(select_records(records, table=table), row_schema).write.mode("append").saveAsTable(target)
+    rows = flattened(select_records(records, table=table), row_schema)
+    _evened_out(rows).write.mode("append").saveAsTable(target)
     return target
 
 
 def export_csv(records: DataFrame, row_schema: T.StructType, path: str) -> None:
     """Write failing rows as CSV: the row's columns, then method, column and run."""
-    flattened(records, row_schema, meta_first=False).write.mode("overwrite").option("header", True).csv(path)
+    rows = flattened(records, row_schema, meta_first=False)
+    _evened_out(rows).write.mode("overwrite").option("header", True).csv(path)
