@@ -41,10 +41,7 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def _match(df: DataFrame, facts: DataFrame, keys: list[str], how: str) -> DataFrame:
-    renamed = facts.select(
-        *[F.col(k).alias(f"{k}__r") for k in keys],
-        *[c for c in facts.columns if c not in keys],
-    )
+    renamed = facts.withColumnsRenamed({k: f"{k}__r" for k in keys})
     on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"{k}__r"]) for k in keys])
     return df.join(renamed, on, how).drop(*[f"{k}__r" for k in keys])
 
@@ -72,6 +69,9 @@ def attach(
     # Ties are broken by the keys, so every use of this picks the same ones.
     hot = cut_lineage(counted.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*keys))
     hot_facts = cut_lineage(_match(facts, F.broadcast(hot), keys, "left_semi"))
+    # Measured as too large, yet the planner, going by compressed file sizes, might
+    # still broadcast them: the hint rules that out.
+    facts = facts.hint("merge")
     if not fits_broadcast(hot_facts):  # wide facts: leave the hot keys to adaptive execution
         return _match(df, facts, keys, how)
     frequent = _match(_match(df, F.broadcast(hot), keys, "left_semi"), F.broadcast(hot_facts), keys, how)

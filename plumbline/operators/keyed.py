@@ -165,9 +165,10 @@ class ReferentialIntegrity(KeyedCheck):
     def tally(self, df: DataFrame) -> DataFrame:
         counts, keys = rows_per_key(df, [self.column])
         known = self._reference_keys().distinct().withColumn("known", F.lit(True))
-        return counted_verdict(
-            counts.join(known, keys, "left"), F.when(F.col("known").isNull(), F.col("n"))
-        )
+        # Both sides come out of their aggregates partitioned by the key already, so a
+        # merge join moves nothing more and needs no broadcast of the reference.
+        matched = counts.join(known.hint("merge"), keys, "left")
+        return counted_verdict(matched, F.when(F.col("known").isNull(), F.col("n")))
 
     def failing(self, df: DataFrame) -> DataFrame:
         keyed, keys = with_keys(df, [self.column])
@@ -177,7 +178,7 @@ class ReferentialIntegrity(KeyedCheck):
         else:
             counts, _ = rows_per_key(df, [self.column])
             # Distinct, so that a value the reference repeats often is shuffled once per task.
-            orphans = counts.join(known.distinct(), keys, "left_anti")
+            orphans = counts.join(known.distinct().hint("merge"), keys, "left_anti")
             rows = attach(keyed, orphans, keys, "left_semi", weight="n")
         return rows.select(*[quoted(c) for c in df.columns])
 
