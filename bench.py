@@ -17,8 +17,8 @@ from registry import QUERIES
 
 HEADLINE = (
     "range_summary", "range_rows", "empty_summary", "categorical_summary", "stringformat_summary",
-    "dtype_summary", "daterange_summary", "mojibake_summary", "custom_row_summary", "custom_callable_summary",
-    "rowcount_summary", "feature_drift", "freshness_summary", "label_balance",
+    "dtype_summary", "daterange_summary", "mojibake_summary", "custom_row", "custom_callable_summary",
+    "rowcount", "feature_drift", "freshness", "label_balance",
     "dup_summary", "dup_rows", "unique_summary", "unique_rows", "ri_summary", "ri_rows",
     "unicode_summary", "unicode_rows", "compare_report",
     "ruleset_results", "ruleset_multi_table", "failed_records", "failed_log_by_rule", "drilldown_join",

@@ -87,6 +87,12 @@ def run_list(results: DataFrame, limit: int = 50) -> DataFrame:
     )
 
 
+def latest_run(results: DataFrame) -> DataFrame:
+    """The run that started last."""
+    starts = results.groupBy("run_id").agg(F.min("run_timestamp").alias("started_at"))
+    return starts.agg(F.max(F.struct("started_at", "run_id")).alias("last")).select("last.run_id", "last.started_at")
+
+
 def health_matrix(results: DataFrame) -> DataFrame:
     """A row per table, a column per method: the worst status seen, null if never run."""
     severity = reduce(lambda c, s: c.when(F.col("status") == s, SEVERITY[s]), STATUSES, F)

@@ -58,7 +58,7 @@ class Check:
         return getattr(self, "column", None) or "N/A"
 
     def guard(self, df: DataFrame) -> None:
-        """Raise unless the check can be planned on ``df``; runs no job."""
+        """Raise unless the table has what the check needs; runs no job."""
         for name in self.input_columns():
             if name not in df.columns:
                 raise MissingColumnError(name)
@@ -86,10 +86,6 @@ class RowCheck(Check):
         """True for a failing row; never null."""
         raise NotImplementedError
 
-    def guard(self, df: DataFrame) -> None:
-        super().guard(df)
-        df.select(self.fails(df.schema))  # analysis only: reports type errors now
-
     def failing(self, df: DataFrame) -> DataFrame:
         return df.filter(self.fails(df.schema))
 
@@ -117,12 +113,6 @@ class TableCheck(Check):
     def verdict(self, total: Column, measured: dict[str, Column]) -> Verdict:
         raise NotImplementedError
 
-    def guard(self, df: DataFrame) -> None:
-        super().guard(df)
-        measures = self.measures(df.schema)
-        if measures:
-            df.agg(*measures.values())
-
 
 class KeyedCheck(Check):
     """Needs rows brought together by key: a shuffle of its own."""

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from plumbline.functions.json import row_json
-from plumbline.operators import Check, Custom, KeyedCheck, RowCheck, SchemaValidation, build_check
+from plumbline.operators import Check, Custom, KeyedCheck, RowCheck, SchemaValidation, TableCheck, build_check
 from plumbline.plans.rule import RECORD_SCHEMA, RESULT_SCHEMA, Rule, Run, TableSource, resolve_tables
 
 logger = logging.getLogger(__name__)
@@ -160,22 +160,34 @@ class TableRun:
     def settled(self) -> tuple[list[Row], "TableRun"]:
         """Run the checks now.  A rule that fails at run time becomes an ``Error`` row.
 
-        Normally one action.  Only if it fails are the rules run one by one to find
-        the offender.  The rows fetched are one per rule.
+        One action for all rules inside the JVM and one for each Python callable.  If an
+        action over several rules fails, its rules are halved until the offender is
+        alone, so one bad rule among many costs a few passes, not one per rule.  The
+        rows fetched are one per rule.
         """
-        try:
-            return self.results().collect(), self
-        except Exception as exc:
-            logger.warning("%s.%s: %s; running the rules one by one", self.schema_name, self.table_name, exc)
-        good, bad = [], list(self.errors)
-        for c in self.compiled:
+        rows, good, bad = [], [], list(self.errors)
+        in_jvm = [c for c in self.compiled if not c.runs_python()]
+        pending = [[c] for c in self.compiled if c.runs_python()] + ([in_jvm] if in_jvm else [])
+        while pending:
+            group = pending.pop()
             try:
-                replace(self, compiled=(c,), errors=()).results().collect()
-                good.append(c)
+                rows += replace(self, compiled=tuple(group), errors=()).results().collect()
+                good += group
             except Exception as exc:
-                bad.append((c.rule, str(exc).splitlines()[0]))
-        kept = replace(self, compiled=tuple(good), errors=tuple(bad))
-        return kept.results().collect(), kept
+                logger.warning("%s.%s, %d rule(s): %s", self.schema_name, self.table_name, len(group), exc)
+                half = len(group) // 2
+                if half:
+                    pending += [group[:half], group[half:]]
+                else:
+                    bad.append((group[0].rule, _first_line(exc)))
+        if bad:
+            rows += replace(self, compiled=(), errors=tuple(bad)).results().collect()
+        good.sort(key=lambda c: c.rule.rule_seq)
+        return rows, replace(self, compiled=tuple(good), errors=tuple(bad))
+
+
+def _first_line(exc: Exception) -> str:
+    return (str(exc) or type(exc).__name__).splitlines()[0]
 
 
 def _tag(c: Compiled) -> Column:
@@ -217,6 +229,16 @@ def _passes(fused: list[Compiled], df: DataFrame) -> Iterable[list[Compiled]]:
         yield part
 
 
+def _analyse(df: DataFrame, compiled: Sequence[Compiled]) -> None:
+    """Raise if Spark cannot type the checks' expressions; runs no job."""
+    rows = [c.check.fails(df.schema) for c in compiled if isinstance(c.check, RowCheck)]
+    if rows:
+        df.select(*rows)
+    measures = [m for c in compiled if isinstance(c.check, TableCheck) for m in c.check.measures(df.schema).values()]
+    if measures:
+        df.agg(*measures)
+
+
 def compile_table(
     df: DataFrame,
     rules: Sequence[Rule],
@@ -230,14 +252,29 @@ def compile_table(
     A rule that cannot be planned is kept as an error and the others go on.
     """
     compiled, errors = [], []
+
+    def refuse(rule: Rule, exc: Exception) -> None:
+        logger.warning("%s on %s: %s", rule.dqmethod, rule.table_name, exc)
+        errors.append((rule, _first_line(exc)))
+
     for rule in rules:
         try:
             check = build_check(rule.dqmethod, resolve_tables(rule, source))
             check.guard(df)
             compiled.append(Compiled(rule, check))
         except Exception as exc:
-            logger.warning("%s on %s: %s", rule.dqmethod, rule.table_name, exc)
-            errors.append((rule, str(exc).splitlines()[0]))
+            refuse(rule, exc)
+    # Expressions are analysed together; only if that fails, one by one.
+    try:
+        _analyse(df, compiled)
+    except Exception:
+        together, compiled = compiled, []
+        for c in together:
+            try:
+                _analyse(df, [c])
+                compiled.append(c)
+            except Exception as exc:
+                refuse(c.rule, exc)
     first = rules[0] if rules else Rule("", {})
     return TableRun(
         df, run or Run.start(), schema_name or first.schema_name, table_name or first.table_name,

@@ -111,6 +111,16 @@ def run_list(spark, sf):
     )
 
 
+@query(
+    "latest_run",
+    f"""SELECT run_id, strftime(MIN(run_timestamp), '%Y-%m-%d') AS started FROM {HISTORY}
+        GROUP BY run_id ORDER BY MIN(run_timestamp) DESC, run_id DESC LIMIT 1""",
+)
+def latest_run(spark, sf):
+    latest = h.latest_run(_history(spark, sf))
+    return latest.select("run_id", F.date_format("started_at", "yyyy-MM-dd").alias("started"))
+
+
 SEVERITY = "CASE status WHEN 'Error' THEN 2 WHEN 'Failed' THEN 1 ELSE 0 END"
 
 

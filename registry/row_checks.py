@@ -178,14 +178,14 @@ def replacement_char_rows(spark, sf):
     return damaged(spark, sf, "documents").filter(has_replacement_char(F.col("text"))).select("doc_id", "lang")
 
 
-@query("custom_column_summary", summary_sql("CustomEval", "l_discount", LINEITEM, "NOT (l_discount <= 0.08)"))
-def custom_column_summary(spark, sf):
+@query("custom_column", summary_sql("CustomEval", "l_discount", LINEITEM, "NOT (l_discount <= 0.08)"))
+def custom_column(spark, sf):
     config = {"column": "l_discount", "func": "lambda x: x <= 0.08"}
     return check_summary(damaged(spark, sf, "lineitem"), "CustomEval", config)
 
 
-@query("custom_row_summary", summary_sql("CustomEval", "N/A", LINEITEM, CUSTOM_ROW))
-def custom_row_summary(spark, sf):
+@query("custom_row", summary_sql("CustomEval", "N/A", LINEITEM, CUSTOM_ROW))
+def custom_row(spark, sf):
     config = {"func": "lambda row: row['l_quantity'] > 5 and row['l_returnflag'] != 'R'"}
     return check_summary(damaged(spark, sf, "lineitem"), "CustomEval", config)
 

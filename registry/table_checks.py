@@ -19,13 +19,13 @@ def _field(name, kind="string"):
 
 
 @query(
-    "rowcount_summary",
+    "rowcount",
     """SELECT CASE WHEN COUNT(*) BETWEEN 100 AND 100000 THEN 'Success' ELSE 'Failed' END AS status,
               CAST(COUNT(*) AS BIGINT) AS total_count, CAST(100 AS BIGINT) AS min_required,
               CAST(100000 AS BIGINT) AS max_allowed
        FROM orders""",
 )
-def rowcount_summary(spark, sf):
+def rowcount(spark, sf):
     out = _outcome(table(spark, sf, "orders"), "RowCountEval", {"min": 100, "max": 100000})
     return out.select(
         "status", "total_count", _field("min_required", "long").alias("min_required"),
@@ -54,12 +54,12 @@ def feature_drift(spark, sf):
 
 
 @query(
-    "freshness_summary",
+    "freshness",
     """SELECT CASE WHEN MAX(ts) > TIMESTAMP '2024-01-30 22:00:00' THEN 'Success' ELSE 'Failed' END AS status,
               strftime(MAX(ts), '%Y-%m-%d %H:%M:%S') AS latest, '2024-01-30 22:00:00' AS cutoff
        FROM events""",
 )
-def freshness_summary(spark, sf):
+def freshness(spark, sf):
     return _outcome(table(spark, sf, "events"), "DataFreshnessEval", FRESHNESS).select(
         "status",
         F.date_format(_field("latest_timestamp").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("latest"),
@@ -68,13 +68,13 @@ def freshness_summary(spark, sf):
 
 
 @query(
-    "schema_summary",
+    "schema_report",
     """SELECT 'Failed' AS status, CAST(COUNT(*) AS BIGINT) AS total_count, CAST(2 AS BIGINT) AS failed_count,
               CAST(3 AS BIGINT) AS passed_count, '["o_missing"]' AS missing,
               '[{"column":"o_totalprice","expected":"string","actual":"double"}]' AS mistyped
        FROM orders""",
 )
-def schema_summary(spark, sf):
+def schema_report(spark, sf):
     expected = {
         "o_orderkey": "int", "o_orderstatus": "object", "o_orderdate": "datetime64[ns]",
         "o_totalprice": "string", "o_missing": "int",
