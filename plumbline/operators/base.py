@@ -78,6 +78,10 @@ class Check:
         """The failing rows, source columns only; None where there is no such notion."""
         return None
 
+    def same_failures(self) -> Any:
+        """Equal for checks that fail the same rows, so that these are fetched once."""
+        return self
+
 
 class RowCheck(Check):
     """Decided from one row at a time."""

@@ -61,6 +61,9 @@ class Duplicate(KeyedCheck):
         repeated = attach(keyed, counts.filter("n > 1"), keys, "left_semi", weight="n")
         return repeated.select(*[quoted(c) for c in df.columns])
 
+    def same_failures(self) -> Any:
+        return ("repeated keys", frozenset(self.columns))
+
 
 @dataclass(frozen=True)
 class Unique(Duplicate):
@@ -139,7 +142,7 @@ class ReferentialIntegrity(KeyedCheck):
         "column": (str, True), "reference_df": (DataFrame, True), "reference_column": (str, True),
     }
     column: str
-    reference_df: DataFrame = field(hash=False, compare=False)
+    reference_df: DataFrame = field(hash=False)
     reference_column: str = ""
 
     def input_columns(self) -> list[str]:

@@ -48,7 +48,7 @@ class UnicodeValidation(KeyedCheck):
     }
     key_column: str
     columns: tuple[str, ...]
-    target_df: DataFrame = field(hash=False, compare=False)
+    target_df: DataFrame = field(hash=False)
     target_columns: tuple[str, ...] = ()
     normalization_form: str = "NFC"
     batch_size: int = 1000  # accepted for old configurations; Arrow sizes its own batches

@@ -139,12 +139,12 @@ class TableRun:
                 .select(F.col("__json").alias("failed_row"), F.explode(hits).alias("hit"))
                 .filter(F.col("hit").isNotNull())
             )
-        for c in self.compiled:
-            if c in rows:
-                continue
-            failing = c.check.failing(self.df)
+        others = [c for c in self.compiled if c not in rows]
+        for same in _grouped(others):
+            failing = same[0].check.failing(self.df)
             if failing is not None:
-                frames.append(failing.select(row_json(self.df.columns).alias("failed_row"), _tag(c).alias("hit")))
+                tags = F.explode(F.array(*[_tag(c) for c in same])).alias("hit")
+                frames.append(failing.select(row_json(self.df.columns).alias("failed_row"), tags))
         if not frames:
             return self.df.sparkSession.createDataFrame([], RECORD_SCHEMA)
         return union(frames).select(
@@ -186,6 +186,20 @@ class TableRun:
         return rows, replace(self, compiled=tuple(good), errors=tuple(bad))
 
 
+def _grouped(compiled: Sequence[Compiled]) -> list[list[Compiled]]:
+    """Rules that fail the same rows, together."""
+    groups: list[tuple[object, list[Compiled]]] = []
+    for c in compiled:
+        key = c.check.same_failures()
+        for known, members in groups:
+            if known == key:
+                members.append(c)
+                break
+        else:
+            groups.append((key, [c]))
+    return [members for _, members in groups]
+
+
 def _first_line(exc: Exception) -> str:
     return (str(exc) or type(exc).__name__).splitlines()[0]
 

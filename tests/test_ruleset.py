@@ -97,6 +97,25 @@ def test_same_label_rules_stay_apart(spark):
     assert len(kept) == 1 and kept[0]["dqevalcount"] == 0  # the last rule wins in the store
 
 
+def test_rules_on_the_same_key_share_failing_rows(spark, source, monkeypatch):
+    from plumbline.operators import keyed
+
+    calls = []
+    real = keyed.attach
+    monkeypatch.setattr(keyed, "attach", lambda *a, **k: calls.append(1) or real(*a, **k))
+    few = from_mapping({"users": fx.users(spark), "some": fx.users(spark).limit(3)})
+    reference = {"column": "user_id", "reference_column": "id"}
+    rules = number_rules([
+        Rule("DupEval", {"columns": ["id"]}, "employees"), Rule("UniqueEval", {"columns": ["id"]}, "employees"),
+        Rule("DupEval", {"columns": ["label", "country"]}, "employees"),
+        Rule("ReferentialIntegrityEval", {**reference, "reference_df": "users"}, "employees"),
+        Rule("ReferentialIntegrityEval", {**reference, "reference_df": "some"}, "employees"),
+    ])
+    run = compile_table(fx.employees(spark), rules, source=few)
+    counted = {r["rule_seq"]: r["count"] for r in run.failed_records().groupBy("rule_seq").count().collect()}
+    assert counted == {1: 2, 2: 2, 3: 30, 4: 1, 5: 28} and len(calls) == 2
+
+
 def test_run_all(spark, source):
     rules = [
         *[Rule(m, c, "employees") for m, c, *_ in fx.EMPLOYEE_RULES],
