@@ -51,7 +51,7 @@ def run_summary(results: DataFrame) -> DataFrame:
         _with_status("Success").alias("passed"),
         _with_status("Failed").alias("failed"),
         _with_status("Error").alias("errors"),
-        F.coalesce(F.sum("dqevalcount"), F.lit(0)).alias("total_failed_records"),
+        F.coalesce(F.sum("failed_count"), F.lit(0)).alias("total_failed_records"),
     )
 
 
@@ -137,13 +137,13 @@ def quality_score(results: DataFrame, tags: Mapping[str, str] | None = None) ->
     100 if the check itself says it passed; for another successful check the share
     of passing rows; otherwise 0.
     """
-    says_passed = F.get_json_object("details", "$.dqeval_passed") == "true"
+    says_passed = F.get_json_object("details", "$.passed") == "true"
     share = F.coalesce(F.round(F.try_divide(F.col("passed_count"), F.col("total_count")) * 100, 2), F.lit(0.0))
     score = F.when(says_passed, 100.0).when(F.col("status") == "Success", share).otherwise(0.0)
-    scored = results.withColumn("dqeval_score", score)
+    scored = results.withColumn("score", score)
     if tags:
         pairs = [F.lit(x) for item in tags.items() for x in item]
-        scored = scored.withColumn("dqeval_tags", F.create_map(*pairs))
+        scored = scored.withColumn("tags", F.create_map(*pairs))
     return scored
 
 
@@ -175,5 +175,5 @@ def drill_down(results: DataFrame, records: DataFrame) -> DataFrame:
     One rule may hold a large share of all failing rows, so the records are not
     shuffled by rule unless the results are too many to broadcast.
     """
-    failed = results.filter(F.col("status") == "Failed").select(*DRILL_KEY, "status", "dqevalcount")
+    failed = results.filter(F.col("status") == "Failed").select(*DRILL_KEY, "status", "failed_count")
     return attach(records.select(*DRILL_KEY, "failed_row"), failed, DRILL_KEY)

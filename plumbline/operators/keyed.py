@@ -123,7 +123,7 @@ class LabelBalance(KeyedCheck):
             max_class=F.col("top.label").cast("string"),
             max_class_ratio=ratio,
             classes=F.col("classes"),
-            dqeval_passed=passed,
+            passed=passed,
         )
         return found.select(
             passed.alias("passed"), "total_count", failed.alias("failed_count"),

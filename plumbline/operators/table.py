@@ -45,7 +45,7 @@ class RowCount(TableCheck):
         details = details_json(
             min_required=F.lit(self.min).cast("long"),
             max_allowed=F.lit(self.max).cast("long"),
-            dqeval_passed=passed,
+            passed=passed,
         )
         return Verdict(passed, *no_failures(), details)
 
@@ -94,9 +94,9 @@ class FeatureDrift(TableCheck):
         details = details_json(
             mode=F.lit("feature_drift"),
             column=F.lit(self.column),
-            dqeval_drift_mean=drift_mean,
-            dqeval_drift_std=drift_std,
-            dqeval_passed=passed,
+            drift_mean=drift_mean,
+            drift_std=drift_std,
+            passed=passed,
         )
         return Verdict(passed, *no_failures(), details)
 
@@ -147,7 +147,7 @@ class DataFreshness(TableCheck):
             column=F.lit(self.column),
             latest_timestamp=measured["latest"].cast("string"),
             cutoff_timestamp=cutoff.cast("string"),
-            dqeval_passed=passed,
+            passed=passed,
         )
         return Verdict(passed, *no_failures(), details)
 

@@ -132,9 +132,9 @@ class UnicodeValidation(KeyedCheck):
             key_column=F.lit(self.key_column),
             columns_checked=F.array(*[F.lit(c) for c in self.columns]),
             normalization_form=F.lit(self.normalization_form),
-            dqeval_matched_count=F.col("matched_count"),
-            dqeval_mojibake_count=F.col("mojibake_count"),
-            dqeval_replacement_char_count=F.col("replacement_char_count"),
+            matched_count=F.col("matched_count"),
+            mojibake_count=F.col("mojibake_count"),
+            replacement_char_count=F.col("replacement_char_count"),
         )
         return self.counts(df).select(
             (F.col("failed_count") == 0).alias("passed"), "total_count", "failed_count",

@@ -27,29 +27,43 @@ def run_check(
     config: Mapping[str, Any],
     run_id: str | None = None,
     advanced: bool = False,
+    prefix: str = "",
 ) -> dict[str, Any] | tuple[dict[str, Any], DataFrame | None]:
     """Run one check now: its summary, and with ``advanced`` its failing rows too."""
     check = build_check(method, config)
-    row = summary(df, check, Run.start(run_id)).first()
-    return (payload(row), check.failing(df)) if advanced else payload(row)
+    found = payload(summary(df, check, Run.start(run_id)).first(), prefix)
+    return (found, check.failing(df)) if advanced else found
 
 
-def payload(row: Row) -> dict[str, Any]:
+# Summary fields that may carry a prefix.
+PREFIXED = (
+    "type", "total_count", "failed_count", "passed_count", "passed", "drift_mean", "drift_std",
+    "matched_count", "mojibake_count", "replacement_char_count", "config", "engine",
+)
+
+
+def payload(row: Row, prefix: str = "") -> dict[str, Any]:
     """A result row as the check's summary object.
 
     Checks that judge the whole table report no passing rows, hence no counts.
+    ``prefix`` goes before the generic field names, for consumers that expect one.
     """
-    out: dict[str, Any] = {"status": row["status"], "dqeval_type": row["check_type"]}
+    out: dict[str, Any] = {"status": row["status"], "type": row["check_type"]}
     out |= json.loads(row["details"] or "{}")
     if row["passed_count"] is not None:
-        out["dqeval_total_count"] = row["total_count"]
-        out["dqeval_failed_count"] = row["failed_count"]
-        out["dqeval_passed_count"] = row["passed_count"]
+        out["total_count"] = row["total_count"]
+        out["failed_count"] = row["failed_count"]
+        out["passed_count"] = row["passed_count"]
     elif row["check_type"] == "rowcount_eval":
-        out["dqeval_total_count"] = row["total_count"]
+        out["total_count"] = row["total_count"]
     if isinstance(out.get("type_mismatches"), list):
         out["type_mismatches"] = {m.pop("column"): m for m in out["type_mismatches"]}
-    return out | {"run_timestamp": row["run_timestamp"].isoformat(), "run_id": row["run_id"]}
+    out |= {"run_timestamp": row["run_timestamp"].isoformat(), "run_id": row["run_id"]}
+    return _prefixed(out, prefix)
+
+
+def _prefixed(fields: Mapping[str, Any], prefix: str) -> dict[str, Any]:
+    return {prefix + k if k in PREFIXED else k: v for k, v in fields.items()}
 
 
 def run_yaml(
@@ -57,6 +71,7 @@ def run_yaml(
     yaml_text: str,
     frames: Mapping[str, DataFrame] | None = None,
     functions: Mapping[str, Any] | None = None,
+    prefix: str = "",
 ) -> list[dict[str, Any]]:
     """Run a YAML rule list on ``df``: one summary per entry, in order.
 
@@ -92,7 +107,7 @@ def run_yaml(
                 "error_message": problems[i], "run_id": run.run_id,
             })
         else:
-            report.append(payload(found[i]) | {"dqeval_config": entry, "dqeval_engine": "spark"})
+            report.append(payload(found[i], prefix) | _prefixed({"config": entry, "engine": "spark"}, prefix))
     return report
 
 

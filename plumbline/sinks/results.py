@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 PRIMARY_KEY = ["run_id", "schema_name", "table_name", "dqmethod", "col"]
 STORED_SCHEMA = (
     "run_id string, schema_name string, table_name string, dqmethod string, col string, "
-    "status string, run_timestamp timestamp_ntz, dqevalcount long"
+    "status string, run_timestamp timestamp_ntz, failed_count long"
 )
 # Columns of the stored results table, in order.
-STORED = [*PRIMARY_KEY, "status", "run_timestamp", "dqevalcount"]
+STORED = [*PRIMARY_KEY, "status", "run_timestamp", "failed_count"]
 
 
 def keep_last(results: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def keep_last(results: DataFrame) -> DataFrame:
 
 def stored_form(results: DataFrame) -> DataFrame:
     """The columns of the stored results table."""
-    return results.withColumn("dqevalcount", F.coalesce("failed_count", F.lit(0).cast("long"))).select(*STORED)
+    return results.withColumn("failed_count", F.coalesce("failed_count", F.lit(0).cast("long"))).select(*STORED)
 
 
 def save_results(results: DataFrame, path: str) -> None:

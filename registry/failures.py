@@ -160,7 +160,7 @@ def failed_csv(spark, sf):
 @query(
     "drilldown_join",
     f"""SELECT run_id, table_name, dqmethod, col, 'Failed' AS status,
-               CAST(COUNT(*) OVER (PARTITION BY dqmethod, col) AS BIGINT) AS dqevalcount, {COLUMNS}
+               CAST(COUNT(*) OVER (PARTITION BY dqmethod, col) AS BIGINT) AS failed_count, {COLUMNS}
         FROM {RECORDS}""",
 )
 def drilldown_join(spark, sf):
@@ -168,16 +168,16 @@ def drilldown_join(spark, sf):
     joined = drill_down(stored_form(keep_last(run.results())), run.failed_records())
     values = F.from_json("failed_row", run.df.schema)
     return joined.withColumn("r", values).select(
-        "run_id", "table_name", "dqmethod", "col", "status", "dqevalcount",
+        "run_id", "table_name", "dqmethod", "col", "status", "failed_count",
         *[F.col(f"r.{c.strip()}") for c in COLUMNS.split(",")],
     )
 
 
 @query(
     "results_store",
-    f"""SELECT '{RUN_ID}' AS run_id, dqmethod, col, status, dqevalcount FROM (
+    f"""SELECT '{RUN_ID}' AS run_id, dqmethod, col, status, failed_count FROM (
           SELECT 'EmptyEval' AS dqmethod, 'event_type' AS col,
-                 CASE WHEN COUNT(*) = 0 THEN 'Success' ELSE 'Failed' END AS status, CAST(COUNT(*) AS BIGINT) AS dqevalcount
+                 CASE WHEN COUNT(*) = 0 THEN 'Success' ELSE 'Failed' END AS status, CAST(COUNT(*) AS BIGINT) AS failed_count
           FROM {damaged_sql('events')} WHERE event_type IS NULL OR event_type = ''
           UNION ALL
           SELECT 'RowCountEval', 'N/A', CASE WHEN COUNT(*) >= 1 THEN 'Success' ELSE 'Failed' END, CAST(0 AS BIGINT)
@@ -193,4 +193,4 @@ def results_store(spark, sf):
     for _ in range(2):
         save_results(run.results(), path)
     stored = read_results(spark, path).filter(F.col("run_id") == RUN_ID)
-    return stored.select("run_id", "dqmethod", "col", "status", "dqevalcount")
+    return stored.select("run_id", "dqmethod", "col", "status", "failed_count")

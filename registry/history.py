@@ -19,7 +19,7 @@ COLUMNS = {
     "col": "'c' || CAST(o_orderkey % 5 AS VARCHAR(9))",
     "status": "CASE WHEN o_orderkey % 13 = 0 THEN 'Error' WHEN o_orderkey % 3 = 0 THEN 'Failed' ELSE 'Success' END",
     "run_timestamp": "o_orderdate",
-    "dqevalcount": "CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 3 = 0 THEN o_orderkey % 50 ELSE 0 END",
+    "failed_count": "CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 3 = 0 THEN o_orderkey % 50 ELSE 0 END",
     "rule_seq": "o_orderkey",
 }
 HISTORY = f"(SELECT {', '.join(f'{e} AS {c}' for c, e in COLUMNS.items())} FROM orders) AS history"
@@ -47,7 +47,7 @@ def _counts(*names):
 @query(
     "run_summary",
     f"""SELECT CAST(COUNT(*) AS BIGINT) AS total_evals, {_counts('passed', 'failed', 'errors')},
-               CAST(SUM(dqevalcount) AS BIGINT) AS total_failed_records
+               CAST(SUM(failed_count) AS BIGINT) AS total_failed_records
         FROM {HISTORY} WHERE run_id = 'run-7'""",
 )
 def run_summary(spark, sf):
@@ -164,7 +164,7 @@ def kpi_percentages(spark, sf):
               CASE WHEN o_orderkey % 7 = 0 THEN 100.0
                    WHEN o_orderkey % 3 = 0 THEN 0.0
                    WHEN o_custkey % 10 = 0 THEN 0.0
-                   ELSE ROUND(CAST(o_orderkey % 1000 AS DOUBLE) / (o_custkey % 10 * 997) * 100, 2) END AS dqeval_score
+                   ELSE ROUND(CAST(o_orderkey % 1000 AS DOUBLE) / (o_custkey % 10 * 997) * 100, 2) END AS score
        FROM orders""",
 )
 def quality_score(spark, sf):
@@ -173,9 +173,9 @@ def quality_score(spark, sf):
         F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'Failed' ELSE 'Success' END").alias("status"),
         F.expr("o_custkey % 10 * 997").alias("total_count"),
         F.expr("o_orderkey % 1000").alias("passed_count"),
-        F.expr("CASE WHEN o_orderkey % 7 = 0 THEN '{\"dqeval_passed\":true}' ELSE '{}' END").alias("details"),
+        F.expr("CASE WHEN o_orderkey % 7 = 0 THEN '{\"passed\":true}' ELSE '{}' END").alias("details"),
     )
-    return h.quality_score(results, {"team": "orders"}).select("rule_seq", "dqeval_score")
+    return h.quality_score(results, {"team": "orders"}).select("rule_seq", "score")
 
 
 @query("result_options", f"SELECT DISTINCT dqmethod FROM {HISTORY}")

@@ -123,7 +123,7 @@ def ruleset_multi_table(spark, sf):
 
 @query(
     "results_dedup_last",
-    f"""SELECT '{RUN_ID}' AS run_id, schema_name, table_name, dqmethod, col, status, failed_count AS dqevalcount
+    f"""SELECT '{RUN_ID}' AS run_id, schema_name, table_name, dqmethod, col, status, failed_count AS failed_count
         FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY schema_name, table_name, dqmethod, col
                                            ORDER BY rule_seq DESC) AS rn
               FROM ({every_rule_sql()}) AS results) AS ranked
@@ -160,7 +160,7 @@ evals:
     "yaml_report",
     "\nUNION ALL\n".join(
         f"""SELECT CAST({i} AS BIGINT) AS position,
-              CASE WHEN SUM(f) = 0 THEN 'Success' ELSE 'Failed' END AS status, '{kind}' AS dqeval_type,
+              CASE WHEN SUM(f) = 0 THEN 'Success' ELSE 'Failed' END AS status, '{kind}' AS check_type,
               CAST(COUNT(*) AS BIGINT) AS total, CAST(SUM(f) AS BIGINT) AS failed
             FROM (SELECT CASE WHEN {fails} THEN 1 ELSE 0 END AS f FROM {relation}) AS t"""
         for i, kind, relation, fails in (
@@ -177,7 +177,7 @@ evals:
 def yaml_report(spark, sf):
     report = run_yaml(damaged(spark, sf, "customer"), YAML, {"nations": table(spark, sf, "nation")})
     rows = [
-        (i, r["status"], r.get("dqeval_type", "none"), r.get("dqeval_total_count", -1), r.get("dqeval_failed_count", -1))
+        (i, r["status"], r.get("type", "none"), r.get("total_count", -1), r.get("failed_count", -1))
         for i, r in enumerate(report)
     ]
-    return spark.createDataFrame(rows, "position long, status string, dqeval_type string, total long, failed long")
+    return spark.createDataFrame(rows, "position long, status string, check_type string, total long, failed long")

@@ -48,8 +48,8 @@ def feature_drift(spark, sf):
     }
     return _outcome(damaged(spark, sf, "customer"), "StatisticalDistributionEval", config).select(
         "status",
-        F.round(_field("dqeval_drift_mean", "double"), 4).alias("drift_mean"),
-        F.round(_field("dqeval_drift_std", "double"), 4).alias("drift_std"),
+        F.round(_field("drift_mean", "double"), 4).alias("drift_mean"),
+        F.round(_field("drift_std", "double"), 4).alias("drift_std"),
     )
 
 

@@ -54,7 +54,7 @@ def _check(spark, sf, form="NFC"):
 def unicode_summary(spark, sf):
     out = summary(damaged(spark, sf, "documents"), _check(spark, sf))
     details = [
-        F.get_json_object("details", f"$.dqeval_{n}").cast("long").alias(n)
+        F.get_json_object("details", f"$.{n}").cast("long").alias(n)
         for n in ("matched_count", "mojibake_count", "replacement_char_count")
     ]
     return out.select("status", "total_count", "failed_count", "passed_count", *details)

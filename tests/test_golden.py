@@ -5,8 +5,9 @@ import json
 import pytest
 
 import fixtures as fx
-from plumbline import Rule, compile_table, run_check
+from plumbline import Rule, build_check, compile_table, run_check, summary as build_summary
 from plumbline.plans.ruleset import number_rules
+from plumbline.plans.single import payload
 from plumbline.sources.tables import from_mapping
 
 
@@ -32,9 +33,9 @@ def test_employee_failing_rows_match_counts(employee_run):
 
 def test_drift_and_balance_details(spark):
     drift = run_check(fx.employees(spark), "StatisticalDistributionEval", fx.EMPLOYEE_RULES[9][1])
-    assert drift["dqeval_drift_mean"] == pytest.approx(4612.9032, abs=1e-3)
-    assert drift["dqeval_drift_std"] == pytest.approx(18358.3353, abs=1e-3)
-    assert "dqeval_total_count" not in drift
+    assert drift["drift_mean"] == pytest.approx(4612.9032, abs=1e-3)
+    assert drift["drift_std"] == pytest.approx(18358.3353, abs=1e-3)
+    assert "total_count" not in drift
     balance = run_check(fx.employees(spark), "StatisticalDistributionEval", fx.EMPLOYEE_RULES[10][1])
     assert balance["max_class"] == "A" and balance["max_class_ratio"] == pytest.approx(21 / 31)
 
@@ -44,35 +45,38 @@ def test_summary_payload(spark):
         fx.employees(spark), "range", {"column": "age", "min": 18, "max": 65},
         run_id="123e4567-e89b-12d3-a456-426614174000", advanced=True,
     )
-    assert summary["dqeval_type"] == "range_eval" and summary["range"] == {"min": 18, "max": 65}
-    assert (summary["dqeval_total_count"], summary["dqeval_failed_count"], summary["dqeval_passed_count"]) == (31, 2, 29)
+    assert summary["type"] == "range_eval" and summary["range"] == {"min": 18, "max": 65}
+    assert (summary["total_count"], summary["failed_count"], summary["passed_count"]) == (31, 2, 29)
     assert summary["run_id"] == "123e4567-e89b-12d3-a456-426614174000"
     assert sorted(r["id"] for r in rows.collect()) == [14, 15]
     json.dumps(summary)
+    row = build_summary(fx.employees(spark), build_check("RangeEval", {"column": "age", "min": 18, "max": 65})).first()
+    prefixed = payload(row, prefix="old_")
+    assert prefixed["old_type"] == "range_eval" and prefixed["old_failed_count"] == 2 and "column" in prefixed
 
 
 def test_orders(spark):
     df = fx.orders(spark)
-    got = [run_check(df, m, c)["dqeval_failed_count"] for m, c, _ in fx.ORDER_RULES]
+    got = [run_check(df, m, c)["failed_count"] for m, c, _ in fx.ORDER_RULES]
     assert got == [n for *_, n in fx.ORDER_RULES]
 
 
 def test_event_log(spark):
     out = run_check(fx.event_log(spark), "DateRangeEval",
                     {"column": "event_date", "min_date": "2025-01-01", "max_date": "2026-12-31"})
-    assert (out["status"], out["dqeval_failed_count"]) == ("Failed", 6)
+    assert (out["status"], out["failed_count"]) == ("Failed", 6)
 
 
 def test_feedback(spark):
     df = fx.feedback(spark)
-    assert run_check(df, "MojibakeEval", {"column": "comment"})["dqeval_failed_count"] == 5
-    assert run_check(df, "MojibakeEval", {"column": "customer_name"})["dqeval_failed_count"] == 1
+    assert run_check(df, "MojibakeEval", {"column": "comment"})["failed_count"] == 5
+    assert run_check(df, "MojibakeEval", {"column": "customer_name"})["failed_count"] == 1
 
 
 def test_vendor(spark):
     df = spark.createDataFrame([(1, "A"), (2, "B"), (2, "B"), (3, None)], "vendorid int, name string")
-    assert run_check(df, "DupEval", {"columns": ["vendorid"]})["dqeval_failed_count"] == 2
-    assert run_check(df, "EmptyEval", {"columns": ["name"]})["dqeval_failed_count"] == 1
+    assert run_check(df, "DupEval", {"columns": ["vendorid"]})["failed_count"] == 2
+    assert run_check(df, "EmptyEval", {"columns": ["name"]})["failed_count"] == 1
 
 
 def _unicode(spark, source, target, columns, form):
@@ -84,7 +88,7 @@ def _unicode(spark, source, target, columns, form):
 
 def test_japanese(spark):
     out, rows = _unicode(spark, fx.JAPANESE_SOURCE, fx.JAPANESE_TARGET, ["name", "product"], "NFKC")
-    counts = {k.removeprefix("dqeval_"): v for k, v in out.items() if k.endswith("_count")}
+    counts = {k: v for k, v in out.items() if k.endswith("_count")}
     assert counts == {"total_count": 6, "matched_count": 6, "failed_count": 4, "passed_count": 2,
                       "mojibake_count": 1, "replacement_char_count": 1}
     assert sorted(r["customer_id"] for r in rows.collect()) == [2, 3, 4, 5]
@@ -93,12 +97,10 @@ def test_japanese(spark):
 @pytest.mark.parametrize("form, failed", [("NFKC", 1), ("NFC", 2), ("NFD", 2), ("NFKD", 1)])
 def test_half_width(spark, form, failed):
     out, _ = _unicode(spark, fx.HALF_WIDTH_SOURCE, fx.HALF_WIDTH_TARGET, ["name"], form)
-    assert (out["dqeval_failed_count"], out["dqeval_mojibake_count"]) == (failed, 0)
+    assert (out["failed_count"], out["mojibake_count"]) == (failed, 0)
 
 
 def test_compare_report(spark):
-    from plumbline import build_check
-
     schema = "customer_id int, name string, product string"
     source = spark.createDataFrame([*fx.JAPANESE_SOURCE, (7, "unmatched", "x")], schema)
     target = spark.createDataFrame(fx.JAPANESE_TARGET, schema)

@@ -133,7 +133,7 @@ def test_drill_down_paths(spark, join_path):
     results = spark.createDataFrame(
         [("r", "s", f"t{i}", "RangeEval", "c", "Failed" if i % 2 else "Success", None, i) for i in range(20)],
         "run_id string, schema_name string, table_name string, dqmethod string, col string, status string, "
-        "run_timestamp timestamp_ntz, dqevalcount long")
+        "run_timestamp timestamp_ntz, failed_count long")
     records = spark.createDataFrame(
         [("r", f"t{i % 20 if i % 3 else 1}", "RangeEval", "c", str(i)) for i in range(300)],
         "run_id string, table_name string, dqmethod string, col string, failed_row string")

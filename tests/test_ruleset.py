@@ -94,7 +94,7 @@ def test_same_label_rules_stay_apart(spark):
     run = compile_table(fx.employees(spark), rules, Run.start(RUN_ID))
     assert sorted((r["col"], r["failed_count"]) for r in run.results().collect()) == [("N/A", 0), ("N/A", 31)]
     kept = stored_form(keep_last(run.results())).collect()
-    assert len(kept) == 1 and kept[0]["dqevalcount"] == 0  # the last rule wins in the store
+    assert len(kept) == 1 and kept[0]["failed_count"] == 0  # the last rule wins in the store
 
 
 def test_rules_on_the_same_key_share_failing_rows(spark, source, monkeypatch):
@@ -205,8 +205,8 @@ evals:
 def test_yaml(spark, tmp_path):
     report = run_yaml(fx.employees(spark), YAML, {"ref_df": fx.users(spark)}, {"adult": lambda r: r["age"] >= 18})
     assert [r["status"] for r in report] == ["Failed", "Failed", "Success", "Failed", "Failed", "Failed", "Success"] + ["Error"] * 3
-    assert [r["dqeval_failed_count"] for r in report[:6]] == [2, 1, 0, 1, 1, 1]
-    assert report[3]["dqeval_config"]["reference_df"] == "ref_df" and report[3]["dqeval_engine"] == "spark"
+    assert [r["failed_count"] for r in report[:6]] == [2, 1, 0, 1, 1, 1]
+    assert report[3]["config"]["reference_df"] == "ref_df" and report[3]["engine"] == "spark"
     assert report[7]["check_index"] == 7 and "max" in report[7]["error_message"] or "min" in report[7]["error_message"]
     assert {r["run_id"] for r in report} == {RUN_ID}
     assert len(json.loads(report_json(report))) == 10

@@ -64,8 +64,8 @@ def mixed(spark):
 def test_row_semantics(mixed, method, config, expected):
     assert failing(mixed, method, config) == expected
     out = run_check(mixed, method, config)
-    assert out["dqeval_failed_count"] == len(expected)
-    assert out["dqeval_failed_count"] + out["dqeval_passed_count"] == out["dqeval_total_count"] == 5
+    assert out["failed_count"] == len(expected)
+    assert out["failed_count"] + out["passed_count"] == out["total_count"] == 5
     assert out["status"] == ("Failed" if expected else "Success")
 
 
@@ -160,7 +160,7 @@ def test_schema_check(spark):
     bad = run_check(df, "SchemaValidationEval", {"expected_schema": {"a": "str", "z": "int", "b": int}})
     assert bad["missing_columns"] == ["z"]
     assert bad["type_mismatches"] == {"a": {"expected": "str", "actual": "int"}}
-    assert (bad["dqeval_failed_count"], bad["dqeval_passed_count"], bad["dqeval_total_count"]) == (2, 1, 0)
+    assert (bad["failed_count"], bad["passed_count"], bad["total_count"]) == (2, 1, 0)
     report = build_check("SchemaValidationEval", {"expected_schema": {"a": "int", "z": "int"}}).report(df)
     assert [r["problem"] for r in report.orderBy("column").collect()] == ["ok", "missing"]
 
@@ -170,7 +170,7 @@ def test_empty_table(spark):
     for method, config in (("RangeEval", {"column": "a", "min": 0, "max": 1}), ("DupEval", {"columns": ["a"]}),
                            ("EmptyEval", {"columns": ["s"]})):
         out = run_check(df, method, config)
-        assert (out["status"], out["dqeval_total_count"], out["dqeval_failed_count"]) == ("Success", 0, 0)
+        assert (out["status"], out["total_count"], out["failed_count"]) == ("Success", 0, 0)
     assert run_check(df, "RowCountEval", {"min": 1})["status"] == "Failed"
 
 
