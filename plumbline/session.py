@@ -38,10 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     Every executor can reach it, so what is written there outlives any of them.  Only
     a local session may fall back to a temporary folder of the machine.
     """
-    application = spark.sparkContext.applicationId
+    application = spark.conf.get("spark.app.id")
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
         folder = _local_dirs.setdefault(application, tempfile.mkdtemp(prefix="plumbline-"))
     return f"{folder.rstrip('/')}/plumbline-{application}"

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators import KINDS, ROW_LOCAL
 from plumbline.plans.rule import RECORD_SCHEMA, RESULT_SCHEMA, Rule, Run, TableSource
-from plumbline.plans.ruleset import compile_table, number_rules, results_frame
+from plumbline.plans.ruleset import TableRun, compile_table, number_rules, results_frame
 
 RULE_KEY = ["run_id", "schema_name", "table_name", "rule_seq", "dqmethod", "col"]
 
@@ -52,6 +52,14 @@ def check_stream(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def check_whole(
+    table: DataFrame, rules: Sequence[Rule], run: Run | None = None, source: TableSource | None = None
+) -> TableRun:
+    """The rules left out by ``check_stream``, over the accumulated table."""
+    _, whole = split_rules(rules)
+    return compile_table(table, whole, run, source)
+
+
 def totals(spark: SparkSession, out: str) -> DataFrame:
     """Counts summed over all increments, one row per rule."""
     batches = spark.read.schema(RESULT_SCHEMA + ", batch_id long").parquet(f"{out}/results")

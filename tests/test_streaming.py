@@ -3,7 +3,7 @@
 import fixtures as fx
 from plumbline import Rule, Run, compile_table
 from plumbline.plans.ruleset import number_rules
-from plumbline.streaming.incremental import check_stream, failed_records, split_rules, totals
+from plumbline.streaming.incremental import check_stream, check_whole, failed_records, split_rules, totals
 
 RULES = number_rules([
     Rule("RangeEval", {"column": "quantity", "min": 1, "max": 100}, "orders"),
@@ -20,6 +20,11 @@ def test_split():
     assert [r.rule_seq for r in local] == [1, 2, 3, 4] and [r.rule_seq for r in whole] == [5, 6]
 
 
+def test_whole_table_rules(spark):
+    rows = check_whole(fx.orders(spark), RULES).results().collect()
+    assert {r["rule_seq"]: (r["status"], r["failed_count"]) for r in rows} == {5: ("Failed", 2), 6: ("Error", 0)}
+
+
 def test_increments_equal_batch(spark, tmp_path):
     df = fx.orders(spark)
     df.repartition(5).write.parquet(str(tmp_path / "in"))
