@@ -15,7 +15,7 @@ import operator
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from plumbline.errors import RuleConfigError
 from plumbline.functions.keys import quoted
@@ -113,11 +113,11 @@ def callable_to_column(func: Callable, columns: list[str], numeric: set[str], ro
         def check(record):
             return bool(func({n: missing(n, record[n]) for n in columns}))
 
-        return F.udf(check, "boolean", useArrow=True)(F.struct(*[F.col(quoted(c)) for c in columns]))
+        return F.udf(check, T.BooleanType(), useArrow=True)(F.struct(*[F.col(quoted(c)) for c in columns]))
 
     name = columns[0]
 
     def check_value(v):
         return bool(func(missing(name, v)))
 
-    return F.udf(check_value, "boolean", useArrow=True)(F.col(quoted(name)))
+    return F.udf(check_value, T.BooleanType(), useArrow=True)(F.col(quoted(name)))

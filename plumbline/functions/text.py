@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The replacement character, and UTF-8 lead and continuation bytes
 # that were read as Latin-1.
@@ -16,7 +16,12 @@ def has_replacement_char(text: Column) -> Column:
 
 
 def has_mojibake(text: Column) -> Column:
-    return F.coalesce(text.rlike(MOJIBAKE_PAIR), F.lit(False))
+    # Comparing two lengths is far cheaper than a regex and settles all-ASCII text.
+    return F.coalesce(_holds_more_than_ascii(text) & text.rlike(MOJIBAKE_PAIR), F.lit(False))
+
+
+def _holds_more_than_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.length(text)
 
 
 def _through_python(form: str, digested: bool):
@@ -37,7 +42,7 @@ def _through_python(form: str, digested: bool):
 
         return values.map(digest)
 
-    chosen, kind = (normalise_and_digest, "binary") if digested else (normalise, "string")
+    chosen, kind = (normalise_and_digest, T.BinaryType()) if digested else (normalise, T.StringType())
     chosen.__annotations__ = {"values": pd.Series, "return": pd.Series}
     return F.pandas_udf(chosen, kind)
 
@@ -48,7 +53,7 @@ def _non_ascii(text: Column) -> Column:
     ASCII text is the same in every normal form.  It is sent to Python as null,
     because a guard around the call would not keep the values from being shipped.
     """
-    return F.when(F.octet_length(text) != F.length(text), text)
+    return F.when(_holds_more_than_ascii(text), text)
 
 
 def normalised(text: Column, form: str = "NFC") -> Column:
