@@ -121,10 +121,20 @@ class TableCheck(Check):
 class KeyedCheck(Check):
     """Needs rows brought together by key: a shuffle of its own."""
 
-    def tally(self, df: DataFrame) -> DataFrame:
+    def facts(self, df: DataFrame) -> DataFrame | None:
+        """What verdict and failing rows are both made from, computed and stored now.
+
+        Worth it when both are wanted: the table is then shuffled once, not twice.
+        """
+        return None
+
+    def tally(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         """One row: ``passed, total_count, failed_count, passed_count, details``."""
         raise NotImplementedError
 
+    def failing(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame | None:
+        return None
+
 
 def details_json(**parts: Column) -> Column:
     """Check-specific fields of a summary as a JSON object, nulls kept."""

@@ -53,13 +53,15 @@ def attach(
     how: str = "inner",
     weight: str | None = None,
     counts_of: DataFrame | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """``df`` joined with ``facts``, which holds one row per key; null matches null.
 
     ``weight`` names the column of ``facts`` that counts the table's rows per key.
     Without it the rows are counted, in ``counts_of`` if that is cheaper to read.
+    ``stored`` facts are read from files already and not written again.
     """
-    facts = cut_lineage(facts)
+    facts = facts if stored else cut_lineage(facts)
     if fits_broadcast(facts):
         return _match(df, F.broadcast(facts), keys, how)
     if weight:

@@ -12,6 +12,7 @@ from plumbline.functions.keys import compact_key, quoted, with_keys
 from plumbline.functions.types import is_number, is_text, nan_as_null
 from plumbline.operators.base import NUMBER, KeyedCheck, details_json, no_failures
 from plumbline.operators.joins import attach, fits_broadcast
+from plumbline.session import cut_lineage
 
 
 def rows_per_key(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
@@ -34,6 +35,18 @@ def counted_verdict(counts: DataFrame, failed) -> DataFrame:
     )
 
 
+def stored_verdict(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """As ``counted_verdict`` from the failing keys alone; counting rows reads no column."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return facts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failed_count")).select(
+        (F.col("failed_count") == 0).alias("passed"),
+        total.alias("total_count"),
+        "failed_count",
+        (total - F.col("failed_count")).alias("passed_count"),
+        F.lit("{}").alias("details"),
+    )
+
+
 @dataclass(frozen=True)
 class Duplicate(KeyedCheck):
     """Fails every row whose key combination occurs more than once."""
@@ -51,18 +64,25 @@ class Duplicate(KeyedCheck):
     def input_columns(self) -> list[str]:
         return list(self.columns)
 
-    def tally(self, df: DataFrame) -> DataFrame:
+    def facts(self, df: DataFrame) -> DataFrame:
+        """The repeated keys with their row counts."""
+        counts, _ = rows_per_key(df, list(self.columns))
+        return cut_lineage(counts.filter("n > 1"))
+
+    def tally(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+        if facts is not None:
+            return stored_verdict(df, facts)
         counts, _ = rows_per_key(df, list(self.columns))
         return counted_verdict(counts, F.when(F.col("n") > 1, F.col("n")))
 
-    def failing(self, df: DataFrame) -> DataFrame:
-        counts, keys = rows_per_key(df, list(self.columns))
-        keyed, _ = with_keys(df, list(self.columns))
-        repeated = attach(keyed, counts.filter("n > 1"), keys, "left_semi", weight="n")
+    def failing(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+        keyed, keys = with_keys(df, list(self.columns))
+        facts = self.facts(df) if facts is None else facts
+        repeated = attach(keyed, facts, keys, "left_semi", weight="n", stored=True)
         return repeated.select(*[quoted(c) for c in df.columns])
 
     def same_failures(self) -> Any:
-        return ("repeated keys", frozenset(self.columns))
+        return ("repeated keys", self.columns)
 
 
 @dataclass(frozen=True)
@@ -106,7 +126,7 @@ class LabelBalance(KeyedCheck):
         total = classes.agg(F.sum("n")).scalar()
         return classes.select("label", "n", (F.col("n") / total).alias("ratio"))
 
-    def tally(self, df: DataFrame) -> DataFrame:
+    def tally(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         counted = F.when(F.col("label").isNotNull(), F.col("n"))
         found = self._classes(df).agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("total_count"),
@@ -165,24 +185,30 @@ class ReferentialIntegrity(KeyedCheck):
         key = compact_key(F.col(quoted(self.reference_column)), dtype)
         return self.reference_df.select(key.alias("__k0")).filter(F.col("__k0").isNotNull())
 
-    def tally(self, df: DataFrame) -> DataFrame:
+    def facts(self, df: DataFrame) -> DataFrame:
+        """The keys that are not in the reference, with their row counts."""
         counts, keys = rows_per_key(df, [self.column])
-        known = self._reference_keys().distinct().withColumn("known", F.lit(True))
+        # Distinct, so that a value the reference repeats often is shuffled once per task.
         # Both sides come out of their aggregates partitioned by the key already, so a
         # merge join moves nothing more and needs no broadcast of the reference.
-        matched = counts.join(known.hint("merge"), keys, "left")
-        return counted_verdict(matched, F.when(F.col("known").isNull(), F.col("n")))
+        known = self._reference_keys().distinct().hint("merge")
+        return cut_lineage(counts.join(known, keys, "left_anti"))
+
+    def tally(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+        if facts is not None:
+            return stored_verdict(df, facts)
+        counts, keys = rows_per_key(df, [self.column])
+        known = self._reference_keys().distinct().withColumn("known", F.lit(True)).hint("merge")
+        return counted_verdict(counts.join(known, keys, "left"), F.when(F.col("known").isNull(), F.col("n")))
 
-    def failing(self, df: DataFrame) -> DataFrame:
+    def failing(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         keyed, keys = with_keys(df, [self.column])
         known = self._reference_keys()
-        if fits_broadcast(known):
+        if facts is None and fits_broadcast(known):
             rows = keyed.join(F.broadcast(known), keys, "left_anti")
         else:
-            counts, _ = rows_per_key(df, [self.column])
-            # Distinct, so that a value the reference repeats often is shuffled once per task.
-            orphans = counts.join(known.distinct().hint("merge"), keys, "left_anti")
-            rows = attach(keyed, orphans, keys, "left_semi", weight="n")
+            facts = self.facts(df) if facts is None else facts
+            rows = attach(keyed, facts, keys, "left_semi", weight="n", stored=True)
         return rows.select(*[quoted(c) for c in df.columns])
 
     def static_details(self) -> dict[str, Any]:

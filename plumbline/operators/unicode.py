@@ -109,9 +109,13 @@ class UnicodeValidation(KeyedCheck):
         sums = [F.sum(c).alias(c) for c in ("s", "s_clean", "s_mojibake", "s_replaced", "t")]
         return source.unionByName(target).groupBy(KEY, TEXT).agg(*sums)
 
-    def counts(self, df: DataFrame) -> DataFrame:
+    def facts(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(self._per_text(df))
+
+    def counts(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         """One row: source rows, matched pairs, and passed, failed and damaged pairs."""
-        per_key = self._per_text(df).groupBy(KEY).agg(
+        per_text = self._per_text(df) if facts is None else facts
+        per_key = per_text.groupBy(KEY).agg(
             *[F.sum(c).alias(c) for c in ("s", "s_mojibake", "s_replaced", "t")],
             F.sum(F.col("s_clean") * F.col("t")).alias("equal"),
         )
@@ -127,7 +131,7 @@ class UnicodeValidation(KeyedCheck):
             pairs("s_replaced").alias("replacement_char_count"),
         ).withColumn("failed_count", F.col("matched_count") - F.col("passed_count"))
 
-    def tally(self, df: DataFrame) -> DataFrame:
+    def tally(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         details = details_json(
             key_column=F.lit(self.key_column),
             columns_checked=F.array(*[F.lit(c) for c in self.columns]),
@@ -136,22 +140,22 @@ class UnicodeValidation(KeyedCheck):
             mojibake_count=F.col("mojibake_count"),
             replacement_char_count=F.col("replacement_char_count"),
         )
-        return self.counts(df).select(
+        return self.counts(df, facts).select(
             (F.col("failed_count") == 0).alias("passed"), "total_count", "failed_count",
             "passed_count", details.alias("details"),
         )
 
-    def _failing_texts(self, df: DataFrame) -> DataFrame:
+    def _failing_texts(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         """(key, text) groups of the source with at least one failing pair."""
-        per_text = cut_lineage(self._per_text(df))
+        per_text = self.facts(df) if facts is None else facts
         targets = per_text.groupBy(KEY).agg(F.sum("t").alias("t_all")).filter("t_all > 0")
         groups = per_text.filter("s > 0").withColumnRenamed("t", "t_same")
         matched = attach(groups, targets, [KEY])
         return matched.filter("t_all > t_same OR s_clean < s").select(KEY, TEXT, "s", "t_all", "t_same")
 
-    def failing(self, df: DataFrame) -> DataFrame:
+    def failing(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         """Source rows, key first, one for each failing pair."""
-        rows = attach(self._source(df), self._failing_texts(df), [KEY, TEXT], weight="s")
+        rows = attach(self._source(df), self._failing_texts(df, facts), [KEY, TEXT], weight="s")
         damaged = F.col("__mojibake") | F.col("__replaced")
         pairs = F.when(damaged, F.col("t_all")).otherwise(F.col("t_all") - F.col("t_same"))
         columns = [self.key_column, *[c for c in df.columns if c != self.key_column]]

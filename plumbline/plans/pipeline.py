@@ -80,9 +80,13 @@ def run_all(
     source: TableSource,
     run: Run | None = None,
     parallel_tables: int = 4,
+    keep_rows: bool = True,
 ) -> Outcome:
     """Run the catalogue now: results are fetched, one row per rule.
 
+    With ``keep_rows`` what the keyed checks find out is stored, so that fetching the
+    failing rows afterwards does not repeat it.
+
     Tables are independent, so a few are submitted at a time to keep the cluster
     busy through the small last stages of each.
     """
@@ -91,7 +95,11 @@ def run_all(
     settled: list[tuple[list, TableRun]] = []
     if tables:
         with ThreadPoolExecutor(max_workers=parallel_tables) as pool:
-            jobs = [(t, pool.submit(inheritable_thread_target(spark)(t.settled))) for t in tables]
+
+            def job(table: TableRun) -> tuple[list, TableRun]:
+                return (table.prepared() if keep_rows else table).settled()
+
+            jobs = [(t, pool.submit(inheritable_thread_target(spark)(job), t)) for t in tables]
             for table, job in jobs:
                 try:
                     settled.append(job.result())

@@ -9,7 +9,7 @@ aggregate is turned into one row per rule with ``inline``.
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -49,7 +49,29 @@ class TableRun:
     schema_name: str
     table_name: str
     compiled: tuple[Compiled, ...]
-    errors: tuple[tuple[Rule, str], ...] = field(default=())
+    errors: tuple[tuple[Rule, str], ...] = ()
+    facts: Mapping[object, DataFrame] = field(default_factory=dict, compare=False)
+
+    def prepared(self) -> "TableRun":
+        """Compute the keyed checks' facts now, for results and failing rows alike.
+
+        Rules on the same key share them.  A check whose facts cannot be computed is
+        left as it is; its error shows when the results are.
+        """
+        facts = dict(self.facts)
+        for c in self.compiled:
+            if isinstance(c.check, KeyedCheck) and c.check.same_failures() not in facts:
+                try:
+                    found = c.check.facts(self.df)
+                except Exception as exc:
+                    logger.warning("%s.%s, %s: %s", self.schema_name, self.table_name, c.rule.dqmethod, exc)
+                    continue
+                if found is not None:
+                    facts[c.check.same_failures()] = found
+        return replace(self, facts=facts)
+
+    def _facts_of(self, check: KeyedCheck) -> DataFrame | None:
+        return self.facts.get(check.same_failures())
 
     # -- results ---------------------------------------------------------------
 
@@ -94,7 +116,7 @@ class TableRun:
     def _tally(self, c: Compiled) -> DataFrame:
         names = ("passed", "total_count", "failed_count", "passed_count", "details")
         columns = _verdict_columns(c.rule, c.check.label(), c.check.result_name(), *[F.col(n) for n in names])
-        return self._finish(c.check.tally(self.df).select(*columns))
+        return self._finish(c.check.tally(self.df, self._facts_of(c.check)).select(*columns))
 
     def _error_rows(self) -> DataFrame:
         none = F.lit(None).cast("long")
@@ -141,7 +163,9 @@ class TableRun:
             )
         others = [c for c in self.compiled if c not in rows]
         for same in _grouped(others):
-            failing = same[0].check.failing(self.df)
+            check = same[0].check
+            known = [self._facts_of(check)] if isinstance(check, KeyedCheck) else []
+            failing = check.failing(self.df, *known)
             if failing is not None:
                 tags = F.explode(F.array(*[_tag(c) for c in same])).alias("hit")
                 frames.append(failing.select(row_json(self.df.columns).alias("failed_row"), tags))

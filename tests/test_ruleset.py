@@ -97,6 +97,24 @@ def test_same_label_rules_stay_apart(spark):
     assert len(kept) == 1 and kept[0]["failed_count"] == 0  # the last rule wins in the store
 
 
+def test_prepared_facts_change_nothing(spark, source, monkeypatch):
+    from plumbline.operators import keyed
+
+    japanese = spark.createDataFrame(fx.HALF_WIDTH_SOURCE, "customer_id int, name string")
+    target = spark.createDataFrame(fx.HALF_WIDTH_TARGET, "customer_id int, name string")
+    texts = Rule("UnicodeValidationEval", {"key_column": "customer_id", "columns": ["name"], "target_df": target})
+    for run in (compile_table(fx.employees(spark), employee_rules(), source=source),
+                compile_table(japanese, number_rules([texts, Rule("DupEval", {"columns": ["name"]})]))):
+        columns = ("rule_seq", "status", "total_count", "failed_count", "passed_count", "details")
+        expected = sorted(map(str, run.results().select(*columns).collect()))
+        rows = sorted(map(str, run.failed_records().select("rule_seq", "failed_row").collect()))
+        ready = run.prepared()
+        with monkeypatch.context() as m:  # nothing is counted again
+            m.setattr(keyed, "rows_per_key", None)
+            assert sorted(map(str, ready.results().select(*columns).collect())) == expected
+            assert sorted(map(str, ready.failed_records().select("rule_seq", "failed_row").collect())) == rows
+
+
 def test_rules_on_the_same_key_share_failing_rows(spark, source, monkeypatch):
     from plumbline.operators import keyed
 
