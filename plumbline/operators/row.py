@@ -117,8 +117,12 @@ class CategoricalValues(RowCheck):
 
     def fails(self, schema: T.StructType) -> Column:
         value = F.col(quoted(self.column))
-        allowed = self._literals(schema[self.column].dataType)
-        outside = ~value.isin(*allowed) if allowed else F.lit(True)
+        dtype = schema[self.column].dataType
+        allowed = self._literals(dtype)
+        found = value.isin(*allowed) if allowed else F.lit(False)
+        if is_datetime(dtype):  # a listed value may be no date, hence null
+            found = F.coalesce(found, F.lit(False))
+        outside = ~found
         if None in self.allowed_values or self.null_policy == "pass":
             return value.isNotNull() & outside
         return value.isNull() | outside

@@ -8,7 +8,7 @@ from plumbline.sources.failed_log import flattened, select_records
 
 
 def _evened_out(rows: DataFrame) -> DataFrame:
-    """Files of a sensible size.
+    """Spread rows over tasks, for files of a sensible size and even parsing.
 
     Failing rows are few in most input partitions and many in some; adaptive
     execution merges the small ones and splits the large ones.
@@ -35,9 +35,9 @@ def promote(records: DataFrame, table: str, row_schema: T.StructType, path: str,
     Promoting a run a second time replaces it.  Returns where the rows are.
     """
     target = f"{path}/{table}_failed_rows"
-    rows = flattened(select_records(records, run_id=run_id, table=table), row_schema)
+    rows = flattened(_evened_out(select_records(records, run_id=run_id, table=table)), row_schema)
     (
-        _evened_out(rows).write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id")
         .parquet(target)
@@ -48,12 +48,12 @@ def promote(records: DataFrame, table: str, row_schema: T.StructType, path: str,
 def promote_to_table(records: DataFrame, table: str, row_schema: T.StructType, schema: str = "default") -> str:
     """As ``promote``, appending to a table of the catalog."""
     target = f"`{schema}`.`{table}_failed_rows`"
-    rows = flattened(select_records(records, table=table), row_schema)
-    _evened_out(rows).write.mode("append").saveAsTable(target)
+    rows = flattened(_evened_out(select_records(records, table=table)), row_schema)
+    rows.write.mode("append").saveAsTable(target)
     return target
 
 
 def export_csv(records: DataFrame, row_schema: T.StructType, path: str) -> None:
     """Write failing rows as CSV: the row's columns, then method, column and run."""
-    rows = flattened(records, row_schema, meta_first=False)
-    _evened_out(rows).write.mode("overwrite").option("header", True).csv(path)
+    rows = flattened(_evened_out(records), row_schema, meta_first=False)
+    rows.write.mode("overwrite").option("header", True).csv(path)

@@ -35,10 +35,11 @@ def _records_sql() -> str:
 RECORDS = f"({_records_sql()}) AS records"
 
 
-def _from_json(records, schema):
-    parsed = records.withColumn("r", F.from_json("failed_row", schema))
+def _from_json(records, schema, shown=("run_id", "schema_name", "table_name", "rule_seq", "dqmethod", "col")):
+    # Failing rows are unevenly spread, and parsing costs more than moving them.
+    parsed = records.hint("rebalance").withColumn("r", F.from_json("failed_row", schema))
     values = [F.col(f"r.{c.strip()}") for c in COLUMNS.split(",")]
-    return parsed.select("run_id", "schema_name", "table_name", "rule_seq", "dqmethod", "col", *values)
+    return parsed.select(*shown, *values)
 
 
 @query("failed_records", f"SELECT * FROM {RECORDS}")
@@ -165,12 +166,10 @@ def failed_csv(spark, sf):
 )
 def drilldown_join(spark, sf):
     run = line_run(spark, sf)
+    run = run.prepared()
     joined = drill_down(stored_form(keep_last(run.results())), run.failed_records())
-    values = F.from_json("failed_row", run.df.schema)
-    return joined.withColumn("r", values).select(
-        "run_id", "table_name", "dqmethod", "col", "status", "failed_count",
-        *[F.col(f"r.{c.strip()}") for c in COLUMNS.split(",")],
-    )
+    shown = ("run_id", "table_name", "dqmethod", "col", "status", "failed_count")
+    return _from_json(joined, run.df.schema, shown)
 
 
 @query(

@@ -41,6 +41,7 @@ def mixed(spark):
     ("CategoricalValuesEval", {"column": "n", "allowed_values": [3, "30", 0.0, True]}, [2, 3]),
     ("CategoricalValuesEval", {"column": "b", "allowed_values": [True]}, [2, 3]),
     ("CategoricalValuesEval", {"column": "t", "allowed_values": ["2020-01-01"]}, [2, 3, 4, 5]),
+    ("CategoricalValuesEval", {"column": "t", "allowed_values": ["2020-01-01", "no date", None]}, [2, 4, 5]),
     ("CategoricalValuesEval", {"column": "s", "allowed_values": []}, [1, 2, 3, 4, 5]),
     ("StringFormatEval", {"column": "s", "pattern": "[a-z]"}, [2, 3, 4, 5]),
     ("StringFormatEval", {"column": "s", "pattern": "(?i)abc$"}, [2, 3, 4]),
