@@ -14,6 +14,7 @@ from plumbline.errors import RuleConfigError
 from plumbline.functions import patterns, predicates, text
 from plumbline.functions.keys import quoted
 from plumbline.functions.types import (
+    TIMESTAMPS,
     as_timestamp,
     convertible,
     is_datetime,
@@ -231,11 +232,14 @@ class DateRange(RowCheck):
     def fails(self, schema: T.StructType) -> Column:
         dtype = schema[self.column].dataType
         column = F.col(quoted(self.column))
-        # A timestamp column is compared as it is, so the test reaches the scan.
-        kept = isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
-        value = column if kept else as_timestamp(column, dtype)
-        kind = dtype if kept else T.TimestampNTZType()
-        low, high = [F.lit(str(self._parse(b))).cast(kind) for b in (self.min_date, self.max_date)]
+        bounds = [self._parse(b) for b in (self.min_date, self.max_date)]
+        whole_days = all(b.time() == dt.time() for b in bounds)
+        # A date or timestamp column is compared as it is, so the test reaches the scan.
+        if isinstance(dtype, TIMESTAMPS) or (isinstance(dtype, T.DateType) and whole_days):
+            value, kind = column, dtype
+        else:
+            value, kind = as_timestamp(column, dtype), T.TimestampNTZType()
+        low, high = [F.lit(str(b)).cast(kind) for b in bounds]
         return value.isNull() | (value < low) | (value > high)
 
     def static_details(self) -> dict[str, Any]:

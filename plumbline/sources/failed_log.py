@@ -34,13 +34,15 @@ def total(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("total"))
 
 
-def runs(records: DataFrame) -> DataFrame:
-    """Runs in the log with their tables."""
-    return (
-        records.groupBy("run_id")
-        .agg(F.sort_array(F.collect_set("table_name")).alias("tables"), F.count(F.lit(1)).alias("records"))
-        .orderBy("run_id")
+def runs(records: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Runs in the log with their tables; newest first if the results tell when they started."""
+    found = records.groupBy("run_id").agg(
+        F.sort_array(F.collect_set("table_name")).alias("tables"), F.count(F.lit(1)).alias("records")
     )
+    if results is None:
+        return found.orderBy("run_id")
+    starts = results.groupBy("run_id").agg(F.min("run_timestamp").alias("started_at"))
+    return found.join(starts, "run_id", "left").orderBy(F.desc_nulls_last("started_at"), "run_id")
 
 
 def manifest(records: DataFrame) -> DataFrame:

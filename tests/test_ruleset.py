@@ -171,6 +171,8 @@ def test_log_store_and_promotion(spark, source, tmp_path):
     assert records.count() == expected
     assert log.manifest(records).collect()[0]["failed_count"] == expected
     assert [tuple(r) for r in log.runs(records).collect()] == [(RUN_ID, ["employees"], expected)]
+    newest = log.runs(records, read_results(spark, store)).collect()
+    assert [(r["run_id"], r["started_at"]) for r in newest] == [(RUN_ID, run.run.run_timestamp)]
     assert log.select_records(records, method="RangeEval", col="age").count() == 2
     assert log.page(records, 1, 5).count() == 5 and log.page(records, 4, 5).count() == expected - 15
 

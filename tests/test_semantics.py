@@ -108,6 +108,14 @@ def test_date_range_of_text(spark):
     assert failing(df, "DateRangeEval", {"column": "s", "min_date": "2020-01-01", "max_date": "2021-01-01"}) == [2, 3, 4]
 
 
+def test_date_range_of_dates(spark):
+    df = spark.createDataFrame([(1, "2019-12-31"), (2, "2020-01-01"), (3, "2020-06-30"), (4, "2020-07-01"), (5, None)], "i int, s string")
+    df = df.selectExpr("i", "CAST(s AS DATE) AS d")
+    assert failing(df, "DateRangeEval", {"column": "d", "min_date": "2020-01-01", "max_date": "2020-06-30"}) == [1, 4, 5]
+    noon = {"column": "d", "min_date": "2020-01-01 12", "max_date": "2020-07-01 12", "date_format": "%Y-%m-%d %H"}
+    assert failing(df, "DateRangeEval", noon) == [1, 2, 5]
+
+
 def test_regex_follows_python(spark):
     texts = ["naïve", "a\u0085b", "end\n", "٣", "tab\there"]
     df = spark.createDataFrame([(t,) for t in texts], "s string")
