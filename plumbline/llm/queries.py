@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import language_id, token_counts, token_files
+from plumbline.llm import language_id, substring_dedup, token_counts, token_files
 from plumbline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     token_files.write_files(
         table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), files)
     return token_files.read_digests(spark, files)
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.mark_repeats(table(spark, sf, "documents"), window=20)
