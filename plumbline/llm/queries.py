@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import language_id, substring_dedup, token_counts, token_files
+from plumbline.llm import jaccard_join, language_id, substring_dedup, token_counts, token_files
 from plumbline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,9 @@ def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.mark_repeats(table(spark, sf, "documents"), window=20)
+
+
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf, "documents")) \
+        .select("doc_id", "n_shingles", "component_id", "class_id")
