@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, jaccard_join, language_id, substring_dedup, token_counts, token_files
+from plumbline.llm import bpe, jaccard_join, language_id, pii, substring_dedup, token_counts, token_files
 from plumbline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_bpe")
 def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(table(spark, sf, "documents"))
