@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import bpe, jaccard_join, language_id, pii, substring_dedup, token_counts, token_files
+from plumbline.llm import ann, bpe, jaccard_join, language_id, pii, substring_dedup, token_counts, token_files
 from plumbline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_pii")
 def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(table(spark, sf, "documents"))
+
+
+@query("op8_forest_neighbours")
+def op8_forest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
