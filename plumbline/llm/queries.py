@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import ann, bpe, jaccard_join, language_id, pii, substring_dedup, token_counts, token_files
+from plumbline.llm import (ann, bpe, html_text, jaccard_join, language_id, pii, substring_dedup, token_counts,
+                           token_files)
 from plumbline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,9 @@ def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_forest_neighbours")
 def op8_forest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op6_html_text")
+def op6_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return html_text.extract(pages, html_text.learn(pages))
