@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import (ann, bpe, html_text, jaccard_join, language_id, pii, substring_dedup, token_counts,
+from plumbline.llm import (ann, bpe, decontaminate, html_text, jaccard_join, language_id, pii, substring_dedup, token_counts,
                            token_files)
 from plumbline.session import shared_dir
 
@@ -81,3 +81,8 @@ def op8_forest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def op6_html_text(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     return html_text.extract(pages, html_text.learn(pages))
+
+
+@query("op1_benchmark_leaks")
+def op1_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

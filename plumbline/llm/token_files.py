@@ -10,7 +10,7 @@ redundancy worth the time), one file for each range of ids, in ascending order o
 block, and ``ranks`` (rank, id).  Spark commits both, so a repeated task leaves one copy.
 
 Cases: a null text is empty and has the end id only; documents with null ids come first;
-those with equal ids follow each other in the order of their coded bytes; a document may
+those with equal doc ids follow each other in the order of their token ids' bytes; a document may
 be longer than a block and then has a block of its own; an empty table makes empty files.
 """
 
@@ -31,28 +31,35 @@ from plumbline.session import shared_dir
 BLOCK_IDS = 1 << 18
 BLOCKS = "part int, block int, first long, doc_ids array<long>, sizes array<int>, control binary, data binary"
 
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.int64)
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values.  The last control byte is filled
-    up with lengths of one that have no data."""
+def _slots(sizes: np.ndarray) -> np.ndarray:
+    """Where each value's code lies, if every document of ``sizes`` values starts a control
+    byte."""
+    quads = -(-sizes // 4)
+    return np.repeat(4 * (np.cumsum(quads) - quads) - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of unsigned 32-bit values of documents of ``sizes`` values.  A
+    document's last control byte is filled up with lengths of one that have no data."""
     values = np.ascontiguousarray(values, "<u4")
-    lengths = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[:len(values)] = lengths - 1
+    longer = (values > 0xFF).astype(np.uint8)
+    longer += values > 0xFFFF
+    longer += values > 0xFFFFFF
+    codes = np.zeros(4 * int((-(-sizes // 4)).sum()), np.uint8)
+    codes[_slots(sizes)] = longer
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    width = int(longer.max(initial=0)) + 1
+    data = values.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) <= longer[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
-    """The values of documents of ``sizes`` values, each packed by itself and then joined."""
-    quads = -(-sizes // 4)
-    slots = 4 * (np.cumsum(quads) - quads)
-    kept = np.repeat(slots - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[kept]
+    """The values of ``pack``."""
+    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[_slots(sizes)]
     at = np.cumsum(lengths) - lengths
     padded = np.frombuffer(data + b"\0\0\0", np.uint8)
     values = padded[at].astype(np.uint32)
@@ -84,21 +91,16 @@ def write_files(docs: DataFrame, path: str, files: str, *, end_id: int = 0,
     _write_ranks(spark, ranks, f"{files}/ranks")
     shared = spark.sparkContext.broadcast(ranks)  # one number for each id of the vocabulary
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.zeros(int(shared.value.max(initial=0)) + 1, np.uint32)
         order[shared.value] = np.arange(len(shared.value), dtype=np.uint32)
-        for b in batches:
-            raw = [np.frombuffer(x, f"<u{width}") for x in b.column(1).to_pylist()]
-            coded = [pack(order[x]) for x in raw]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in raw], pa.int32()),
-                 pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                ["doc_id", "n", "control", "data"])
+        return _blocks(batches, order, width)
 
+    # Ids are put in order before they are coded, so that the sample that bounds the
+    # ranges is taken without Python.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids.mapInArrow(code, "doc_id long, n int, control binary, data binary") \
-        .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "control", "data") \
-        .mapInArrow(_blocks, BLOCKS).write.option("compression", "none").parquet(f"{files}/blocks")
+    ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids") \
+        .mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{files}/blocks")
 
 
 def _ranks(ids: DataFrame, width: int) -> np.ndarray:
@@ -125,29 +127,34 @@ def _write_ranks(spark: SparkSession, ranks: np.ndarray, path: str) -> None:
     spark.createDataFrame(rows, "rank long, id long").coalesce(1).write.parquet(path)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of one range, joined to blocks.  Each document starts a control byte."""
+def _blocks(batches: Iterator[pa.RecordBatch], order: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """Documents of one range, coded and joined to blocks.  Each starts a control byte."""
     from pyspark import TaskContext
 
-    part, block, first, held = TaskContext.get().partitionId(), 0, 0, 0
-    rows: list[tuple] = []
+    part, block, first = TaskContext.get().partitionId(), 0, 0
+    ids: list = []
+    raw: list[bytes] = []
+    held = 0
 
     def made() -> pa.RecordBatch:
-        ids, sizes, control, data = zip(*rows)
+        sizes = np.array([len(x) // width for x in raw], np.int64)
+        ranks = order[np.frombuffer(b"".join(raw), f"<u{width}")]
+        control, data = pack(ranks, sizes)
         return pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()),
-             pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
-             pa.array([b"".join(control)], pa.binary()), pa.array([b"".join(data)], pa.binary())],
+             pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())),
+             pa.array([control], pa.binary()), pa.array([data], pa.binary())],
             ["part", "block", "first", "doc_ids", "sizes", "control", "data"])
 
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if rows and held + row[1] > BLOCK_IDS:
+        for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if ids and held + len(x) // width > BLOCK_IDS:
                 yield made()
-                block, first, held, rows = block + 1, first + held, 0, []
-            rows.append(row)
-            held += row[1]
-    if rows:
+                block, first, held, ids, raw = block + 1, first + held, 0, [], []
+            ids.append(i)
+            raw.append(x)
+            held += len(x) // width
+    if ids:
         yield made()
 
 
