@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.session import shared_dir
 
@@ -24,7 +24,7 @@ from plumbline.session import shared_dir
 BLOCK_BYTES = 8 << 20
 #: Codes that meet in a bucket.
 BUCKET_CODES = 1 << 21
-BLOCKS = "block long, n_words long, doc_ids array<long>, sizes array<long>, payload binary"
+BLOCKS = "block long, n_words long, doc_ids array<long>, sizes array<long>, keys array<string>, payload binary"
 _BLANKS = b" \t\n\x0b\x0c\r"
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(_BLANKS)] = False
@@ -65,8 +65,9 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                block_bytes: int = BLOCK_BYTES) -> BlockTable:
-    """Write ``docs`` as blocks in ascending order of id (nulls first, ties by text)."""
+                block_bytes: int = BLOCK_BYTES, key: Column | None = None) -> BlockTable:
+    """Write ``docs`` as blocks in ascending order of id (nulls first, ties by text).  A
+    ``key`` that tells rows apart is kept with each row."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"blocks_{uuid.uuid4().hex}"
@@ -78,20 +79,23 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = TaskContext.get().partitionId() << 40
         ids: list = []
         texts: list[bytes] = []
+        keys: list = []
         held = 0
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, text, k in zip(*(c.to_pylist() for c in b.columns)):
                 if held and held + len(text) > block_bytes:
-                    yield _packed(first, ids, texts)
-                    first, ids, texts, held = first + len(ids), [], [], 0
+                    yield _packed(first, ids, texts, keys)
+                    first, ids, texts, keys, held = first + len(ids), [], [], [], 0
                 ids.append(i)
                 texts.append(text)
+                keys.append(k)
                 held += len(text)
         if ids:
-            yield _packed(first, ids, texts)
+            yield _packed(first, ids, texts, keys)
 
     docs.select(F.col(id_col).cast("long").alias("id"),
-                F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")) \
+                F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+                (F.lit(None).cast("string") if key is None else key.cast("string")).alias("key")) \
         .repartitionByRange(parts, "id").sortWithinPartitions("id", "text") \
         .mapInArrow(pack, BLOCKS).write.option("path", path).option("compression", "none") \
         .bucketBy(parts, "block").saveAsTable(name)
@@ -99,14 +103,14 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return BlockTable(spark, name, path, parts, n)
 
 
-def _packed(first: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+def _packed(first: int, ids: list, texts: list[bytes], keys: list) -> pa.RecordBatch:
     data = b"\n".join(texts) + b"\n"
     n = int((np.diff(_IS_WORD[np.frombuffer(b" " + data, np.uint8)].view(np.int8)) == 1).sum())
     return pa.RecordBatch.from_arrays(
         [pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-         pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+         pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.string())),
          pa.array([zstandard.ZstdCompressor(level=1).compress(data)], pa.binary())],
-        ["block", "n_words", "doc_ids", "sizes", "payload"])
+        ["block", "n_words", "doc_ids", "sizes", "keys", "payload"])
 
 
 class Block:
@@ -114,7 +118,7 @@ class Block:
     ``bounds[d] + i`` of the block."""
 
     def __init__(self, row: dict, fold_case: bool = False):
-        self.block, self.doc_ids = row["block"], row["doc_ids"]
+        self.block, self.doc_ids, self.keys = row["block"], row["doc_ids"], row["keys"]
         self.data = zstandard.ZstdDecompressor().decompress(row["payload"])
         sizes = np.array(row["sizes"], np.int64) + 1
         self.at = np.concatenate([[0], np.cumsum(sizes)])

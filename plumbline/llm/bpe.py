@@ -214,14 +214,16 @@ def text_encoder(path: str) -> TextEncoder:
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``ids`` of each row."""
+    """``doc_id``, ``n_tokens`` and ``ids`` of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.array(i.split(), np.int32) for i, _, _ in text_encoder(path).encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [np.fromstring(i, np.int32, sep=" ") for i, _, _ in text_encoder(path).encode(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
+                ["doc_id", "n_tokens", "ids"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(rows, "doc_id long, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(rows, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -35,8 +35,9 @@ from pyspark.sql.functions import PandasUDFType
 PASSAGE, LEAST_WORDS = 32, 5
 #: Rank of the latent space, and the columns it is looked for with besides.
 RANK, SPARE, TURNS = 512, 16, 2
-#: Terms in a larger share of the documents count as common; each item keeps its rarest.
-COMMON, KEPT_TERMS = 0.01, 8
+#: Terms in a larger share of the documents, and in more than so many, count as common;
+#: each item keeps its rarest.
+COMMON, COMMON_DOCS, KEPT_TERMS = 0.01, 10, 8
 #: Least cosine of a candidate; least share of an item's words, and of its rare words, in
 #: the common subsequence; the share from which no answer is asked for.
 COSINE, WORDS, RARE_WORDS, COPY = 0.35, 0.6, 0.6, 0.85
@@ -251,7 +252,7 @@ def _model(docs: DataFrame, text_col: str, block: list[tuple[int, str]]) -> Mode
     every = sorted({w for i in items for w in i})
     found, n = _frequencies(docs, text_col, {w: k for k, w in enumerate(every)})
     often = dict(zip(every, found.tolist()))
-    kept = {w for w in every if often[w] <= COMMON * n}
+    kept = {w for w in every if often[w] <= max(COMMON_DOCS, COMMON * n)}
     for i in items:
         kept.update(sorted(set(i), key=lambda w: (often[w], w))[:KEPT_TERMS])
     terms = {w: k for k, w in enumerate(sorted(kept))}

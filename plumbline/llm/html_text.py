@@ -34,7 +34,8 @@ SAMPLE_PAGES, SAMPLE_CHARS = 500, 200_000
 #: What it costs to label neighbours, and blocks under one parent, differently.
 NEIGHBOUR, SIBLING = 0.8, 0.4
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^<>]*+>",
+                  re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _HIDDEN = {"head", "svg", "math", "template", "select", "button", "option", "datalist", "object", "canvas"}
@@ -170,8 +171,11 @@ class _Parser:
 def parse(page: str) -> list[Text]:
     """The page's text blocks in order."""
     parser, at = _Parser(), 0
+    last = page.rfind(">") + 1  # no tag ends beyond
+    unclosed = page.find("<!--", last)
+    page = page[:unclosed] if unclosed >= 0 else page
     while True:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last)
         if not m:
             parser.text(page[at:])
             break

@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm._blocks import (BLOCK_BYTES, Block, BlockTable, CodeSpace, block_table, pack_codes,
@@ -44,12 +45,10 @@ from plumbline.session import cut_lineage
 
 #: Words in a shingle, and the similarity in hundredths.
 WORDS, THRESHOLD = 5, 80
-#: Lists are compared with so many of their members before the rest is paired.
-PIVOTS = 3
 #: No set above this size is light, whatever the costs.
 MOST_LIGHT = 24
 
-FACTS = "block long, row long, doc_id long, n_shingles long, digest binary"
+FACTS = "block long, row long, doc_id long, n_shingles long, digest binary, key string"
 LISTS = "bucket long, block long, width int, codes binary, counts binary"
 CLASSES = "block long, fact struct<bucket:long,classes:binary>"
 POSTINGS = "key long, low int, high int, class long, n int, place int"
@@ -67,11 +66,11 @@ def partners(n: int, threshold: int) -> range:
 
 def similar_documents(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD,
                       id_col: str = "doc_id", text_col: str = "text",
-                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                      block_bytes: int = BLOCK_BYTES, key: Column | None = None) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``class_id`` (the smallest id with the
-    same set), ``doc_row`` (a number of the row) and ``first_row`` (the smallest of its
-    component, or its own), for each row of ``docs``."""
-    blocks = block_table(docs, id_col, text_col, block_bytes)
+    same set), ``key`` (of the row, as given) and ``first`` (whether the row comes first in
+    its component), for each row of ``docs``."""
+    blocks = block_table(docs, id_col, text_col, block_bytes, key)
     facts = cut_lineage(blocks.rows().mapInArrow(_facts(words), FACTS))
     classes = cut_lineage(
         facts.where("n_shingles > 0").groupBy("digest")
@@ -96,12 +95,28 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, threshold: int = T
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.col("row").alias("doc_row"), F.coalesce("component", "row").alias("first_row"))
+        "key", (F.col("row") == F.coalesce("component", "row")).alias("first"))
     out = cut_lineage(out)
     blocks.drop()
     return out
 
 
+def one_of_each(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``docs`` with the first row of each component, in order of id, and nothing else."""
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    try:
+        keyed = docs.withColumn("_place", place)
+        keyed.schema  # analysed here: rows that are not read from files have no place
+    except AnalysisException:
+        docs = cut_lineage(docs)
+        keyed = docs.withColumn("_place", place)
+    found = similar_documents(keyed, words=words, threshold=threshold, id_col=id_col, text_col=text_col,
+                              key=F.col("_place"))
+    others = cut_lineage(found.where(~F.col("first")).select(F.col("key").alias("_place")))
+    return keyed.join(others, "_place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _sets(block: Block, words: int) -> Iterator[np.ndarray]:
     """Each document's distinct shingles, sorted."""
     whole = windows(block.words, words, 3)
@@ -124,8 +139,8 @@ def _facts(words: int):
                     [pa.array([row["block"]] * len(sets), pa.int64()),
                      pa.array(row["block"] + np.arange(len(sets)), pa.int64()),
                      pa.array(block.doc_ids, pa.int64()), pa.array([n for n, _ in sets], pa.int64()),
-                     pa.array([d if n else None for n, d in sets], pa.binary())],
-                    ["block", "row", "doc_id", "n_shingles", "digest"])
+                     pa.array([d if n else None for n, d in sets], pa.binary()), pa.array(block.keys, pa.string())],
+                    ["block", "row", "doc_id", "n_shingles", "digest", "key"])
 
     return facts
 
@@ -288,40 +303,32 @@ def _light_links(postings: DataFrame) -> DataFrame:
 
 def _heavy_links(blocks: BlockTable, reps: DataFrame, postings: DataFrame, words: int,
                  threshold: int, light: int) -> DataFrame:
-    spark = blocks.spark
     needed = postings.select(F.col("class").alias("rep")).distinct()
     sets = cut_lineage(blocks.with_facts(reps.join(needed, "rep", "left_semi"), "rep")
                        .mapInArrow(_set_rows(words), "class long, shingles binary"))
     lists = cut_lineage(postings.select("key", "class", "n", "place"))
-    tested = links = spark.createDataFrame([], "a long, b long")
-    for turn in range(PIVOTS + 1):
-        if lists.isEmpty():
-            break
-        if turn < PIVOTS:
-            pivots = lists.groupBy("key").agg(F.min(F.struct("class", "n", "place")).alias("p")) \
-                .select("key", F.col("p.class").alias("a"), F.col("p.n").alias("na"), F.col("p.place").alias("pa"))
-        else:
-            pivots = lists.select("key", F.col("class").alias("a"), F.col("n").alias("na"),
-                                  F.col("place").alias("pa"), F.col("component").alias("ca"))
-        other = F.col("class") > F.col("a")
-        if turn == PIVOTS:
-            other &= F.col("ca") != F.col("component")
-        pairs = lists.join(pivots, "key").where(
-            other & _can_link(threshold) & (F.greatest("n", "na") > light)) \
-            .select("a", F.col("class").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        checked = cut_lineage(_check(pairs, sets, threshold))
-        tested = tested.unionByName(checked.select("a", "b"))
-        links = links.unionByName(checked.where("linked").select("a", "b"))
-        if turn == PIVOTS:
-            break
-        found = components(links)
-        named = lists.drop("component").join(found, F.col("class") == F.col("node"), "left") \
-            .withColumn("component", F.coalesce("component", "class")).drop("node")
-        rest = named.join(pivots.select("key", F.col("a").alias("class")), ["key", "class"], "left_anti")
-        open_keys = rest.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")) \
-            .where("one != other").select("key")
-        lists = cut_lineage(rest.join(open_keys, "key", "left_semi"))
-    return links
+    one = lists.groupBy("key").agg(F.min(F.struct("class", "n", "place")).alias("p")) \
+        .select("key", F.col("p.class").alias("a"), F.col("p.n").alias("na"), F.col("p.place").alias("pa"))
+    tested = cut_lineage(_check(_pairs(lists, one, F.col("class") > F.col("a"), threshold, light), sets, threshold))
+    links = tested.where("linked").select("a", "b")
+    # Lists that hold more than one component yet, without the member all others have met.
+    named = lists.join(components(links), F.col("class") == F.col("node"), "left") \
+        .withColumn("component", F.coalesce("component", "class")).drop("node")
+    rest = named.join(one.select("key", "a"), "key").where("class != a").drop("a")
+    ends = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    rest = cut_lineage(rest.join(ends.where("low != high").select("key"), "key", "left_semi"))
+    if rest.isEmpty():
+        return links
+    others = rest.select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"),
+                         F.col("component").alias("ca"))
+    pairs = _pairs(rest, others, (F.col("class") > F.col("a")) & (F.col("ca") != F.col("component")), threshold, light) \
+        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    return links.unionByName(_check(pairs, sets, threshold).where("linked").select("a", "b"))
+
+
+def _pairs(lists: DataFrame, others: DataFrame, condition: Column, threshold: int, light: int) -> DataFrame:
+    return lists.join(others, "key").where(condition & _can_link(threshold) & (F.greatest("n", "na") > light)) \
+        .select("a", F.col("class").alias("b")).distinct()
 
 
 def _can_link(threshold: int) -> Column:

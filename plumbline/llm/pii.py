@@ -33,7 +33,7 @@ PATTERNS = {
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A token with a digit or an @, and what is cut from its ends.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-_HEAD, _TAIL = r"^[(\[{<\"']*+", r"[.,;:!?)\]}>\"']*+$"
+_HEAD, _TAIL = r"^[(\[{<\"']*+", r"(?<![.,;:!?)\]}>\"'])[.,;:!?)\]}>\"']++$"
 _SPAN = "struct<kind:int,start:int,end:int>"
 
 #: Distinct seeds that a pattern needs, and the scores that patterns and instances need.
@@ -125,8 +125,9 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]
             F.lit(number).alias("kind"), F.lower(m["text"]).alias("text"), m["contexts"].alias("contexts")))
 
     tokens = F.when(F.col("_text").rlike("[0-9@]"), _matches(F.col("_text"), _TOKEN)).otherwise(F.expr(_NONE))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(id_col).alias("_id"), text.alias("_text")) \
-        .select(*[F.col(f"`{c}`") for c in keep], "_id", *map(fixed, KINDS), tokens.alias("_tokens"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0)])  # their names meet no others
+    rows = docs.select(kept.alias("_kept"), F.col(id_col).alias("_id"), text.alias("_text")) \
+        .select("_kept", "_id", *map(fixed, KINDS), tokens.alias("_tokens"))
     seeds = F.flatten(F.array(*[spans(n, k) for n, k in enumerate(KINDS)]))
 
     def trimmed(m: Column) -> Column:
@@ -141,7 +142,7 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]
     named = F.flatten(F.array(*[instances(n, k) for n, k in enumerate(KINDS)]))
     return cut_lineage(
         rows.withColumn("_seeds", seeds)
-        .select(*[F.col(f"`{c}`") for c in keep], "_id", F.monotonically_increasing_id().alias("_row"), "_seeds",
+        .select("_kept", "_id", F.monotonically_increasing_id().alias("_row"), "_seeds",
                 named.alias("_named"), others.alias("_others")))
 
 
@@ -216,7 +217,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
         F.concat("_seeds", F.coalesce("_found", F.expr(f"CAST(array() AS array<{_SPAN}>)"))),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    text = F.col(f"`{text_col}`")
+    text = F.col(f"_kept.`{text_col}`")
     clean = F.aggregate(
         spans, F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out")),
         lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out")))
@@ -224,4 +225,4 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.get(names, x["kind"]))).alias("out"))),
         lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     return rows.withColumn("_clean", F.when(F.size(spans) > 0, clean).otherwise(text)).select(
-        *[F.col("_clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
+        *[F.col("_clean").alias(c) if c == text_col else F.col(f"_kept.`{c}`") for c in columns])

@@ -64,7 +64,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, *, id_col: str = "doc_i
     source = docs.select(F.col(id_col).alias("_id"), text)
     content = F.unhex(F.sha2(F.col("text"), 256)).alias("content")
     keyed = cut_lineage(source.select("_id", content, F.octet_length("text").cast("long").alias("n_bytes")))
-    # One row of each content speaks for all; equal ids with equal content count once later.
+    # One row of each content speaks for all.
     misses = keyed.groupBy("content").agg(F.min("_id").alias("_id")) \
         .join(_cached(spark, cache, version).select("content"), "content", "left_anti")
     found = source.select("_id", content, "text").alias("s").join(
@@ -72,9 +72,12 @@ def count_tokens(docs: DataFrame, path: str, cache: str, *, id_col: str = "doc_i
         F.col("s._id").eqNullSafe(F.col("m._id")) & (F.col("s.content") == F.col("m.content")), "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # repeated rows of one id meet in one partition
         for b in batches:
+            new = {c: t for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if c not in seen}
+            seen.update(new)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(count_batch(path, b.column(1).to_pylist()), pa.int64())],
+                [pa.array(list(new), pa.binary()), pa.array(count_batch(path, list(new.values())), pa.int64())],
                 schema=ARROW_CACHE)
 
     found.select("content", "text").mapInArrow(encode, "content binary, n_tokens long") \
