@@ -73,7 +73,11 @@ def trend(results: DataFrame, bucket: str = "hour") -> DataFrame:
     """Results per time bucket and status; weeks start on Monday."""
     if bucket not in BUCKETS:
         raise RuleConfigError(f"bucket must be one of {BUCKETS}")
-    ts = F.date_trunc(bucket, F.col("run_timestamp")).cast("timestamp_ntz")
+    ts = F.col("run_timestamp").cast("timestamp_ntz")
+    day = ts.cast("date")
+    # date_trunc would go through the session's time zone, where some hours do not exist.
+    ts = F.expr("make_timestamp_ntz(year(ts), month(ts), day(ts), hour(ts), 0, 0)".replace("ts", "run_timestamp")) \
+        if bucket == "hour" else (day if bucket == "day" else F.trunc(day, bucket)).cast("timestamp_ntz")
     return results.groupBy(ts.alias("ts")).agg(*[_with_status(s).alias(s) for s in STATUSES]).orderBy("ts")
 
 

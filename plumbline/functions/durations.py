@@ -7,13 +7,14 @@ import re
 
 from plumbline.errors import RuleConfigError
 
-# The accepted unit letters.
-UNITS = {"d": "days", "h": "hours", "m": "minutes"}
+# The accepted unit letters, in minutes.
+MINUTES = {"m": 1, "h": 60, "d": 1440}
+_DURATION = re.compile(rf"\s*(?P<amount>-?\d+)(?P<unit>[{''.join(MINUTES)}])\s*", re.IGNORECASE)
 
 
 def parse_duration(text: str) -> dt.timedelta:
     """``'90m'`` -> 90 minutes.  A leading minus is allowed and taken literally."""
-    found = re.fullmatch(r"(-?\d+)([a-z])", text.strip().lower())
-    if found is None or found[2] not in UNITS:
-        raise RuleConfigError(f"Invalid duration '{text}': use a number and d, h or m, e.g. '2h'.")
-    return dt.timedelta(**{UNITS[found[2]]: int(found[1])})
+    parts = _DURATION.fullmatch(text)
+    if not parts:
+        raise RuleConfigError(f"'{text}' is no duration such as 30m, 2h or -1d")
+    return int(parts["amount"]) * dt.timedelta(minutes=MINUTES[parts["unit"].lower()])

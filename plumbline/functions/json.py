@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from plumbline.functions.keys import quoted
+from plumbline.functions.keys import TIMESTAMPS, quoted
+
+#: Reading takes timestamps of any precision that was ever written.
+READ_TIMESTAMPS = {k: v.replace(".SSSSSS", "[.SSSSSS][.SSS]") for k, v in TIMESTAMPS.items()}
 
 
 def row_json(columns: list[str]) -> Column:
-    """The row as a JSON object, nulls kept, timestamps as ISO text."""
-    return F.to_json(F.struct(*[F.col(quoted(c)) for c in columns]), {"ignoreNullFields": "false"})
+    """The row as a JSON object, nulls kept, timestamps as ISO text to the microsecond."""
+    return F.to_json(F.struct(*[F.col(quoted(c)) for c in columns]), {"ignoreNullFields": "false", **TIMESTAMPS})
 
 
 def canonical_json(text: Column) -> Column:
-    """JSON with sorted keys and no spare blanks: equal objects, equal text."""
-    return F.to_json(F.parse_json(text))
+    """JSON with sorted keys and no spare blanks: equal objects, equal text.
+
+    Text that is no JSON stays as it is and so equals only itself.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)

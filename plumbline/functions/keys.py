@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from plumbline.functions.types import is_float, is_text, nan_as_null
 
 DIGEST_HEX_LENGTH = 64
+#: Options of JSON functions that keep timestamps whole.
+TIMESTAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def compact_key(column: Column, dtype: T.DataType) -> Column:
@@ -17,14 +19,18 @@ def compact_key(column: Column, dtype: T.DataType) -> Column:
     kept, and so cannot be mistaken for a digest, which is exactly 64 bytes.
     NaN and null are both "missing" and compare equal.
     """
+    if getattr(dtype, "collation", "UTF8_BINARY") != "UTF8_BINARY":
+        return column  # equal texts may differ in bytes
     if is_text(dtype):
         return F.when(F.octet_length(column) < DIGEST_HEX_LENGTH, column).otherwise(
             F.sha2(column, 256)
         )
     if isinstance(dtype, T.BinaryType):
         return F.sha2(column, 256)
+    if isinstance(dtype, T.MapType):
+        column, dtype = F.array_sort(F.map_entries(column)), T.ArrayType(T.StructType())
     if isinstance(dtype, (T.ArrayType, T.StructType)):
-        return F.sha2(F.to_json(F.struct(column.alias("v"))), 256)
+        return F.sha2(F.to_json(F.struct(column.alias("v")), {"ignoreNullFields": "false", **TIMESTAMPS}), 256)
     if is_float(dtype):
         return nan_as_null(column, dtype)
     return column

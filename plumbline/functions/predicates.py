@@ -4,8 +4,9 @@ Stored rules may hold a one-line Python lambda.  It is never evaluated: its synt
 tree, as given by Python's ``ast``, is read into the equivalent Column, so the rule
 runs inside the JVM with the others.  Anything beyond comparisons, boolean logic,
 arithmetic, membership and null tests is refused; such rules use a SQL predicate or
-a real callable.  As in Python, an ordering or equality test on a missing value is
-False and ``!=`` is True.
+a real callable.  As in Python, an ordering or equality test on a missing value (null or
+NaN) is False and ``!=`` is True, a remainder has the divisor's sign, and a bare value
+counts as true by its type.
 """
 
 from __future__ import annotations
@@ -26,10 +27,28 @@ _COMPARE = {
 }
 _ARITHMETIC = {
     ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul,
-    ast.Div: lambda a, b: F.try_divide(a, b), ast.Mod: operator.mod,
+    ast.Div: lambda a, b: F.try_divide(a, b),
+    # The remainder has the divisor's sign; by zero it is missing.
+    ast.Mod: lambda a, b: F.try_mod(F.try_mod(a, b) + b, b),
 }
 
 
+def _is_nan(x: Column) -> Column:
+    """NaN of any column; the type is known when the plan is made, so the test folds away."""
+    return F.typeof(x).isin("double", "float") & (x.cast("string") == "NaN")
+
+
+def _truth(x: Column) -> Column:
+    """Python's truth: texts that are not empty, numbers that are not zero."""
+    kind, text = F.typeof(x), x.cast("string")
+    held = (
+        F.when(kind.rlike("^(string|char|varchar)"), text != "")
+        .when(kind == "boolean", text == "true")
+        .otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(True)))
+    )
+    return F.when(x.isNull(), F.lit(False)).otherwise(held)
+
+
 def is_lambda(text: str) -> bool:
     return text.lstrip().startswith("lambda")
 
@@ -77,9 +96,11 @@ def lambda_to_column(text: str, column: str | None) -> tuple[Column, set[str]]:
             return found if isinstance(op, ast.In) else ~found
         if type(op) not in _COMPARE:
             raise RuleConfigError(f"Unsupported comparison in {text!r}: write a SQL predicate instead.")
-        return F.coalesce(
-            _COMPARE[type(op)](value(left), value(right)), F.lit(isinstance(op, ast.NotEq))
-        )
+        unequal = F.lit(isinstance(op, ast.NotEq))
+        sides = [value(left), value(right)]
+        found = F.coalesce(_COMPARE[type(op)](*sides), unequal)
+        missing = [_is_nan(x) for x, node in zip(sides, (left, right)) if not isinstance(node, ast.Constant)]
+        return F.when(reduce(operator.or_, missing), unequal).otherwise(found) if missing else found
 
     def condition(node: ast.expr) -> Column:
         match node:
@@ -93,7 +114,7 @@ def lambda_to_column(text: str, column: str | None) -> tuple[Column, set[str]]:
             case ast.Compare(left=left, ops=ops, comparators=rights):
                 lefts = [left, *rights[:-1]]
                 return reduce(operator.and_, [compare(*t) for t in zip(lefts, ops, rights)])
-        return F.coalesce(value(node).cast("boolean"), F.lit(False))
+        return _truth(value(node))
 
     return condition(body.body), used
 

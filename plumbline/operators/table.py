@@ -101,6 +101,12 @@ class FeatureDrift(TableCheck):
         return Verdict(passed, *no_failures(), details)
 
 
+def _in_utc(text: str) -> dt.datetime:
+    """An ISO timestamp without zone; one with an offset is turned into UTC."""
+    given = dt.datetime.fromisoformat(text)
+    return given.astimezone(dt.timezone.utc).replace(tzinfo=None) if given.tzinfo else given
+
+
 @dataclass(frozen=True)
 class DataFreshness(TableCheck):
     """Passes where the latest timestamp is after ``as_of`` less the threshold.
@@ -139,7 +145,7 @@ class DataFreshness(TableCheck):
         return {"latest": F.max(F.col(quoted(self.column))).cast("timestamp_ntz")}
 
     def verdict(self, total: Column, measured: dict[str, Column]) -> Verdict:
-        now = F.lit(self.as_of).cast("timestamp_ntz") if self.as_of else F.localtimestamp()
+        now = F.lit(_in_utc(self.as_of)) if self.as_of else F.localtimestamp()
         seconds = int(parse_duration(self.freshness_threshold).total_seconds())
         cutoff = now - F.make_dt_interval(secs=F.lit(seconds))
         passed = F.coalesce(measured["latest"] > cutoff, F.lit(False))

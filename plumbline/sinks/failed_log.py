@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.sources.failed_log import flattened, select_records
+from plumbline.functions.keys import TIMESTAMPS, quoted
+from plumbline.sources.failed_log import flattened, meta_names, select_records
 
 
 def _evened_out(rows: DataFrame) -> DataFrame:
@@ -39,21 +40,38 @@ def promote(records: DataFrame, table: str, row_schema: T.StructType, path: str,
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
+        .partitionBy(meta_names(row_schema)["run_id"])
         .parquet(target)
     )
     return target
 
 
 def promote_to_table(records: DataFrame, table: str, row_schema: T.StructType, schema: str = "default") -> str:
-    """As ``promote``, appending to a table of the catalog."""
+    """As ``promote``, into a table of the catalog.  A run's rows replace those it had there."""
     target = f"`{schema}`.`{table}_failed_rows`"
     rows = flattened(_evened_out(select_records(records, table=table)), row_schema)
-    rows.write.mode("append").saveAsTable(target)
+    run = meta_names(row_schema)["run_id"]
+    if not records.sparkSession.catalog.tableExists(target):
+        rows.write.partitionBy(run).saveAsTable(target)
+    else:
+        names = records.sparkSession.table(target).columns
+        rows.select(*[F.col(quoted(n)) for n in names]).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").insertInto(target)
     return target
 
 
 def export_csv(records: DataFrame, row_schema: T.StructType, path: str) -> None:
-    """Write failing rows as CSV: the row's columns, then method, column and run."""
+    """Write failing rows as CSV: the row's columns, then method, column and run.
+
+    Blanks are kept, quotes are doubled, and nested values are JSON text.
+    """
     rows = flattened(_evened_out(records), row_schema, meta_first=False)
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    plain = [
+        F.to_json(F.col(quoted(f.name)), TIMESTAMPS).alias(f.name)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(quoted(f.name))
+        for f in rows.schema
+    ]
+    rows.select(*plain).write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    ).csv(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from plumbline.functions.json import READ_TIMESTAMPS
 from plumbline.plans.rule import RECORD_SCHEMA
 
 META = ("run_id", "dqmethod", "col")
@@ -52,9 +53,24 @@ def manifest(records: DataFrame) -> DataFrame:
     )
 
 
+def meta_names(row_schema: T.StructType) -> dict[str, str]:
+    """What run, method and column are called beside the row's own columns."""
+    own = {f.name.lower() for f in row_schema}
+    names = {}
+    for name in META:
+        names[name] = name
+        while names[name] in own:
+            names[name] = f"log_{names[name]}"
+    return names
+
+
 def flattened(records: DataFrame, row_schema: T.StructType, meta_first: bool = True) -> DataFrame:
     """Records with the failing row's own columns in place of its JSON."""
-    # Rows were written with every column present, so nothing is lost in parsing.
+    # Rows were written with every column present and timestamps whole, so nothing is lost.
+    # Meta columns whose name the row has too get a prefix.
     fields = T.StructType([T.StructField(f.name, f.dataType, True) for f in row_schema])
-    parsed = records.withColumn("r", F.from_json("failed_row", fields))
-    return parsed.select(*META, "r.*") if meta_first else parsed.select("r.*", "dqmethod", "col", "run_id")
+    parsed = records.withColumn("r", F.from_json("failed_row", fields, READ_TIMESTAMPS))
+    meta = {name: F.col(name).alias(shown) for name, shown in meta_names(row_schema).items()}
+    if meta_first:
+        return parsed.select(*meta.values(), "r.*")
+    return parsed.select("r.*", meta["dqmethod"], meta["col"], meta["run_id"])

@@ -1,6 +1,7 @@
-"""The seeded tables and the defects they are known to hold."""
+"""Small tables and the defects put into them."""
 
 import json
+import statistics
 
 import pytest
 
@@ -12,102 +13,101 @@ from plumbline.sources.tables import from_mapping
 
 
 @pytest.fixture(scope="module")
-def employee_run(spark):
-    source = from_mapping({"users": fx.users(spark)})
-    rules = number_rules([Rule(m, c, "employees") for m, c, *_ in fx.EMPLOYEE_RULES])
-    return compile_table(fx.employees(spark), rules, source=source)
+def reading_run(spark):
+    source = from_mapping({"gauges": fx.gauges(spark)})
+    rules = number_rules([Rule(m, c, "readings") for m, c, *_ in fx.READING_RULES])
+    return compile_table(fx.readings(spark), rules, source=source)
 
 
-def test_employee_rules(employee_run):
-    rows = {r["rule_seq"]: r for r in employee_run.results().collect()}
-    got = [(rows[i]["status"], rows[i]["failed_count"]) for i in range(1, len(fx.EMPLOYEE_RULES) + 1)]
-    assert got == [(status, failed) for *_, status, failed in fx.EMPLOYEE_RULES]
-    assert all(r["total_count"] == 31 for r in rows.values())
+def test_reading_rules(reading_run):
+    rows = {r["rule_seq"]: r for r in reading_run.results().collect()}
+    got = [(rows[i]["status"], rows[i]["failed_count"]) for i in range(1, len(fx.READING_RULES) + 1)]
+    assert got == [(status, failed) for *_, status, failed in fx.READING_RULES]
+    assert all(r["total_count"] == 32 for r in rows.values())
 
 
-def test_employee_failing_rows_match_counts(employee_run):
-    counted = {r["rule_seq"]: r["count"] for r in employee_run.failed_records().groupBy("rule_seq").count().collect()}
-    expected = {i: n for i, (*_, n) in enumerate(fx.EMPLOYEE_RULES, start=1) if n}
-    assert counted == expected
+def test_failing_rows_match_counts(reading_run):
+    counted = {r["rule_seq"]: r["count"] for r in reading_run.failed_records().groupBy("rule_seq").count().collect()}
+    assert counted == {i: n for i, (*_, n) in enumerate(fx.READING_RULES, start=1) if n}
 
 
 def test_drift_and_balance_details(spark):
-    drift = run_check(fx.employees(spark), "StatisticalDistributionEval", fx.EMPLOYEE_RULES[9][1])
-    assert drift["drift_mean"] == pytest.approx(4612.9032, abs=1e-3)
-    assert drift["drift_std"] == pytest.approx(18358.3353, abs=1e-3)
+    flows = [r["flow"] for r in fx.reading_rows()]
+    drift = run_check(fx.readings(spark), "StatisticalDistributionEval", fx.READING_RULES[9][1])
+    assert drift["drift_mean"] == pytest.approx(statistics.mean(flows) - 30)
+    assert drift["drift_std"] == pytest.approx(abs(statistics.stdev(flows) - 1))
     assert "total_count" not in drift
-    balance = run_check(fx.employees(spark), "StatisticalDistributionEval", fx.EMPLOYEE_RULES[10][1])
-    assert balance["max_class"] == "A" and balance["max_class_ratio"] == pytest.approx(21 / 31)
+    fine = sum(r["grade"] == "fine" for r in fx.reading_rows())
+    balance = run_check(fx.readings(spark), "StatisticalDistributionEval", fx.READING_RULES[10][1])
+    assert balance["max_class"] == "fine" and balance["max_class_ratio"] == pytest.approx(fine / 32)
 
 
 def test_summary_payload(spark):
+    config = {"column": "level", "min": 100, "max": 170}
     summary, rows = run_check(
-        fx.employees(spark), "range", {"column": "age", "min": 18, "max": 65},
-        run_id="123e4567-e89b-12d3-a456-426614174000", advanced=True,
-    )
-    assert summary["type"] == "range_eval" and summary["range"] == {"min": 18, "max": 65}
-    assert (summary["total_count"], summary["failed_count"], summary["passed_count"]) == (31, 2, 29)
+        fx.readings(spark), "range", config, run_id="123e4567-e89b-12d3-a456-426614174000", advanced=True)
+    assert summary["type"] == "range_eval" and summary["range"] == {"min": 100, "max": 170}
+    assert (summary["total_count"], summary["failed_count"], summary["passed_count"]) == (32, 3, 29)
     assert summary["run_id"] == "123e4567-e89b-12d3-a456-426614174000"
-    assert sorted(r["id"] for r in rows.collect()) == [14, 15]
+    assert sorted(r["reading_id"] for r in rows.collect()) == [3, 20, 25]
     json.dumps(summary)
-    row = build_summary(fx.employees(spark), build_check("RangeEval", {"column": "age", "min": 18, "max": 65})).first()
+    row = build_summary(fx.readings(spark), build_check("RangeEval", config)).first()
     prefixed = payload(row, prefix="old_")
-    assert prefixed["old_type"] == "range_eval" and prefixed["old_failed_count"] == 2 and "column" in prefixed
+    assert prefixed["old_type"] == "range_eval" and prefixed["old_failed_count"] == 3 and "column" in prefixed
 
 
-def test_orders(spark):
-    df = fx.orders(spark)
-    got = [run_check(df, m, c)["failed_count"] for m, c, _ in fx.ORDER_RULES]
-    assert got == [n for *_, n in fx.ORDER_RULES]
+def test_trips(spark):
+    df = fx.trips(spark)
+    assert [run_check(df, m, c)["failed_count"] for m, c, _ in fx.TRIP_RULES] == [n for *_, n in fx.TRIP_RULES]
 
 
-def test_event_log(spark):
-    out = run_check(fx.event_log(spark), "DateRangeEval",
-                    {"column": "event_date", "min_date": "2025-01-01", "max_date": "2026-12-31"})
-    assert (out["status"], out["failed_count"]) == ("Failed", 6)
+def test_tides(spark):
+    out = run_check(fx.tides(spark), "DateRangeEval",
+                    {"column": "high", "min_date": "2030-01-01", "max_date": "2030-01-11"})
+    assert (out["status"], out["failed_count"]) == ("Failed", 7)
 
 
-def test_feedback(spark):
-    df = fx.feedback(spark)
-    assert run_check(df, "MojibakeEval", {"column": "comment"})["failed_count"] == 5
-    assert run_check(df, "MojibakeEval", {"column": "customer_name"})["failed_count"] == 1
+def test_notes(spark):
+    df = fx.notes(spark)
+    assert run_check(df, "MojibakeEval", {"column": "note"})["failed_count"] == 4
+    assert run_check(df, "MojibakeEval", {"column": "author"})["failed_count"] == 1
 
 
-def test_vendor(spark):
-    df = spark.createDataFrame([(1, "A"), (2, "B"), (2, "B"), (3, None)], "vendorid int, name string")
-    assert run_check(df, "DupEval", {"columns": ["vendorid"]})["failed_count"] == 2
-    assert run_check(df, "EmptyEval", {"columns": ["name"]})["failed_count"] == 1
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(7, "x"), (8, None), (8, "x"), (9, "")], "berth int, boat string")
+    assert run_check(df, "DupEval", {"columns": ["berth"]})["failed_count"] == 2
+    assert run_check(df, "EmptyEval", {"columns": ["boat"]})["failed_count"] == 2
 
 
 def _unicode(spark, source, target, columns, form):
-    schema = ", ".join(["customer_id int", *[f"{c} string" for c in columns]])
-    config = {"key_column": "customer_id", "columns": columns, "normalization_form": form, "batch_size": 1000,
+    schema = ", ".join(["boat int", *[f"{c} string" for c in columns]])
+    config = {"key_column": "boat", "columns": columns, "normalization_form": form, "batch_size": 1000,
               "target_df": spark.createDataFrame(target, schema)}
     return run_check(spark.createDataFrame(source, schema), "UnicodeValidationEval", config, advanced=True)
 
 
-def test_japanese(spark):
-    out, rows = _unicode(spark, fx.JAPANESE_SOURCE, fx.JAPANESE_TARGET, ["name", "product"], "NFKC")
+def test_ledger(spark):
+    out, rows = _unicode(spark, fx.LEDGER, fx.REGISTER, ["name", "part"], "NFKC")
     counts = {k: v for k, v in out.items() if k.endswith("_count")}
     assert counts == {"total_count": 6, "matched_count": 6, "failed_count": 4, "passed_count": 2,
                       "mojibake_count": 1, "replacement_char_count": 1}
-    assert sorted(r["customer_id"] for r in rows.collect()) == [2, 3, 4, 5]
+    assert sorted(r["boat"] for r in rows.collect()) == [2, 3, 4, 5]
 
 
 @pytest.mark.parametrize("form, failed", [("NFKC", 1), ("NFC", 2), ("NFD", 2), ("NFKD", 1)])
 def test_half_width(spark, form, failed):
-    out, _ = _unicode(spark, fx.HALF_WIDTH_SOURCE, fx.HALF_WIDTH_TARGET, ["name"], form)
+    out, _ = _unicode(spark, fx.HALF_WIDTH, fx.FULL_WIDTH, ["name"], form)
     assert (out["failed_count"], out["mojibake_count"]) == (failed, 0)
 
 
 def test_compare_report(spark):
-    schema = "customer_id int, name string, product string"
-    source = spark.createDataFrame([*fx.JAPANESE_SOURCE, (7, "unmatched", "x")], schema)
-    target = spark.createDataFrame(fx.JAPANESE_TARGET, schema)
+    schema = "boat int, name string, part string"
+    source = spark.createDataFrame([*fx.LEDGER, (7, "unmatched", "x")], schema)
+    target = spark.createDataFrame(fx.REGISTER, schema)
     check = build_check("UnicodeValidationEval", {
-        "key_column": "customer_id", "columns": ["name", "product"], "target_df": target, "normalization_form": "NFKC"})
-    report = {r["customer_id"]: r for r in check.compare_report(source).collect()}
+        "key_column": "boat", "columns": ["name", "part"], "target_df": target, "normalization_form": "NFKC"})
+    report = {r["boat"]: r for r in check.compare_report(source).collect()}
     assert [report[i]["reason"] for i in range(1, 8)] == [
         "—", "Value mismatch", "Replacement char (U+FFFD)", "Mojibake detected", "Value mismatch", "—", "—"]
     assert report[7]["target_value"] == "NOT FOUND" and report[7]["status"] == "PASS"
-    assert report[2]["target_value"] == "スズキ花子"
+    assert report[2]["target_value"] == "カモメ"

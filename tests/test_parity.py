@@ -3,7 +3,8 @@
 import pytest
 
 import parity
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,13 +14,13 @@ def db():
     return parity.connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    assert parity.compare(spark, db, SF, queries()[name], oracle_sql().get(name)) == ""
+    assert parity.compare(spark, db, SF, QUERIES[name], ORACLES.get(name)) == ""
 
 
 def test_every_twin_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):

@@ -21,16 +21,16 @@ RUN_ID = "123e4567-e89b-12d3-a456-426614174000"
 
 @pytest.fixture(scope="module")
 def source(spark):
-    return from_mapping({"employees": fx.employees(spark), "users": fx.users(spark), "hr.orders": fx.orders(spark)})
+    return from_mapping({"readings": fx.readings(spark), "gauges": fx.gauges(spark), "hr.trips": fx.trips(spark)})
 
 
-def employee_rules():
-    return number_rules([Rule(m, c, "employees") for m, c, *_ in fx.EMPLOYEE_RULES])
+def reading_rules():
+    return number_rules([Rule(m, c, "readings") for m, c, *_ in fx.READING_RULES])
 
 
 def test_fused_equals_single(spark, source):
-    df = fx.employees(spark)
-    run = compile_table(df, employee_rules(), source=source)
+    df = fx.readings(spark)
+    run = compile_table(df, reading_rules(), source=source)
     fused = {r["rule_seq"]: (r["status"], r["failed_count"], r["details"]) for r in run.results().collect()}
     for c in run.compiled:
         alone = summary(df, c.check).first()
@@ -38,8 +38,8 @@ def test_fused_equals_single(spark, source):
 
 
 def test_many_passes_equal_one(spark, source, monkeypatch):
-    df = fx.employees(spark)
-    run = compile_table(df, employee_rules(), source=source)
+    df = fx.readings(spark)
+    run = compile_table(df, reading_rules(), source=source)
     columns = ("rule_seq", "status", "failed_count")
     one = sorted(map(tuple, run.results().select(*columns).collect()))
     rows = sorted(map(tuple, run.failed_records().select("rule_seq", "failed_row").collect()))
@@ -49,22 +49,22 @@ def test_many_passes_equal_one(spark, source, monkeypatch):
 
 
 def test_two_hundred_rules(spark):
-    df = fx.employees(spark)
-    rules = number_rules([Rule("RangeEval", {"column": "age", "min": i, "max": 200}, "employees") for i in range(200)])
+    df = fx.readings(spark)
+    rules = number_rules([Rule("RangeEval", {"column": "level", "min": i, "max": 200}, "readings") for i in range(200)])
     rows = compile_table(df, rules).results().collect()
-    ages = [int(line.split("|")[2]) for line in fx.EMPLOYEES.strip().splitlines()]
-    assert {r["rule_seq"]: r["failed_count"] for r in rows} == {i + 1: sum(a < i for a in ages) for i in range(200)}
+    levels = [r["level"] for r in fx.reading_rows()]
+    assert {r["rule_seq"]: r["failed_count"] for r in rows} == {i + 1: sum(v is None or v < i for v in levels) for i in range(200)}
 
 
 def test_rules_that_cannot_be_planned(spark, source):
     rules = number_rules([
-        Rule("RangeEval", {"column": "age", "min": 18, "max": 65}, "employees"),
-        Rule("RangeEval", {"column": "zz", "min": 18, "max": 65}, "employees"),
-        Rule("Unknown", {}, "employees"),
-        Rule("ReferentialIntegrityEval", {"column": "user_id", "reference_df": "nowhere", "reference_column": "id"}, "employees"),
-        Rule("CustomEval", {"func": "no_such_column > 3"}, "employees"),
+        Rule("RangeEval", {"column": "level", "min": 100, "max": 170}, "readings"),
+        Rule("RangeEval", {"column": "zz", "min": 18, "max": 65}, "readings"),
+        Rule("Unknown", {}, "readings"),
+        Rule("ReferentialIntegrityEval", {"column": "gauge_no", "reference_df": "nowhere", "reference_column": "id"}, "readings"),
+        Rule("CustomEval", {"func": "no_such_column > 3"}, "readings"),
     ])
-    rows = {r["rule_seq"]: r for r in compile_table(fx.employees(spark), rules, source=source).results().collect()}
+    rows = {r["rule_seq"]: r for r in compile_table(fx.readings(spark), rules, source=source).results().collect()}
     assert [rows[i]["status"] for i in range(1, 6)] == ["Failed", "Error", "Error", "Error", "Error"]
     assert rows[2]["col"] == "N/A" and "zz" in json.loads(rows[2]["details"])["error_message"]
     assert rows[3]["failed_count"] == 0
@@ -75,12 +75,12 @@ def test_rules_that_fail_at_run_time(spark):
         raise ValueError("broken predicate")
 
     rules = number_rules([
-        Rule("RangeEval", {"column": "age", "min": 18, "max": 65}, "employees"),
-        Rule("CustomEval", {"column": "age", "func": explode}, "employees"),
-        Rule("CustomEval", {"func": "CAST(name AS INT) > 0"}, "employees"),
-        Rule("DupEval", {"columns": ["id"]}, "employees"),
+        Rule("RangeEval", {"column": "level", "min": 100, "max": 170}, "readings"),
+        Rule("CustomEval", {"column": "level", "func": explode}, "readings"),
+        Rule("CustomEval", {"func": "CAST(gauge AS INT) > 0"}, "readings"),
+        Rule("DupEval", {"columns": ["reading_id"]}, "readings"),
     ])
-    rows, settled = compile_table(fx.employees(spark), rules).settled()
+    rows, settled = compile_table(fx.readings(spark), rules).settled()
     statuses = {r["rule_seq"]: r["status"] for r in rows}
     assert statuses == {1: "Failed", 2: "Error", 3: "Error", 4: "Failed"}
     # What is left can be used without the offenders.
@@ -89,10 +89,10 @@ def test_rules_that_fail_at_run_time(spark):
 
 def test_same_label_rules_stay_apart(spark):
     rules = number_rules([
-        Rule("CustomEval", {"func": "age > 100"}, "employees"), Rule("CustomEval", {"func": "age > 0"}, "employees"),
+        Rule("CustomEval", {"func": "level > 1000"}, "readings"), Rule("CustomEval", {"func": "quality > -5"}, "readings"),
     ])
-    run = compile_table(fx.employees(spark), rules, Run.start(RUN_ID))
-    assert sorted((r["col"], r["failed_count"]) for r in run.results().collect()) == [("N/A", 0), ("N/A", 31)]
+    run = compile_table(fx.readings(spark), rules, Run.start(RUN_ID))
+    assert sorted((r["col"], r["failed_count"]) for r in run.results().collect()) == [("N/A", 0), ("N/A", 32)]
     kept = stored_form(keep_last(run.results())).collect()
     assert len(kept) == 1 and kept[0]["failed_count"] == 0  # the last rule wins in the store
 
@@ -100,11 +100,11 @@ def test_same_label_rules_stay_apart(spark):
 def test_prepared_facts_change_nothing(spark, source, monkeypatch):
     from plumbline.operators import keyed
 
-    japanese = spark.createDataFrame(fx.HALF_WIDTH_SOURCE, "customer_id int, name string")
-    target = spark.createDataFrame(fx.HALF_WIDTH_TARGET, "customer_id int, name string")
-    texts = Rule("UnicodeValidationEval", {"key_column": "customer_id", "columns": ["name"], "target_df": target})
-    for run in (compile_table(fx.employees(spark), employee_rules(), source=source),
-                compile_table(japanese, number_rules([texts, Rule("DupEval", {"columns": ["name"]})]))):
+    boats = spark.createDataFrame(fx.HALF_WIDTH, "boat int, name string")
+    target = spark.createDataFrame(fx.FULL_WIDTH, "boat int, name string")
+    texts = Rule("UnicodeValidationEval", {"key_column": "boat", "columns": ["name"], "target_df": target})
+    for run in (compile_table(fx.readings(spark), reading_rules(), source=source),
+                compile_table(boats, number_rules([texts, Rule("DupEval", {"columns": ["name"]})]))):
         columns = ("rule_seq", "status", "total_count", "failed_count", "passed_count", "details")
         expected = sorted(map(str, run.results().select(*columns).collect()))
         rows = sorted(map(str, run.failed_records().select("rule_seq", "failed_row").collect()))
@@ -121,23 +121,23 @@ def test_rules_on_the_same_key_share_failing_rows(spark, source, monkeypatch):
     calls = []
     real = keyed.attach
     monkeypatch.setattr(keyed, "attach", lambda *a, **k: calls.append(1) or real(*a, **k))
-    few = from_mapping({"users": fx.users(spark), "some": fx.users(spark).limit(3)})
-    reference = {"column": "user_id", "reference_column": "id"}
+    few = from_mapping({"gauges": fx.gauges(spark), "some": fx.gauges(spark).limit(3)})
+    reference = {"column": "gauge_no", "reference_column": "id"}
     rules = number_rules([
-        Rule("DupEval", {"columns": ["id"]}, "employees"), Rule("UniqueEval", {"columns": ["id"]}, "employees"),
-        Rule("DupEval", {"columns": ["label", "country"]}, "employees"),
-        Rule("ReferentialIntegrityEval", {**reference, "reference_df": "users"}, "employees"),
-        Rule("ReferentialIntegrityEval", {**reference, "reference_df": "some"}, "employees"),
+        Rule("DupEval", {"columns": ["reading_id"]}, "readings"), Rule("UniqueEval", {"columns": ["reading_id"]}, "readings"),
+        Rule("DupEval", {"columns": ["grade", "unit"]}, "readings"),
+        Rule("ReferentialIntegrityEval", {**reference, "reference_df": "gauges"}, "readings"),
+        Rule("ReferentialIntegrityEval", {**reference, "reference_df": "some"}, "readings"),
     ])
-    run = compile_table(fx.employees(spark), rules, source=few)
+    run = compile_table(fx.readings(spark), rules, source=few)
     counted = {r["rule_seq"]: r["count"] for r in run.failed_records().groupBy("rule_seq").count().collect()}
-    assert counted == {1: 2, 2: 2, 3: 30, 4: 1, 5: 28} and len(calls) == 2
+    assert counted == {1: 2, 2: 2, 3: 31, 4: 2, 5: 29} and len(calls) == 2
 
 
 def test_run_all(spark, source):
     rules = [
-        *[Rule(m, c, "employees") for m, c, *_ in fx.EMPLOYEE_RULES],
-        *[Rule(m, c, "orders", "hr") for m, c, _ in fx.ORDER_RULES],
+        *[Rule(m, c, "readings") for m, c, *_ in fx.READING_RULES],
+        *[Rule(m, c, "trips", "hr") for m, c, _ in fx.TRIP_RULES],
         Rule("RowCountEval", {"min": 1}, "no_such_table"),
     ]
     outcome = run_all(spark, rules, source, Run.start(RUN_ID))
@@ -145,13 +145,13 @@ def test_run_all(spark, source):
     assert len(results) == len(rules) - 1 and {r["run_id"] for r in results} == {RUN_ID}
     assert len({r["run_timestamp"] for r in results}) == 1
     assert [(s, t) for s, t, _ in outcome.skipped] == [("default", "no_such_table")]
-    expected = sum(n for *_, n in fx.EMPLOYEE_RULES) + sum(n for *_, n in fx.ORDER_RULES)
+    expected = sum(n for *_, n in fx.READING_RULES) + sum(n for *_, n in fx.TRIP_RULES)
     assert outcome.failed_records().count() == expected == sum(r["failed_count"] for r in results)
-    rows = outcome.failing_rows("employees", "RangeEval", "age")
-    assert rows.columns == fx.employees(spark).columns and rows.count() == 2
-    assert outcome.failing_rows("employees", "RangeEval", "nope") is None
+    rows = outcome.failing_rows("readings", "RangeEval", "level")
+    assert rows.columns == fx.readings(spark).columns and rows.count() == 3
+    assert outcome.failing_rows("readings", "RangeEval", "nope") is None
     tables, _ = plan_all(select_rules(rules, schema="hr"), source)
-    assert [t.table_name for t in tables] == ["orders"]
+    assert [t.table_name for t in tables] == ["trips"]
 
 
 def test_run_id_must_be_a_uuid():
@@ -160,74 +160,75 @@ def test_run_id_must_be_a_uuid():
 
 
 def test_log_store_and_promotion(spark, source, tmp_path):
-    df = fx.employees(spark)
-    run = compile_table(df, employee_rules(), Run.start(RUN_ID), source, "default", "employees")
+    df = fx.readings(spark)
+    run = compile_table(df, reading_rules(), Run.start(RUN_ID), source, "default", "readings")
     path, store = str(tmp_path / "log"), str(tmp_path / "results")
     for _ in range(2):  # writing again replaces
         write_log(run.failed_records(), path)
         save_results(run.results(), store)
     records = log.read_log(spark, path)
-    expected = sum(n for *_, n in fx.EMPLOYEE_RULES)
+    expected = sum(n for *_, n in fx.READING_RULES)
     assert records.count() == expected
     assert log.manifest(records).collect()[0]["failed_count"] == expected
-    assert [tuple(r) for r in log.runs(records).collect()] == [(RUN_ID, ["employees"], expected)]
+    assert [tuple(r) for r in log.runs(records).collect()] == [(RUN_ID, ["readings"], expected)]
     newest = log.runs(records, read_results(spark, store)).collect()
     assert [(r["run_id"], r["started_at"]) for r in newest] == [(RUN_ID, run.run.run_timestamp)]
-    assert log.select_records(records, method="RangeEval", col="age").count() == 2
+    assert log.select_records(records, method="RangeEval", col="level").count() == 3
     assert log.page(records, 1, 5).count() == 5 and log.page(records, 4, 5).count() == expected - 15
 
     row = json.loads(log.select_records(records, method="EmptyEval").first()["failed_row"])
-    assert row["name"] is None and row["created_at"].startswith("2026-07-03T09:40:00")
+    assert row["gauge"] in (None, "", "gauge 25") and row["taken_at"].startswith("2031-05-04T11:")
 
     for _ in range(2):
-        target = promote(records, "employees", df.schema, str(tmp_path), RUN_ID)
+        target = promote(records, "readings", df.schema, str(tmp_path), RUN_ID)
     promoted = spark.read.parquet(target)
-    assert promoted.count() == expected and target.endswith("employees_failed_rows")
+    assert promoted.count() == expected and target.endswith("readings_failed_rows")
     assert set(promoted.columns) == {"run_id", "dqmethod", "col", *df.columns}
     back = promoted.filter("dqmethod = 'RangeEval'").select(*df.columns)
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.filter("age < 18 OR age > 65").collect()))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.filter("level < 100 OR level > 170 OR level IS NULL").collect()))
 
     export_csv(log.select_records(records, method="RangeEval"), df.schema, str(tmp_path / "csv"))
     exported = spark.read.option("header", True).csv(str(tmp_path / "csv"))
-    assert exported.columns == [*df.columns, "dqmethod", "col", "run_id"] and exported.count() == 2
+    assert exported.columns == [*df.columns, "dqmethod", "col", "run_id"] and exported.count() == 3
 
     stored = read_results(spark, store)
     assert stored.columns[0] == "run_id"
-    assert stored.count() == len(fx.EMPLOYEE_RULES) - 1  # one label occurs twice
+    assert stored.count() == len(fx.READING_RULES) - 1  # one label occurs twice
 
 
 def test_promotion_to_a_catalog_table(spark, source):
-    df = fx.orders(spark)
-    run = compile_table(df, number_rules([Rule(m, c, "small_orders") for m, c, _ in fx.ORDER_RULES]))
-    spark.sql("DROP TABLE IF EXISTS small_orders_failed_rows")
-    name = promote_to_table(run.failed_records(), "small_orders", df.schema)
-    assert spark.table(name).count() == sum(n for *_, n in fx.ORDER_RULES)
-    spark.sql("DROP TABLE small_orders_failed_rows")
+    df = fx.trips(spark)
+    run = compile_table(df, number_rules([Rule(m, c, "small_trips") for m, c, _ in fx.TRIP_RULES]))
+    spark.sql("DROP TABLE IF EXISTS small_trips_failed_rows")
+    name = promote_to_table(run.failed_records(), "small_trips", df.schema)
+    assert spark.table(name).count() == sum(n for *_, n in fx.TRIP_RULES)
+    spark.sql("DROP TABLE small_trips_failed_rows")
 
 
 YAML = """
 run_id: "123e4567-e89b-12d3-a456-426614174000"
 evals:
-  - {type: duplicate, columns: [id]}
-  - {type: Empty, columns: [name, age]}
+  - {type: duplicate, columns: [reading_id]}
+  - {type: Empty, columns: [gauge, level]}
   - type: dtype
-    columns: {id: int, name: str}
-  - {type: referentialintegrity, column: user_id, reference_df: ref_df, reference_column: id}
-  - {type: custom, column: score, func: "lambda x: x >= 0"}
-  - {type: custom, func: adult}
-  - {type: statisticaldistribution, column: label, mode: label_balance}
-  - {type: range, column: age}
+    columns: {reading_id: int, gauge: str}
+  - {type: referentialintegrity, column: gauge_no, reference_df: ref_df, reference_column: id}
+  - {type: custom, column: quality, func: "lambda x: x >= 0"}
+  - {type: custom, func: deep}
+  - {type: statisticaldistribution, column: grade, mode: label_balance}
+  - {type: range, column: level}
   - {type: nonsense}
-  - {columns: [id]}
+  - {columns: [reading_id]}
 """
 
 
 def test_yaml(spark, tmp_path):
-    report = run_yaml(fx.employees(spark), YAML, {"ref_df": fx.users(spark)}, {"adult": lambda r: r["age"] >= 18})
+    report = run_yaml(fx.readings(spark), YAML, {"ref_df": fx.gauges(spark)}, {"deep": lambda r: r["quality"] >= 62})
     assert [r["status"] for r in report] == ["Failed", "Failed", "Success", "Failed", "Failed", "Failed", "Success"] + ["Error"] * 3
-    assert [r["failed_count"] for r in report[:6]] == [2, 1, 0, 1, 1, 1]
+    assert [r["failed_count"] for r in report[:6]] == [2, 3, 0, 2, 1, 3]
     assert report[3]["config"]["reference_df"] == "ref_df" and report[3]["engine"] == "spark"
-    assert report[7]["check_index"] == 7 and "max" in report[7]["error_message"] or "min" in report[7]["error_message"]
+    assert report[7]["check_index"] == 7
+    assert "max" in report[7]["error_message"] or "min" in report[7]["error_message"]
     assert {r["run_id"] for r in report} == {RUN_ID}
     assert len(json.loads(report_json(report))) == 10
     write_report(spark, report, str(tmp_path / "report"))
@@ -236,4 +237,4 @@ def test_yaml(spark, tmp_path):
 
 def test_yaml_that_is_not_yaml(spark):
     with pytest.raises(RuleConfigError):
-        run_yaml(fx.employees(spark), "evals: [")
+        run_yaml(fx.readings(spark), "evals: [")
