@@ -50,7 +50,7 @@ MOST_LIGHT = 24
 
 FACTS = "block long, row long, doc_id long, n_shingles long, digest binary, key string"
 LISTS = "bucket long, block long, width int, codes binary, counts binary"
-CLASSES = "block long, fact struct<bucket:long,classes:binary>"
+CLASSES = "block long, bucket long, classes binary, used long"
 POSTINGS = "key long, low int, high int, class long, n int, place int"
 
 
@@ -81,7 +81,8 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, threshold: int = T
     total = classes.agg(F.sum("n")).first()[0] or 0
     space = CodeSpace.of(total)
     lists = blocks.with_facts(reps, "rep").mapInArrow(_lister(words, space), LISTS)
-    counted = cut_lineage(lists.groupBy("bucket").applyInPandas(_counter, CLASSES + ", used long"))
+    counted = cut_lineage(lists.groupBy("bucket").applyInPandas(_counter, CLASSES)
+                          .select("block", F.struct("bucket", "classes").alias("fact"), "used"))
     light = _boundary(classes, counted, threshold)
     postings = _postings(blocks, reps, counted, _poster(words, space, threshold, light))
     links = _light_links(postings.where("low > 0")).unionByName(
@@ -196,8 +197,8 @@ def _counter(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
     out = np.split(kind[which], np.cumsum(sizes)[:-1])
     found = [bool(o.any()) for o in out]
     return pd.DataFrame({
-        "block": lists["block"].to_numpy()[found],
-        "fact": [{"bucket": key[0], "classes": _squeeze(o)} for o, f in zip(out, found) if f],
+        "block": lists["block"].to_numpy()[found], "bucket": key[0],
+        "classes": [_squeeze(o) for o, f in zip(out, found) if f],
         "used": [int((o > 0).sum()) for o, f in zip(out, found) if f]})
 
 

@@ -24,14 +24,14 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm._blocks import (BLOCK_BYTES, Block, BlockTable, CodeSpace, block_table, join_halves,
                                    pack_codes, unpack_codes, windows)
 from plumbline.session import cut_lineage
 
 LISTS = "bucket long, block long, width int, codes binary, exact binary"
-FLAGS = "block long, fact struct<level:int,bucket:long,flags:binary>"
+FLAGS = "block long, level int, bucket long, flags binary"
 
 
 def mark_repeats(docs: DataFrame, *, window: int = 20, levels: int = 2, id_col: str = "doc_id",
@@ -51,7 +51,7 @@ def mark_repeats(docs: DataFrame, *, window: int = 20, levels: int = 2, id_col:
     for level in range(levels):
         lists = _with(blocks, flags).mapInArrow(_lister(lengths, level, space), LISTS)
         found = lists.groupBy("bucket").applyInPandas(_matcher(level, level == levels - 1), FLAGS)
-        found = cut_lineage(found)
+        found = cut_lineage(found.select("block", F.struct("level", "bucket", "flags").alias("fact")))
         flags = found if flags is None else flags.unionByName(found)
     schema = "doc_id long, n_words long, n_removed long, " + ("kept string" if texts else "kept_sha256 string")
     out = cut_lineage(_with(blocks, flags).mapInArrow(_remover(lengths, space, texts), schema))
@@ -61,8 +61,6 @@ def mark_repeats(docs: DataFrame, *, window: int = 20, levels: int = 2, id_col:
 
 def _with(blocks: BlockTable, flags: DataFrame | None) -> DataFrame:
     if flags is None:
-        from pyspark.sql import functions as F
-
         return blocks.rows().withColumn("fact", F.lit(None).cast("array<struct<level:int,bucket:long,flags:binary>>"))
     return blocks.with_facts(flags, "fact")
 
@@ -167,9 +165,8 @@ def _matcher(level: int, last: bool):
             seen[order[:-1][same]] = True
         flags = [np.packbits(x).tobytes() for x in np.split(seen, np.cumsum(sizes)[:-1])]
         found = [any(f) for f in flags]
-        return pd.DataFrame({
-            "block": lists["block"].to_numpy()[found],
-            "fact": [{"level": level, "bucket": key[0], "flags": f} for f, y in zip(flags, found) if y]})
+        return pd.DataFrame({"block": lists["block"].to_numpy()[found], "level": level, "bucket": key[0],
+                             "flags": [f for f, y in zip(flags, found) if y]})
 
     return match
 
