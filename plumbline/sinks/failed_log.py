@@ -71,7 +71,13 @@ def export_csv(records: DataFrame, row_schema: T.StructType, path: str) -> None:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(quoted(f.name))
         for f in rows.schema
     ]
-    rows.select(*plain).write.mode("overwrite").options(
-        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    ).csv(path)
+    rows.select(*plain).write.mode("overwrite").options(**_CSV).csv(path)
+
+
+#: Standard quoting, nothing trimmed, timestamps whole; \\N is null, so that empty text is not.
+_CSV = {"header": True, "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, **TIMESTAMPS}
+
+
+def read_csv_options() -> dict:
+    """Options with which Spark reads an export back as it was."""
+    return {**_CSV, "multiLine": True}

@@ -12,12 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from plumbline.operators import KINDS, ROW_LOCAL
 from plumbline.plans.rule import RECORD_SCHEMA, RESULT_SCHEMA, Rule, Run, TableSource
 from plumbline.plans.ruleset import TableRun, compile_table, number_rules, results_frame
 
-RULE_KEY = ["run_id", "schema_name", "table_name", "rule_seq", "dqmethod", "col"]
+RULE_KEY = ["run_id", "schema_name", "table_name", "rule_seq", "dqmethod"]
 
 
 def split_rules(rules: Sequence[Rule]) -> tuple[list[Rule], list[Rule]]:
@@ -61,17 +62,27 @@ def check_whole(
 
 
 def totals(spark: SparkSession, out: str) -> DataFrame:
-    """Counts summed over all increments, one row per rule."""
+    """Counts summed over all increments, one row per rule.
+
+    An increment in which the rule ended in an error still counts its rows (all rules of an
+    increment see the same); ``error_batches`` says in how many it did, and failed and passed
+    counts cover the others.
+    """
     batches = spark.read.schema(RESULT_SCHEMA + ", batch_id long").parquet(f"{out}/results")
+    batch = Window.partitionBy("run_id", "schema_name", "table_name", "batch_id")  # a row for each rule
+    batches = batches.withColumn("batch_rows", F.max("total_count").over(batch))
     errors = F.count_if(F.col("status") == "Error")
     failed = F.sum("failed_count")
     status = F.when(errors > 0, "Error").when(failed > 0, "Failed").otherwise("Success")
+    label = F.max(F.when(F.col("col") != "N/A", F.col("col")))  # error rows have none
     return batches.groupBy(*RULE_KEY).agg(
+        F.coalesce(label, F.lit("N/A")).alias("col"),
         status.alias("status"),
         F.min("run_timestamp").alias("run_timestamp"),
-        F.sum("total_count").alias("total_count"),
+        F.sum("batch_rows").alias("total_count"),
         failed.alias("failed_count"),
         F.sum("passed_count").alias("passed_count"),
+        errors.alias("error_batches"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline import Rule, Run, compile_table
 from plumbline.analytics.history import drill_down
 from plumbline.plans.ruleset import number_rules
-from plumbline.sinks.failed_log import export_csv, promote, write_log
+from plumbline.sinks.failed_log import export_csv, promote, read_csv_options, write_log
 from plumbline.sinks.results import keep_last, read_results, save_results, stored_form
 from plumbline.sources import failed_log as log
 from registry.base import damaged, damaged_sql, query, scratch, table
@@ -155,7 +155,7 @@ def failed_csv(spark, sf):
     path = scratch(spark, "export")
     export_csv(records, df.schema, path)
     schema = "o_orderkey long, o_orderstatus string, o_orderpriority string, dqmethod string, col string, run_id string"
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.options(**read_csv_options()).schema(schema).csv(path)
 
 
 @query(

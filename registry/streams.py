@@ -47,3 +47,46 @@ def stream_totals(spark, sf):
 def stream_failed_rows(spark, sf):
     event = F.get_json_object("failed_row", "$.event_id").cast("long").alias("event_id")
     return failed_records(spark, _checked(spark, sf, keep_rows=True)).select("rule_seq", "dqmethod", event)
+
+
+def _in_parts(spark, sf):
+    """Events in files of consecutive ids, one for each micro-batch."""
+    path = scratch(spark, "parts")
+    damage(table(spark, sf, "events"), "events").repartitionByRange(4, "event_id").write.parquet(path)
+    return path
+
+
+PART_RULES = [
+    ("EmptyEval", {"columns": ["event_type"]}, "event_type", "event_type IS NULL OR event_type = ''"),
+    ("CustomEval", {"func": "100 / (event_id - 7) > -1000"}, "N/A", "FALSE"),
+]
+
+
+@query(
+    "stream_error_batch",
+    f"""SELECT 'EmptyEval' AS dqmethod, 'Failed' AS status, CAST(COUNT(*) AS BIGINT) AS total_count,
+               CAST(0 AS BIGINT) AS error_batches FROM {EVENTS}
+        UNION ALL SELECT 'CustomEval', 'Error', CAST(COUNT(*) AS BIGINT), CAST(1 AS BIGINT) FROM {EVENTS}""",
+)
+def stream_error_batch(spark, sf):
+    """Four micro-batches; a predicate divides by zero in one.  One total for each rule."""
+    path = _in_parts(spark, sf)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rules = number_rules([Rule(m, c, "events", "public") for m, c, *_ in PART_RULES])
+    out = scratch(spark, "stream")
+    check_stream(stream, rules, out, Run.start(), keep_rows=False, availableNow=True).awaitTermination()
+    return totals(spark, out).select("dqmethod", "status", "total_count", "error_batches")
+
+
+@query(
+    "stream_many_batches",
+    "\nUNION ALL\n".join(summary_sql(m, label, EVENTS, fails) for m, _, label, fails in RULES),
+)
+def stream_many_batches(spark, sf):
+    """Counts add up over micro-batches."""
+    path = _in_parts(spark, sf)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rules = number_rules([Rule(m, c, "events", "public") for m, c, *_ in RULES])
+    out = scratch(spark, "stream")
+    check_stream(stream, rules, out, Run.start(), keep_rows=False, availableNow=True).awaitTermination()
+    return totals(spark, out).select(*SUMMARY)
