@@ -20,7 +20,7 @@ STATUSES = ("Success", "Failed", "Error")
 BUCKETS = ("hour", "day", "week")
 # How bad a status is.
 SEVERITY = {"Success": 0, "Failed": 1, "Error": 2}
-DRILL_KEY = ["run_id", "table_name", "dqmethod", "col"]
+DRILL_KEY = ["run_id", "schema_name", "table_name", "dqmethod", "col"]
 
 
 def _rows() -> Column:

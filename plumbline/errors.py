@@ -13,5 +13,5 @@ class MissingColumnError(RuleError):
     """The rule names a column the table does not have."""
 
     def __init__(self, column: str):
-        super().__init__(f"Column '{column}' not found in the DataFrame.")
+        super().__init__(f"the table has no column '{column}'")
         self.column = column

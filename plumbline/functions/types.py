@@ -93,10 +93,19 @@ def as_timestamp(column: Column, dtype: T.DataType) -> Column:
     return F.lit(None).cast("timestamp_ntz")
 
 
+#: What whole-number names mean when a rule is strict.
+INTEGER_TARGETS = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "int": "bigint",
+                   "integer": "bigint", "long": "bigint", "bigint": "bigint", "smallint": "smallint", "short": "smallint", "tinyint": "tinyint", "byte": "tinyint"}
+
+
 def convertible(column: Column, dtype: T.DataType, name: str, strict: bool = False) -> Column | None:
     """A boolean for non-null values of ``column``; None if ``name`` is no known type."""
     yes, no = F.lit(True), F.lit(False)
     if name in NUMERIC_NAMES:
+        if strict and name in INTEGER_TARGETS and (is_text(dtype) or is_number(dtype)):
+            # The value itself must be one of the named type.
+            held = column.try_cast(INTEGER_TARGETS[name])
+            return held.isNotNull() & (column.rlike(INTEGER_TEXT) if is_text(dtype) else held == column)
         if is_text(dtype):
             if strict and not name.startswith(("float", "complex", "double", "real", "num")):
                 return column.rlike(INTEGER_TEXT) & column.try_cast("long").isNotNull()

@@ -57,7 +57,7 @@ class UnicodeValidation(KeyedCheck):
         object.__setattr__(self, "target_columns", self.target_columns or self.columns)
         if self.normalization_form not in text.NORMAL_FORMS:
             raise RuleConfigError(
-                f"Invalid normalization_form '{self.normalization_form}': use one of {text.NORMAL_FORMS}."
+                f"'{self.normalization_form}' is no normal form; there are {', '.join(text.NORMAL_FORMS)}"
             )
         if not self.columns or len(self.target_columns) != len(self.columns):
             raise RuleConfigError("'columns' and 'target_columns' must be lists of the same length.")

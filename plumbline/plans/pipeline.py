@@ -11,6 +11,7 @@ from itertools import groupby
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.errors import RuleConfigError
 from plumbline.plans.rule import RECORD_SCHEMA, RESULT_SCHEMA, Rule, Run, TableSource
 from plumbline.plans.ruleset import TableRun, compile_table, number_rules, results_frame, union
 
@@ -32,13 +33,22 @@ class Outcome:
             return self.results.sparkSession.createDataFrame([], RECORD_SCHEMA)
         return union([t.failed_records() for t in self.tables])
 
-    def failing_rows(self, table_name: str, dqmethod: str, col: str) -> DataFrame | None:
-        """The failing rows of one check, in the table's own columns."""
-        for table in self.tables:
-            for c in table.compiled:
-                if (table.table_name, c.rule.dqmethod, c.check.label()) == (table_name, dqmethod, col):
-                    return c.check.failing(table.df)
-        return None
+    def failing_rows(self, table_name: str, dqmethod: str = "", col: str = "", *, schema_name: str | None = None,
+                     rule_seq: int | None = None) -> DataFrame | None:
+        """The failing rows of one check, in the table's own columns.
+
+        Rules may share method and label, and tables their name: ``rule_seq`` and
+        ``schema_name`` tell them apart, and without them several that fit are refused.
+        """
+        fits = [
+            (t, c) for t in self.tables for c in t.compiled
+            if t.table_name == table_name and schema_name in (None, t.schema_name)
+            and rule_seq in (None, c.rule.rule_seq) and dqmethod in ("", c.rule.dqmethod)
+            and col in ("", c.check.label())
+        ]
+        if len(fits) > 1:
+            raise RuleConfigError(f"{len(fits)} rules of {table_name} fit; name rule_seq and schema_name")
+        return fits[0][1].check.failing(fits[0][0].df) if fits else None
 
 
 def by_table(rules: Sequence[Rule]) -> list[tuple[str, str, list[Rule]]]:

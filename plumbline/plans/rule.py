@@ -63,7 +63,7 @@ class Run:
             try:
                 run_id = str(uuid.UUID(str(run_id)))
             except ValueError as exc:
-                raise RuleConfigError("run_id must be a valid UUID string if provided.") from exc
+                raise RuleConfigError(f"'{run_id}' is no UUID; leave it out to get a new one") from exc
         now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         return cls(run_id, run_timestamp or now)
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Rows per defect and the lists values are drawn from.
+# The lists that rules on generated tables name.
 DEPARTMENTS = ("HR", "Finance", "Engineering")
 GENDERS = ("Male", "Female", "Other")
-CITIES = ("Chennai", "Bangalore", "Hyderabad", "Mumbai", "Delhi", "Pune", "Kolkata")
-COUNTRIES = ("India", "India", "India", "India", "US", "UK", "Canada")
 CATEGORIES = ("Electronics", "Clothing", "Books", "Furniture")
+# Own values; no count depends on them.
+CITIES = ("Alder", "Birch", "Cedar", "Elm", "Hazel")
+COUNTRIES = ("Northland", "Southland", "Westland")
 EPOCH = "2026-07-01 00:00:00"
 
 
@@ -80,7 +81,7 @@ def customers(ids: DataFrame) -> DataFrame:
         _id().alias("customer_id"),
         _named("Customer_").alias("customer_name"),
         _email("test.com", 7000).alias("email"),
-        F.concat(F.lit("98765"), F.lpad((F.col("id") % 99999).cast("string"), 5, "0")).alias("phone"),
+        F.concat(F.lit("555"), F.lpad((F.col("id") % 99999).cast("string"), 5, "0")).alias("phone"),
         F.when(_every(8000), 15).when(_every(9000), 110).otherwise(18 + _draw("age", 83)).cast("int").alias("age"),
         F.when(_every(6000), "Unknown").otherwise(_pick("gender", GENDERS)).alias("gender"),
         _pick("city", CITIES).alias("city"),

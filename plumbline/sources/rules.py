@@ -122,5 +122,5 @@ def yaml_entries(text: str) -> tuple[str | None, list[dict[str, Any]]]:
     try:
         content = yaml.safe_load(text) or {}
     except yaml.YAMLError as exc:
-        raise RuleConfigError(f"Failed to load YAML config: {exc}") from exc
+        raise RuleConfigError(f"the rule list is no YAML: {exc}") from exc
     return content.get("run_id"), list(content.get("evals") or [])

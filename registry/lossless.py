@@ -157,3 +157,21 @@ def rules_insert_malformed(spark, sf):
                        WHEN k % 2 = 0 THEN '{"columns":["n' || k || '"]}' ELSE '{worse ' || k END""").alias("config"),
         F.lit(True).alias("is_active"), when)
     return rulebook.insert_rules(new, stored).select("control_id", "config")
+
+
+@query("dtype_strict_int8", summary_sql(
+    "DtypeEval", "{''n'': ''int8''}", "(SELECT CAST(o_custkey AS INTEGER) - 700 AS n FROM orders) AS shifted", "n NOT BETWEEN -128 AND 127"))
+def dtype_strict_int8(spark, sf):
+    """Whole numbers that do not fit one byte."""
+    df = table(spark, sf, "orders").select((F.col("o_custkey") - 700).cast("int").alias("n"))
+    return check_summary(df, "DtypeEval", {"columns": {"n": "int8"}, "strict": True})
+
+
+@query("dtype_strict_double", summary_sql(
+    "DtypeEval", "{''l_quantity'': ''int''}", "(SELECT CASE WHEN l_orderkey % 4 = 0 THEN l_quantity + 0.5 ELSE l_quantity END AS q FROM lineitem) AS l",
+    "q <> floor(q)"))
+def dtype_strict_double(spark, sf):
+    """Halves are no whole numbers."""
+    quantity = F.when(F.col("l_orderkey") % 4 == 0, F.col("l_quantity") + 0.5).otherwise(F.col("l_quantity"))
+    df = table(spark, sf, "lineitem").select(quantity.cast("double").alias("l_quantity"))
+    return check_summary(df, "DtypeEval", {"columns": {"l_quantity": "int"}, "strict": True})
