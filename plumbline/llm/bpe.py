@@ -33,10 +33,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Distinct words a worker remembers; beyond, it starts anew.
-MAX_WORDS = 1_000_000
+#: Distinct words a task remembers; beyond, it starts anew.
+MAX_WORDS = 600_000
 #: Characters of text whose new words are merged together.
-SLICE_CHARS = 16 << 20
+SLICE_CHARS = 6 << 20
+SLICE_ROWS = 2048
 #: Python's blanks that are none for the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -147,6 +148,10 @@ class PairIndexEncoder:
         return np.split(sym[kept], np.cumsum(counts)[:-1])
 
 
+#: Marks that are a piece of their own after letters.
+_MARKS = ("", ".", ",", ";", ":", "!", "?", ")")
+
+
 class TextEncoder:
     """Ids of texts; each distinct run of non-blank characters is encoded once."""
 
@@ -154,16 +159,26 @@ class TextEncoder:
         self.pairs = PairIndexEncoder(path)
         self.known: dict[str, tuple[str, str, int]] = {}
 
+    def pieces(self, run: str) -> list[str]:
+        """The byte-level words of a run."""
+        if run.isascii():  # letters, perhaps with one mark at the end, need no library
+            core, mark = (run, "") if run.isalpha() else (run[:-1], run[-1])
+            if core.isalpha() and mark in _MARKS:
+                return [core.lower(), mark] if mark else [core.lower()]
+        tokenizer = self.pairs.tokenizer
+        return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(run))]
+
     def learn(self, runs: list[str]) -> None:
         """Id text, decoded text and number of ids of new runs."""
-        tokenizer = self.pairs.tokenizer
-        pieces = [[p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(r))]
-                  for r in runs]
-        words = list(dict.fromkeys(p for ps in pieces for p in ps))
-        told = {}
+        pieces = [self.pieces(r) for r in runs]
+        words = dict.fromkeys(p for ps in pieces for p in ps)
+        # A run of small plain letters is a piece of itself.
+        told = {w: self.known[w] for w in words if w in self.known and w.isalpha() and w.isascii() and w.islower()}
+        words = [w for w in words if w not in told]
         tokens = self.pairs.tokens
         for word, ids in zip(words, self.pairs.merge(words)):
-            told[word] = (" ".join(map(str, ids.tolist())), " ".join(tokens[ids]), len(ids))
+            ids = ids.tolist()
+            told[word] = (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids]), len(ids))
         for run, ps in zip(runs, pieces):
             found = [told[p] for p in ps]
             self.known[run] = found[0] if len(found) == 1 else (
@@ -178,12 +193,12 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str, int]]:
         """Id text, decoded text and number of ids of each text."""
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        for special, i in self.pairs.special.items():
-            self.known[special] = (str(i), special, 1)
         at = 0
         while at < len(texts):
+            if len(self.known) > MAX_WORDS:
+                self.known.clear()
+            for special, i in self.pairs.special.items():
+                self.known[special] = (str(i), special, 1)
             runs, size = [], 0
             while at + len(runs) < len(texts) and size < SLICE_CHARS:
                 text = texts[at + len(runs)]
@@ -207,6 +222,17 @@ def _split(text: str) -> list[str]:
     return [r for r in _BLANKS.split(text) if r]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that neither texts nor results of a large one are held at once.
+
+    Words are forgotten at a task's end: Spark keeps Python workers for other tasks, which
+    need the memory.
+    """
+    for b in batches:
+        yield from (b.slice(at, SLICE_ROWS) for at in range(0, b.num_rows, SLICE_ROWS))
+    text_encoder(path).known = {}
+
+
 @lru_cache(maxsize=2)
 def text_encoder(path: str) -> TextEncoder:
     """This process's encoder."""
@@ -217,7 +243,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     """``doc_id``, ``n_tokens`` and ``ids`` of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, path):
             ids = [np.fromstring(i, np.int32, sep=" ") for i, _, _ in text_encoder(path).encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
@@ -243,7 +269,7 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, path):
             made = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
                     for ids, text, n in text_encoder(path).encode(b.column(1).to_pylist())]
             columns = list(zip(*made)) or [(), (), ()]
