@@ -103,7 +103,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "
             "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows],
             "rejected": [r[0] == UNDETERMINED or r[2] < margin for r in rows]})
 
-    return docs.withColumn("_language", classify(F.col(text_col))).select(
+    # Marked so that a filter on its result does not make Spark evaluate it twice.
+    once = classify.asNondeterministic()
+    return docs.withColumn("_language", once(F.col(text_col))).select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")], "_language.*")
 
 
