@@ -135,7 +135,8 @@ def test_drill_down_paths(spark, join_path):
         "run_id string, schema_name string, table_name string, dqmethod string, col string, status string, "
         "run_timestamp timestamp_ntz, failed_count long")
     records = spark.createDataFrame(
-        [("r", f"t{i % 20 if i % 3 else 1}", "RangeEval", "c", str(i)) for i in range(300)],
-        "run_id string, table_name string, dqmethod string, col string, failed_row string")
+        [("r", "s", f"t{i % 20 if i % 3 else 1}", "RangeEval", "c", str(i)) for i in range(300)]
+        + [("r", "other", "t1", "RangeEval", "c", "another schema's")],
+        "run_id string, schema_name string, table_name string, dqmethod string, col string, failed_row string")
     got = Counter(r["failed_row"] for r in drill_down(results, records).collect())
     assert got == Counter(str(i) for i in range(300) if (i % 20 if i % 3 else 1) % 2)
