@@ -12,8 +12,10 @@ must be there too: what follows ``Answer:``, or else its last sentence.
 The decomposition is of the items' passages, not of the corpus's, for what it has to tell
 apart is the items: the leading directions of a whole corpus are its commonest words.
 
-The benchmark is taken in blocks of ``BLOCK_ITEMS`` items; what is broadcast is bounded by
-it.  Documents stay where they are: nothing of them is shuffled but counts of terms.
+The benchmark is taken in blocks of at most ``RANK`` passages, so that the latent space holds
+all of a block's passages whole and what is broadcast is bounded.  An item of more passages
+is spread over several blocks and still reported once.  Documents stay where they are:
+nothing of them is shuffled but counts of terms.
 
 Cases: null and empty texts leak nothing; items that are null or of fewer than
 ``LEAST_WORDS`` words are not looked for; repeated rows and items are each reported;
@@ -33,7 +35,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import PandasUDFType
 
 PASSAGE, LEAST_WORDS = 32, 5
-#: Rank of the latent space, and the columns it is looked for with besides.
+#: Rank of the latent space, which is the most passages of a block, and the columns it is
+#: looked for with besides.
 RANK, SPARE, TURNS = 512, 16, 2
 #: Terms in a larger share of the documents, and in more than so many, count as common;
 #: each item keeps its rarest.
@@ -41,7 +44,6 @@ COMMON, COMMON_DOCS, KEPT_TERMS = 0.01, 10, 8
 #: Least cosine of a candidate; least share of an item's words, and of its rare words, in
 #: the common subsequence; the share from which no answer is asked for.
 COSINE, WORDS, RARE_WORDS, COPY = 0.35, 0.6, 0.6, 0.85
-BLOCK_ITEMS = 256
 #: Texts that are searched together.
 TEXTS = 256
 #: Raw words a worker remembers.
@@ -233,33 +235,58 @@ def _frequencies(docs: DataFrame, text_col: str, terms: dict[str, int]) -> tuple
 def models(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
            item_text_col: str = "text") -> Iterator[Model]:
     """A model for each block of items."""
+    for group in _groups(docs, benchmark, text_col, item_col, item_text_col):
+        yield from group
+
+
+def _passages(n: int) -> range:
+    """Where the passages of an item of ``n`` words start."""
+    return range(0, max(1, n - PASSAGE // 2), PASSAGE // 2)
+
+
+def _groups(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
+            item_text_col: str) -> Iterator[list[Model]]:
+    """Models that belong together: one, or those that an item of more than ``RANK`` passages
+    is spread over."""
     items = benchmark.where(F.col(item_text_col).isNotNull()) \
         .select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")) \
         .orderBy("item_id", "text")
-    block: list[tuple[int, str]] = []
+    block: list[tuple[int, str, range]] = []
+    held = 0
     for row in items.toLocalIterator():
-        if len(words_of(row["text"])) >= LEAST_WORDS:
-            block.append((row["item_id"], row["text"]))
-        if len(block) == BLOCK_ITEMS:
-            yield _model(docs, text_col, block)
-            block = []
+        n = len(words_of(row["text"]))
+        if n < LEAST_WORDS:
+            continue
+        starts = _passages(n)
+        if block and held + len(starts) > RANK:
+            yield [_model(docs, text_col, block)]
+            block, held = [], 0
+        if len(starts) > RANK:
+            yield [_model(docs, text_col, [(row["item_id"], row["text"], starts[a:a + RANK])])
+                   for a in range(0, len(starts), RANK)]
+        else:
+            block.append((row["item_id"], row["text"], starts))
+            held += len(starts)
     if block:
-        yield _model(docs, text_col, block)
+        yield [_model(docs, text_col, block)]
 
 
-def _model(docs: DataFrame, text_col: str, block: list[tuple[int, str]]) -> Model:
-    items = [words_of(t) for _, t in block]
-    every = sorted({w for i in items for w in i})
+def _model(docs: DataFrame, text_col: str, block: list[tuple[int, str, range]]) -> Model:
+    """A model of the passages that start where the block's ranges say."""
+    items = [words_of(t) for _, t, _ in block]
+    # The words of a spread item's other passages are another block's.
+    parts = [i[r[0]:r[-1] + PASSAGE] for i, (_, _, r) in zip(items, block)]
+    every = sorted({w for i in parts for w in i})
     found, n = _frequencies(docs, text_col, {w: k for k, w in enumerate(every)})
     often = dict(zip(every, found.tolist()))
     kept = {w for w in every if often[w] <= max(COMMON_DOCS, COMMON * n)}
-    for i in items:
+    for i in parts:
         kept.update(sorted(set(i), key=lambda w: (often[w], w))[:KEPT_TERMS])
     terms = {w: k for k, w in enumerate(sorted(kept))}
     weights = np.log((n + 1) / (np.array([often[w] for w in sorted(kept)]) + 1)) + 1
     owners, rows = [], []
     for k, i in enumerate(items):
-        for a in range(0, max(1, len(i) - PASSAGE // 2), PASSAGE // 2):
+        for a in block[k][2]:
             own = [terms[w] for w in i[a:a + PASSAGE] if w in terms]
             if own:
                 owners.append(k)
@@ -272,7 +299,7 @@ def _model(docs: DataFrame, text_col: str, block: list[tuple[int, str]]) -> Mode
     space = (weights[:, None] * basis).astype(np.float32)
     passages = np.stack([space[r].sum(axis=0) for r in rows])
     passages /= np.maximum(np.linalg.norm(passages, axis=1), 1e-9)[:, None]
-    return Model([i for i, _ in block], items, [_answer(t) for _, t in block], terms,
+    return Model([i for i, _, _ in block], items, [_answer(t) for _, t, _ in block], terms,
                  weights.astype(np.float32), space, passages, np.array(owners), least)
 
 
@@ -324,7 +351,7 @@ def leaks_of(model: Model, text: Column) -> Column:
     """Column with the items that leak into ``text`` and the share of their words."""
     from pyspark.sql import SparkSession
 
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)  # bounded by BLOCK_ITEMS
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)  # bounded by RANK
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = shared.value.finder()
@@ -340,8 +367,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """``doc_id``, ``item_id``, ``share`` of the item's words, for each leak of an item into a
     document."""
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, share double")
-    for model in models(docs, benchmark, text_col=text_col):
-        found = docs.select(F.col(id_col).cast("long").alias("doc_id"), leaks_of(model, F.col(text_col)).alias("found"))
+    for group in _groups(docs, benchmark, text_col, "item_id", "text"):
+        found = leaks_of(group[0], F.col(text_col))
+        if len(group) > 1:  # parts of one item: its best share
+            found = F.slice(F.sort_array(F.concat(*[leaks_of(m, F.col(text_col)) for m in group]), asc=False), 1, 1)
+        found = docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("found"))
         out = out.unionByName(found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.item_id", "f.share"))
     return out
 

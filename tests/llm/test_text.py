@@ -192,6 +192,19 @@ def test_leaks(spark, documents):
     assert decontaminate.leaks(documents(rows), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_long_and_short_items(spark, documents, monkeypatch):
+    """Items of many passages leave no less room for short ones; one item may fill blocks."""
+    monkeypatch.setattr(decontaminate, "RANK", 32)
+    items = [(k, item(k, 700 if k == 3 else 120 if k % 2 else 25)) for k in range(24)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    models = list(decontaminate.models(documents([]), benchmark))
+    assert all(len(m.passages) <= 32 for m in models) and sum(3 in m.item_ids for m in models) == 2
+    rows = [(k, noise(k, 60)) for k in range(30)] + [(100 + k, noise(k, 32) + " " + t) for k, t in items]
+    got = decontaminate.leaks(documents(rows + [rows[-1]]), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(100 + k, k) for k in range(24)] + [(123, 23)]
+    assert sorted(r.doc_id for r in decontaminate.clean(documents(rows), benchmark).collect()) == [*range(30)]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_common_subsequence(seed):
     make = random.Random(seed)
