@@ -7,7 +7,8 @@ the latent space; every passage of every document is folded in and compared with
 by cosine.  What comes near enough is checked word by word: the longest common subsequence
 of the item and the text around the passage must hold most of the item's words, and of
 its rare words.  Where it holds fewer than a copy would (a paraphrase), the item's answer
-must be there too: what follows ``Answer:``, or else its last sentence.
+must be there too: what follows ``Answer:``, or else its last sentence.  Of an item longer than a
+passage it is a leak as well if a document holds ``COPY`` of the words of one passage.
 
 The decomposition is of the items' passages, not of the corpus's, for what it has to tell
 apart is the items: the leading directions of a whole corpus are its commonest words.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -88,6 +90,7 @@ class Model:
     space: np.ndarray
     passages: np.ndarray
     owners: np.ndarray
+    starts: np.ndarray
     least_terms: int
 
     def finder(self) -> "Finder":
@@ -114,8 +117,9 @@ class Finder:
         self.rare = [[w for w in i if w in rare] for i in model.items]
         self.queries = model.passages.T.astype(np.float32)
 
-    def candidates(self, texts: list[list[str]]) -> set[tuple[int, int, int]]:
-        """(text, half passage, item) of passages near an item.  ``texts`` are raw words."""
+    def candidates(self, texts: list[list[str]]) -> set[tuple[int, int, int, int]]:
+        """(text, item, half passage, start in the item) of passages near one of an item's.
+        ``texts`` are raw words."""
         if len(self.known) > MAX_WORDS:
             self.known.clear()
         numbers = [np.fromiter(map(self.known.__getitem__, t), np.int32, len(t)) for t in texts]
@@ -146,8 +150,8 @@ class Finder:
             rows, which = np.nonzero(scores >= COSINE * np.sqrt(mass)[:, None])
             halves = place[own][rows]
             texts_of = np.searchsorted(first, halves, "right") - 1
-            found.update(zip(texts_of.tolist(), (halves - first[texts_of]).tolist(),
-                             self.model.owners[which].tolist()))
+            found.update(zip(texts_of.tolist(), self.model.owners[which].tolist(),
+                             (halves - first[texts_of]).tolist(), self.model.starts[which].tolist()))
         return found
 
     def find(self, texts: list[str]) -> list[list[tuple[int, float]]]:
@@ -155,30 +159,51 @@ class Finder:
         raw = [t.split() if t else [] for t in texts]
         out: list[dict[int, float]] = [{} for _ in texts]
         plain: dict[int, list[str]] = {}
-        for text, half, item in sorted(self.candidates(raw)):
+        for (text, item, half), near in groupby(sorted(self.candidates(raw)), key=lambda c: c[:3]):
             if out[text].get(item, 0) >= COPY:
                 continue
             if text not in plain:
                 plain[text] = [w for w in map(word, raw[text]) if w]
-            share = self.share(item, plain[text], half)
+            share = self.share(item, plain[text], half, [start for *_, start in near])
             if share > out[text].get(item, 0):
                 out[text][item] = share
         return [[(self.model.item_ids[i], s) for i, s in sorted(found.items())] for found in out]
 
-    def share(self, item: int, text: list[str], half: int) -> float:
-        """The share of the item's words in the text around a passage; 0 if it is no leak."""
+    def share(self, item: int, text: list[str], half: int, starts: list[int]) -> float:
+        """The share of the item's words in the text around a passage that is near the
+        item's passages at ``starts``; 0 if it is no leak."""
         wanted = self.model.items[item]
         middle = half * (PASSAGE // 2)
         around = text[max(0, middle - len(wanted)):middle + PASSAGE + len(wanted)]
         share = common_subsequence(wanted, around) / len(wanted)
+        if self.whole(item, share, around) or self.part(wanted, text, middle, starts):
+            return share
+        return 0.0
+
+    def whole(self, item: int, share: float, around: list[str]) -> bool:
+        """Whether what is around has most of the item."""
         rare = self.rare[item]
         if share < WORDS or rare and common_subsequence(rare, around) < RARE_WORDS * len(rare):
-            return 0.0
+            return False
         if share < COPY:
             answer, there = self.model.answers[item], set(around)
             if sum(w in there for w in answer) < WORDS * len(answer):
-                return 0.0
-        return share
+                return False
+        return True
+
+    def part(self, wanted: list[str], text: list[str], middle: int, starts: list[int]) -> bool:
+        """Whether one of the item's passages is copied, if it is longer than one."""
+        if len(wanted) <= PASSAGE:
+            return False
+        around = text[max(0, middle - PASSAGE):middle + 2 * PASSAGE]
+        for start in starts:
+            start = min(start, len(wanted) - PASSAGE)  # the last is as long as the others
+            passage = wanted[start:start + PASSAGE]
+            if common_subsequence(passage, around) >= COPY * PASSAGE:
+                rare = [w for w in passage if w in self.model.terms]
+                if common_subsequence(rare, around) >= RARE_WORDS * len(rare):
+                    return True
+        return False
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -284,12 +309,13 @@ def _model(docs: DataFrame, text_col: str, block: list[tuple[int, str, range]])
         kept.update(sorted(set(i), key=lambda w: (often[w], w))[:KEPT_TERMS])
     terms = {w: k for k, w in enumerate(sorted(kept))}
     weights = np.log((n + 1) / (np.array([often[w] for w in sorted(kept)]) + 1)) + 1
-    owners, rows = [], []
+    owners, starts, rows = [], [], []
     for k, i in enumerate(items):
         for a in block[k][2]:
             own = [terms[w] for w in i[a:a + PASSAGE] if w in terms]
             if own:
                 owners.append(k)
+                starts.append(a)
                 rows.append(own)
     # A leak keeps most of an item's words, and a passage holds half of the item's fullest
     # one at least, however the two lie.
@@ -300,7 +326,7 @@ def _model(docs: DataFrame, text_col: str, block: list[tuple[int, str, range]])
     passages = np.stack([space[r].sum(axis=0) for r in rows])
     passages /= np.maximum(np.linalg.norm(passages, axis=1), 1e-9)[:, None]
     return Model([i for i, _, _ in block], items, [_answer(t) for _, t, _ in block], terms,
-                 weights.astype(np.float32), space, passages, np.array(owners), least)
+                 weights.astype(np.float32), space, passages, np.array(owners), np.array(starts), least)
 
 
 def latent_space(spark, rows: list[list[int]], weights: np.ndarray) -> np.ndarray:

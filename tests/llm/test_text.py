@@ -205,6 +205,17 @@ def test_leaks_of_long_and_short_items(spark, documents, monkeypatch):
     assert sorted(r.doc_id for r in decontaminate.clean(documents(rows), benchmark).collect()) == [*range(30)]
 
 
+def test_leaks_of_a_part(spark, documents):
+    """A copied stretch of a long item is a leak, whatever its share; a short one is not."""
+    words = item(0, 1000).split()
+    benchmark = spark.createDataFrame([(0, " ".join(words)), (1, item(1))], "item_id long, text string")
+    rows = [(k, noise(k, 200)) for k in range(30)]
+    rows += [(100, noise(1, 40) + " " + " ".join(words[203:703]) + " " + noise(2, 40)), (101, " ".join(words[-48:])),
+             (102, noise(3, 25) + " " + " ".join(words[300:320]) + " " + noise(4, 25))]
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(documents(rows), benchmark).collect()}
+    assert got == {(100, 0): 0.5, (101, 0): 0.048}
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_common_subsequence(seed):
     make = random.Random(seed)
