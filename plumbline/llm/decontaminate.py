@@ -18,8 +18,13 @@ all of a block's passages whole and what is broadcast is bounded.  An item of mo
 is spread over several blocks and still reported once.  Documents stay where they are:
 nothing of them is shuffled but counts of terms.
 
-Cases: null and empty texts leak nothing; items that are null or of fewer than
-``LEAST_WORDS`` words are not looked for; repeated rows and items are each reported;
+Items of fewer than ``LEAST_WORDS`` words are compared exactly.  They leak where they are the
+whole text, or where their words and next to them their answer follow each other, with the
+word ``answer`` between or not; the words of an item that is all answer prove nothing inside
+a text.
+
+Cases: null and empty texts leak nothing; items that are null or without words are not looked
+for; repeated rows and items are each reported;
 without items, or without documents, the result is empty; extra columns are ignored.
 """
 
@@ -28,7 +33,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -46,6 +51,8 @@ COMMON, COMMON_DOCS, KEPT_TERMS = 0.01, 10, 8
 #: Least cosine of a candidate; least share of an item's words, and of its rare words, in
 #: the common subsequence; the share from which no answer is asked for.
 COSINE, WORDS, RARE_WORDS, COPY = 0.35, 0.6, 0.6, 0.85
+#: Items of fewer than LEAST_WORDS words that are searched together.
+SHORT_ITEMS = 65536
 #: Texts that are searched together.
 TEXTS = 256
 #: Raw words a worker remembers.
@@ -206,6 +213,58 @@ class Finder:
         return False
 
 
+@dataclass
+class ShortModel:
+    """Items of fewer than ``LEAST_WORDS`` words: the places of those that leak as a whole
+    text of these words, and as these words in a row."""
+
+    item_ids: list[int]
+    whole: dict[tuple[str, ...], list[int]]
+    runs: dict[tuple[str, ...], list[int]]
+
+    @classmethod
+    def of(cls, block: list[tuple[int, str]]) -> "ShortModel":
+        model = cls([i for i, _ in block], {}, {})
+        for k, (_, text) in enumerate(block):
+            words, answer = words_of(text), _answer(text)
+            told = _ANSWER.search(text)
+            asked = words_of(text[:told.start()]) if told else words[:len(words) - len(answer)]
+            for run in {tuple(words), tuple(asked + answer)}:
+                model.whole.setdefault(run, []).append(k)
+                if asked and answer:
+                    model.runs.setdefault(run, []).append(k)
+        return model
+
+    def finder(self) -> "ShortFinder":
+        return ShortFinder(self)
+
+
+class ShortFinder:
+    """Searches texts for a model's short items."""
+
+    def __init__(self, model: ShortModel):
+        self.model = model
+        self.lengths: dict[str, set[int]] = {}
+        for run in model.runs:
+            self.lengths.setdefault(run[0], set()).add(len(run))
+
+    def find(self, texts: list[str]) -> list[list[tuple[int, float]]]:
+        """For each text the items that leak into it, with the share of their words."""
+        out = []
+        for text in texts:
+            words = words_of(text) if text else []
+            own: dict[tuple[str, ...], list[int]] = {}
+            if len(words) < LEAST_WORDS and (items := self.model.whole.get(tuple(words))):
+                own[tuple(words)] = items
+            for a, w in enumerate(words):
+                for n in self.lengths.get(w, ()):
+                    run = tuple(words[a:a + n])
+                    if run in self.model.runs:
+                        own.setdefault(run, self.model.runs[run])
+            out.append([(self.model.item_ids[i], 1.0) for i in sorted(set(chain.from_iterable(own.values())))])
+        return out
+
+
 def common_subsequence(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, a bit for each word of ``a``."""
     bits: dict[str, int] = {}
@@ -258,7 +317,7 @@ def _frequencies(docs: DataFrame, text_col: str, terms: dict[str, int]) -> tuple
 
 
 def models(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
-           item_text_col: str = "text") -> Iterator[Model]:
+           item_text_col: str = "text") -> Iterator[Model | ShortModel]:
     """A model for each block of items."""
     for group in _groups(docs, benchmark, text_col, item_col, item_text_col):
         yield from group
@@ -270,17 +329,23 @@ def _passages(n: int) -> range:
 
 
 def _groups(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
-            item_text_col: str) -> Iterator[list[Model]]:
+            item_text_col: str) -> Iterator[list[Model | ShortModel]]:
     """Models that belong together: one, or those that an item of more than ``RANK`` passages
     is spread over."""
     items = benchmark.where(F.col(item_text_col).isNotNull()) \
         .select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")) \
         .orderBy("item_id", "text")
     block: list[tuple[int, str, range]] = []
+    short: list[tuple[int, str]] = []
     held = 0
     for row in items.toLocalIterator():
         n = len(words_of(row["text"]))
         if n < LEAST_WORDS:
+            if n:
+                short.append((row["item_id"], row["text"]))
+            if len(short) == SHORT_ITEMS:
+                yield [ShortModel.of(short)]
+                short = []
             continue
         starts = _passages(n)
         if block and held + len(starts) > RANK:
@@ -294,6 +359,8 @@ def _groups(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
             held += len(starts)
     if block:
         yield [_model(docs, text_col, block)]
+    if short:
+        yield [ShortModel.of(short)]
 
 
 def _model(docs: DataFrame, text_col: str, block: list[tuple[int, str, range]]) -> Model:
@@ -373,11 +440,11 @@ def latent_space(spark, rows: list[list[int]], weights: np.ndarray) -> np.ndarra
     return basis @ vectors[:, np.argsort(-values)[:rank]]
 
 
-def leaks_of(model: Model, text: Column) -> Column:
+def leaks_of(model: Model | ShortModel, text: Column) -> Column:
     """Column with the items that leak into ``text`` and the share of their words."""
     from pyspark.sql import SparkSession
 
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)  # bounded by RANK
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)  # bounded by RANK or SHORT_ITEMS
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = shared.value.finder()

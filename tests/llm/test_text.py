@@ -216,6 +216,18 @@ def test_leaks_of_a_part(spark, documents):
     assert got == {(100, 0): 0.5, (101, 0): 0.048}
 
 
+def test_leaks_of_few_words(spark, documents):
+    """Items under five words: as a whole text, or next to their answer."""
+    items = [(1, "Largest planet? Jupiter."), (2, "River? Answer: Nile"), (3, "too short"), (4, "Too short!"), (5, "?"), (1, "Largest planet? Jupiter.")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(100, "largest planet: JUPITER"), (101, noise(1, 40) + " river - answer: nile, " + noise(2, 40)), (102, "a river? Nile!"),
+            (103, "Too short."), (104, "it is too short to tell"), (105, "largest planet or jupiter"), (106, None), (107, ""), (108, "river")]
+    got = decontaminate.leaks(documents(rows), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.share) for r in got) == [
+        (100, 1, 1.0), (100, 1, 1.0), (101, 2, 1.0), (102, 2, 1.0), (103, 3, 1.0), (103, 4, 1.0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(documents(rows), benchmark).collect()) == [104, 105, 106, 107, 108]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_common_subsequence(seed):
     make = random.Random(seed)
