@@ -2,8 +2,8 @@
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers.  These are the
 seeds.  The words around seeds are lexical patterns; other tokens that hold a digit or an
-``@`` are instances if they stand in such a context.  Patterns and instances form a graph,
-scored in turns: a pattern is as good as the mean of its instances, an instance as the
+``@``, and neighbouring tokens of digits as one, are instances if they stand in such a
+context.  Patterns and instances form a graph, scored in turns: a pattern is as good as the mean of its instances, an instance as the
 chance that not all its patterns err.  Instances of high score become spans of the kind.
 
 Only DataFrame functions are used.  Positions come from the lengths of what ``split``
@@ -31,9 +31,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: A token with a digit or an @, and what is cut from its ends.
-_TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-_HEAD, _TAIL = r"^[(\[{<\"']*+", r"(?<![.,;:!?)\]}>\"'])[.,;:!?)\]}>\"']++$"
+#: A run of neighbouring tokens of digits, brackets, dots and hyphens: punctuation at a token's
+#: end, and a plus, end the run; an IP address stands by itself.
+_DIGITS = r"[(\[]*+[0-9][()\[\]0-9.-]*+(?=[,;:!?}>\"']*+(?:\s|\z))"
+_QUAD = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++(?![()\[\]0-9-])"
+_RUN = rf"[{{<\"']*+\+?+(?!{_QUAD}){_DIGITS}(?:(?<!\.)\x20++(?:-\x20++)?+(?!{_QUAD}){_DIGITS})++"
+#: Such a run, or a token with a digit or an @, and what is cut from its ends; a bracket stays
+#: that closes before more digits.
+_TOKEN = rf"(?<!\S)(?:{_RUN}|[^\s0-9@]*+[0-9@]\S*+)"
+_HEAD = r"^(?:[\[{<\"']|\((?![0-9\x20.-]*+\)[\x20.-]*+[0-9]))*+"
+_TAIL = r"(?<![.,;:!?)\]}>\"'])[.,;:!?)\]}>\"']++$"
 _SPAN = "struct<kind:int,start:int,end:int>"
 
 #: Distinct seeds that a pattern needs, and the scores that patterns and instances need.

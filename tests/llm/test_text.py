@@ -66,6 +66,15 @@ def test_contexts_bring_up_unseen_identifiers(documents):
     assert got[51].spans == "" and all(got[i].n_found == 0 for i in range(9))
 
 
+def test_contexts_bring_up_spaced_numbers(documents):
+    seeds = [(i, f"You can call +1 (743) 555-38{i}4 now or later.") for i in range(9)]
+    hidden = [(50, "You can call (743) 555-3824 now or later."), (51, "You can call 030 555 019 now, 040 555 020"), (52, "in 1990. 2000 men")]
+    got = {r.doc_id: r for r in pii.find(documents(seeds + hidden)).collect()}
+    assert got[50].spans == "phone:13:27" and got[51].spans == "phone:13:24" and got[52].spans == ""
+    text = {r.doc_id: r.text for r in pii.redact(documents(hidden + seeds)).collect()}
+    assert text[50] == "You can call <phone> now or later." and text[51] == "You can call <phone> now, 040 555 020"
+
+
 def test_redaction(documents):
     docs = documents([(1, f"to a@b.cc or 10.0.0.1, card {CARD}!"), (2, None), (3, "clean"), (4, "")])
     got = {r.doc_id: r for r in pii.redact(docs).collect()}
