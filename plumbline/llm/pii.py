@@ -3,8 +3,11 @@
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers.  These are the
 seeds.  The words around seeds are lexical patterns; other tokens that hold a digit or an
 ``@``, and neighbouring tokens of digits as one, are instances if they stand in such a
-context.  Patterns and instances form a graph, scored in turns: a pattern is as good as the mean of its instances, an instance as the
-chance that not all its patterns err.  Instances of high score become spans of the kind.
+context.  What contradicts a pattern is instances of other kinds, and others that do not look
+like its kind; what is merely unseen does not.  Without a word in the context all others
+contradict.  An instance is scored by the chance that not all its patterns err.  Instances
+of high score become spans of the kind, and seeds of further patterns, until a round adds
+none.
 
 Only DataFrame functions are used.  Positions come from the lengths of what ``split``
 leaves and ``regexp_extract_all`` takes.  The regular expressions are the plain ones made
@@ -44,7 +47,7 @@ _TAIL = r"(?<![.,;:!?)\]}>\"'])[.,;:!?)\]}>\"']++$"
 _SPAN = "struct<kind:int,start:int,end:int>"
 
 #: Distinct seeds that a pattern needs, and the scores that patterns and instances need.
-SUPPORT, PATTERN_SCORE, INSTANCE_SCORE, ROUNDS = 4, 0.7, 0.8, 3
+SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 4, 0.7, 0.8
 #: A found instance has at least so many characters.
 LEAST_CHARS = 6
 
@@ -110,6 +113,18 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _like(kind: str, text: Column) -> Column:
+    """Whether an unseen instance has the shape of the kind, written in another way."""
+    digits = F.length(_digits(text))
+    if kind == "email":
+        return text.rlike("[a-z]") & text.rlike(r"@|[(\[{<]at[)\]}>]|[a-z0-9]\.[a-z]")
+    if kind == "ip":
+        return text.rlike(r"^[0-9]++(?:[.-][0-9]++){3}$") | text.rlike(r"^[0-9a-f:]*+:[0-9a-f]*+:[0-9a-f:.]*+$")
+    if kind == "card":
+        return text.rlike(r"^[0-9\x20./-]++$") & digits.between(12, 19)
+    return text.rlike(r"^[()\[\]0-9+\x20./-]++$") & digits.between(7, 15)
+
+
 _NONE = "CAST(array() AS array<struct<text:string,start:int,end:int,contexts:array<string>>>)"
 _CAN = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
         "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": lambda t: t.contains("+")}
@@ -159,36 +174,50 @@ def _discover(scanned: DataFrame) -> DataFrame:
         .select(F.explode("m.contexts").alias("pattern"), F.col("m.text").alias("instance"), F.col("m.kind").alias("kind"))
     mentions = scanned.select("_row", F.explode("_others").alias("m"))
     others = mentions.select(F.explode("m.contexts").alias("pattern"), F.col("m.text").alias("instance"))
-    seeds = seeds.groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds"))
-    # Only contexts of enough seeds can become patterns; the graph is what they touch.
-    seeds = seeds.where(F.col("seeds") >= SUPPORT)
-    graph = cut_lineage(others.distinct().join(seeds.select("pattern").distinct(), "pattern", "left_semi"))
-    seeds = cut_lineage(seeds)
-    sizes = graph.groupBy("pattern").agg(F.count("*").alias("others")) \
-        .join(seeds.groupBy("pattern").agg(F.sum("seeds").alias("all_seeds")), "pattern", "right") \
-        .select("pattern", (F.coalesce("others", F.lit(0)) + F.col("all_seeds")).alias("n"))
-    base = seeds.join(sizes, "pattern")
-    scores = None
-    for _ in range(ROUNDS):
-        if scores is None:
-            patterns = base.withColumn("score", F.col("seeds") / (F.col("n") + 1))
-        else:
-            gained = graph.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
-            patterns = base.join(gained, ["pattern", "kind"], "left").withColumn(
-                "score", (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + 1))
-        good = patterns.where(F.col("score") >= PATTERN_SCORE).select("pattern", "kind", "score")
-        scores = cut_lineage(
-            graph.join(good, "pattern").groupBy("instance", "kind")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999)))))).alias("score")))
-    best = scores.where(F.col("score") >= INSTANCE_SCORE).groupBy("instance") \
-        .agg(F.max(F.struct(F.col("score"), (-F.col("kind")).alias("minus"))).alias("b")) \
-        .select(F.col("instance"), (-F.col("b.minus")).alias("kind"))
-    spans = mentions.join(cut_lineage(best), F.col("m.text") == F.col("instance"))
+    seeds = cut_lineage(seeds.groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("seeds")))
+    graph = cut_lineage(others.distinct())
+    known = None
+    while True:
+        fresh = cut_lineage(_round(seeds, graph, known))
+        known = fresh if known is None else known.unionByName(fresh)
+        if fresh.isEmpty():
+            break
+    spans = mentions.join(known, F.col("m.text") == F.col("instance"))
     return cut_lineage(spans.groupBy("_row").agg(F.collect_list(F.struct(
         F.col("kind").cast("int").alias("kind"), F.col("m.start").cast("int").alias("start"),
         F.col("m.end").cast("int").alias("end"))).alias("_found")))
 
 
+def _round(seeds: DataFrame, graph: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``instance`` and ``kind`` of what the patterns bring up besides ``known``, whose
+    mentions count as seeds."""
+    if known is not None:
+        gained = graph.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
+        seeds = seeds.unionByName(gained)
+        graph = graph.join(known, "instance", "left_anti")
+    counts = seeds.groupBy("pattern").agg(F.array(*[
+        F.coalesce(F.sum(F.when(F.col("kind") == n, F.col("seeds"))), F.lit(0)) for n in range(len(KINDS))]).alias("seeds")) \
+        .where(F.array_max("seeds") >= SUPPORT)
+    # Only contexts of enough seeds can become patterns; the graph is what they touch.
+    counts = cut_lineage(counts)
+    graph = cut_lineage(graph.join(counts.select("pattern"), "pattern", "left_semi"))
+    empty = F.col("pattern").isin("# # _", "# _ #")
+    against = graph.groupBy("pattern").agg(F.array(*[
+        F.count(F.when(empty | ~_like(k, F.col("instance")), 1)) for k in KINDS]).alias("against"))
+    good = counts.join(against, "pattern", "left") \
+        .withColumn("against", F.coalesce("against", F.array(*[F.lit(0).cast("long")] * len(KINDS)))) \
+        .withColumn("all", F.aggregate("seeds", F.lit(0).cast("long"), lambda n, x: n + x)) \
+        .select("pattern", "all", F.posexplode(F.arrays_zip("seeds", "against")).alias("kind", "n")) \
+        .where(F.col("n.seeds") >= SUPPORT) \
+        .select("pattern", "kind", (F.col("n.seeds") / (F.col("all") + F.col("n.against") + 1)).alias("score")) \
+        .where(F.col("score") >= PATTERN_SCORE)
+    scores = graph.join(good, "pattern").groupBy("instance", "kind") \
+        .agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999)))))).alias("score"))
+    return scores.where(F.col("score") >= INSTANCE_SCORE).groupBy("instance") \
+        .agg(F.max(F.struct(F.col("score"), (-F.col("kind")).alias("minus"))).alias("b")) \
+        .select(F.col("instance"), (-F.col("b.minus")).alias("kind"))
+
+
 def _written(spans: Column) -> Column:
     """kind:start:end, comma-joined, by kind as listed, then start."""
     names = F.array(*map(F.lit, KINDS))

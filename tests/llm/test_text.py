@@ -75,6 +75,27 @@ def test_contexts_bring_up_spaced_numbers(documents):
     assert text[50] == "You can call <phone> now or later." and text[51] == "You can call <phone> now, 040 555 020"
 
 
+def test_the_unseen_does_not_contradict(documents):
+    """Half as many unseen identifiers as seeds are all found; other shapes and kinds count."""
+    rows = [(i, f"please call +1 (743) 555-{3000 + i} today") for i in range(20)]
+    rows += [(100 + i, f"please call (743) 555-{4000 + i} today") for i in range(15)]
+    rows += [(200 + i, f"visit site +1 (743) 556-{3000 + i} again") for i in range(6)]
+    rows += [(300 + i, f"visit site order-{i}-no{i} again") for i in range(6)] + [(400, "visit site (743) 557-3000 again")]
+    got = {r.doc_id: r for r in pii.find(documents(rows)).collect()}
+    assert all(got[i].spans == "phone:12:26" for i in range(100, 115))
+    assert all(got[i].spans == "" for i in [*range(300, 306), 400])
+
+
+def test_found_instances_are_seeds_of_further_patterns(documents):
+    rows = [(i, f"please call +1 (743) 555-{3000 + i} today") for i in range(9)]
+    rows += [(100 + i, f"please call (743) 555-{4000 + i} today") for i in range(5)]
+    rows += [(200 + i, f"or dial (743) 555-{4000 + i} anytime") for i in range(5)] + [(300, "or dial 030 555 019 anytime")]
+    rows += [(400, "or dial 040 555 0190 anytime"), (401, "or ring 040 555 0190 anytime")]
+    got = {r.doc_id: r for r in pii.find(documents(rows)).collect()}
+    assert all(got[i].n_found == 1 for i in [*range(100, 105), *range(200, 205)])
+    assert got[300].spans == "phone:8:19" and got[401].spans == "phone:8:20"
+
+
 def test_redaction(documents):
     docs = documents([(1, f"to a@b.cc or 10.0.0.1, card {CARD}!"), (2, None), (3, "clean"), (4, "")])
     got = {r.doc_id: r for r in pii.redact(docs).collect()}
