@@ -37,8 +37,10 @@ NEIGHBOUR, SIBLING = 0.8, 0.4
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^<>]*+>",
                   re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: Any attribute's name, with its value taken along.
+_NAME = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++))?|\"[^\"]*+\"|'[^']*+'")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
-_HIDDEN = {"head", "svg", "math", "template", "select", "button", "option", "datalist", "object", "canvas"}
+_HIDDEN = {"head", "svg", "template", "select", "button", "option", "datalist"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div",
           "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -81,6 +83,11 @@ class _Open:
     hidden: bool
 
 
+def _is_hidden(attributes: str) -> bool:
+    lower = attributes.lower()
+    return "hidden" in lower and "hidden" in _NAME.findall(lower)
+
+
 @dataclass
 class _Parser:
     out: list[Text] = field(default_factory=list)
@@ -138,8 +145,7 @@ class _Parser:
         above = self.stack[-1]
         self.made += 1
         self.stack.append(_Open(tag, self.made, self.sign(tag, attributes, above),
-                                above.hidden or tag in _HIDDEN or "hidden" in attributes and bool(
-                                    re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))))
+                                above.hidden or tag in _HIDDEN or _is_hidden(attributes)))
         self.links += tag == "a"
 
     def sign(self, tag: str, attributes: str, above: _Open) -> int:

@@ -170,6 +170,17 @@ def test_main_text(spark):
     assert html_text.extract(empty, html_text.learn(empty)).count() == 0
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article data-headline="The hidden cost of rain"><p>Kept.</p></article>', "Kept."),
+    ("<div title='a hidden gem' data-hidden aria-hidden=true class=hidden>Kept.</div>", "Kept."),
+    ('<p title="x = hidden" alt=hidden>Kept.</p>', "Kept."), ('<p data-x= "a"hidden>Gone.</p>', ""),
+    ("<p hidden>Gone.</p>", ""), ("<p class=a HIDDEN=''>Gone.</p>", ""), ('<p id="a b" hidden="until-found">Gone.</p>', ""),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", "Let x=2 be."),
+    ("<p>See <object data=a><param name=b>the plan</object> and <canvas>a chart</canvas>.</p>", "See the plan and a chart.")])
+def test_hidden_text(page, text):
+    assert " ".join(b.text for b in html_text.parse(page)) == text
+
+
 def test_fit_without_sample_is_the_prior():
     assert (html_text.fit(np.zeros((0, len(html_text.FEATURES))), np.zeros(0)) == html_text.PRIOR).all()
 
