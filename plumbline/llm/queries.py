@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import (ann, bpe, decontaminate, html_text, jaccard_join, language_id, pii, quality_rules, substring_dedup,
-                           token_counts, token_files, vector_codes, whitening)
+                           token_counts, token_files, twins, vector_codes, whitening)
 from plumbline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,7 +88,7 @@ def op1_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-@query("op13_vector_codes")
+@query("op13_vector_codes", twins.codes())
 def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     coded = vector_codes.with_label_errors(vector_codes.encode(table(spark, sf, "embeddings")))
     code = F.concat(*[F.lpad(F.lower(F.hex(F.col("codes")[p])), 2, "0") for p in range(vector_codes.PARTS)])
@@ -103,7 +103,7 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
                 F.col("c.explained").alias("explained"), "identity_error")
 
 
-@query("op12_quality_rules")
+@query("op12_quality_rules", twins.quality())
 def op12_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
