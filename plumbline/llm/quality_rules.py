@@ -27,8 +27,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Signs left out before a word is looked up among the stop words.
-SIGNS = ".,;:!?\"'()[]{}…«»„“”‘’-/" + SYMBOLS
 
 #: The commonest function words of each language, without regard to case.
 STOP_WORDS = {
@@ -79,10 +77,6 @@ def _count(found: Column) -> Column:
     return F.size(found).cast("long")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def _sorted_windows(words: Column, last: Column, hashes: Column) -> Column:
     """Windows in the order of their hashes, then of their words, then of their places."""
     return F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
@@ -110,7 +104,7 @@ def measures(docs: DataFrame, text: Column, keep: Iterable[str | Column] = ()) -
     kept = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text"))
     names = [f"`{c}`" for c in kept.columns[:-1]]
     split = kept.select(
-        "*", F.array_remove(F.split(F.translate("__text", BLANKS, " " * len(BLANKS)), " ", -1), "").alias("__words"),
+        "*", F.array_remove(F.split("__text", f"[{BLANKS}]+", -1), "").alias("__words"),
         F.filter(F.split("__text", "\n", -1), lambda line: line.rlike(has_word)).alias("__lines"))
     hashed = split.select(
         "*", F.size("__words").alias("__n"),
@@ -125,14 +119,15 @@ def measures(docs: DataFrame, text: Column, keep: Iterable[str | Column] = ()) -
     return ordered.select(
         *names,
         F.col("__n").cast("long").alias("n_words"),
-        F.char_length(_without(F.col("__text"), BLANKS)).cast("long").alias("word_chars"),
-        (F.char_length("__text") - F.char_length(_without(F.col("__text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("__text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         _count(F.col("__lines")).alias("n_lines"),
         (_count(F.col("__lines")) - _count(F.array_distinct("__lines"))).alias("n_dup_lines"),
         _count(F.filter("__lines", lambda x: x.rlike(rf"^[{BLANKS}]*[-*•‣◦·][{BLANKS}]"))).alias("n_bullet_lines"),
-        _count(F.filter("__lines", lambda x: x.rlike(rf"(\.\.\.|…)[{BLANKS}]*$"))).alias("n_ellipsis_lines"),
+        _count(F.filter("__lines", lambda x: F.rtrim(x, F.lit(BLANKS)).endswith("...") | F.rtrim(x, F.lit(BLANKS)).endswith("…")))
+        .alias("n_ellipsis_lines"),
         _count(F.filter("__words", lambda w: w.rlike(r"\p{L}"))).alias("n_letter_words"),
-        _count(F.filter(F.split(F.translate(F.lower("__text"), BLANKS + SIGNS, " " * len(BLANKS)), " ", -1), lambda w: w.isin(stop))).alias("n_stop_words"),
+        _count(F.filter(F.split(F.lower("__text"), r"\P{L}+", -1), lambda w: w.isin(stop))).alias("n_stop_words"),
         _count(F.filter("__h", lambda x, i: (i > 0) & (h[F.greatest(i - 1, F.lit(0))] == x))).alias("n_stutter_words"),
         _repeat_words(F.col("__sorted"), last).alias("n_repeat_words"))
 
