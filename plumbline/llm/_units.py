@@ -26,8 +26,11 @@ _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _RARE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _RUNS = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\x0b", "\x0c")
-#: Distinct units a worker keeps; beyond, it starts anew.
-MAX_UNITS = 1_000_000
+#: Distinct units of a generation.  A worker keeps two; when the young one is full the old
+#: one is forgotten, but for what has been met again since.
+MAX_UNITS = 500_000
+#: New units that the library is given as one text.
+JOINED = 500
 #: Units that are looked up at once.
 _SLICE = 200_000
 
@@ -44,6 +47,38 @@ class _Index(dict):
         return number
 
 
+class _Units:
+    """Units with their ids."""
+
+    def __init__(self):
+        self.index = _Index()
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.count = np.zeros(1 << 14, np.int64)
+        self.used = self.known = 0
+
+    def add(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        """The ids of the next units, in the order of their numbers."""
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.known + len(counts) > len(self.count):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
+        self.ids[self.used:self.used + len(flat)] = flat
+        at = slice(self.known, self.known + len(counts))
+        self.count[at] = counts
+        self.start[at] = self.used + np.cumsum(counts) - counts
+        self.used += len(flat)
+        self.known += len(counts)
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered units, one after the other, and how many each has."""
+        counts = self.count[numbers]
+        where = np.repeat(self.start[numbers] - np.cumsum(counts) + counts, counts)
+        where += np.arange(len(where))
+        return self.ids[where], counts
+
+
 class UnitEncoder:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
@@ -59,14 +94,12 @@ class UnitEncoder:
         self.by_unit = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
                         and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                         and not spec["model"].get("dropout"))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index = _Index()
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
-        self.used = self.known = 0
+        # How many bytes of text an id stands for; every sign of the byte-level alphabet is one.
+        self.bytes = np.zeros(self.vocabulary, np.int64)
+        added = self.tokenizer.get_added_tokens_decoder()
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.bytes[i] = len(token.encode()) if i in added else len(token)
+        self.young = self.old = _Units()
 
     def units(self, text: str) -> list[str]:
         """The text's units.  A unit without its blank stands for one after a single blank
@@ -78,24 +111,67 @@ class UnitEncoder:
         return [" " + head, *rest]
 
     def _learn(self) -> None:
-        new, self.index.new = self.index.new, []
+        """The ids of units met for the first time: from the old generation, or the library."""
+        new, self.young.index.new = self.young.index.new, []
         if not new:
             return
-        texts = [u[1:] if u[0] == " " else u if u[0] == "\n" else " " + u for u in new]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(new) > len(self.count):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.ids[self.used:self.used + len(flat)] = flat
-        at = slice(self.known, self.known + len(new))
-        self.count[at] = counts
-        self.start[at] = self.used + np.cumsum(counts) - counts
-        self.used += len(flat)
-        self.known += len(new)
+        known = np.fromiter((self.old.index.get(u, -1) for u in new), np.int64, len(new)) \
+            if self.old is not self.young else np.full(len(new), -1)
+        asked = np.flatnonzero(known < 0)
+        flat, sizes = self._ask([new[k] for k in asked])
+        if len(asked) < len(new):
+            met = np.flatnonzero(known >= 0)
+            old_flat, old_sizes = self.old.ids_of(known[met])
+            counts = np.zeros(len(new), np.int64)
+            counts[asked], counts[met] = sizes, old_sizes
+            own = np.zeros(len(new), bool)
+            own[asked] = True
+            all_ids = np.zeros(int(counts.sum()), np.uint32)
+            from_library = np.repeat(own, counts)
+            all_ids[from_library], all_ids[~from_library] = flat, old_flat
+            flat, sizes = all_ids, counts
+        self.young.add(flat, sizes)
+
+    def _ask(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of units from the library.  Those that follow a single blank are
+        joined by blanks, as the pre-tokenizer never joins them; the ids' lengths in bytes
+        tell where each ends.  A text whose ids do not end there is asked unit by unit."""
+        joins = [k for k, u in enumerate(units) if not u[0].isspace()]
+        apart = [k for k, u in enumerate(units) if u[0].isspace()]
+        lots = [[units[k] for k in joins[a:a + JOINED]] for a in range(0, len(joins), JOINED)]
+        texts = [" " + " ".join(lot) for lot in lots]
+        found = self._library(texts)
+        counts: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        for lot, text, ids in zip(lots, texts, found):
+            ids = np.array(ids, np.uint32)
+            sizes = map(len, lot) if text.isascii() else (len(u.encode()) for u in lot)
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(lot)) + 1)
+            reached = np.cumsum(self.bytes[ids])
+            cut = np.searchsorted(reached, ends)
+            if len(reached) and reached[-1] == ends[-1] and (reached[cut] == ends).all():
+                counts.append(np.diff(cut + 1, prepend=0))
+                parts.append(ids)
+            else:
+                self._one_by_one([" " + u for u in lot], parts, counts)
+        self._one_by_one([units[k][1:] if units[k][0] == " " else units[k] if units[k][0] == "\n" else " " + units[k]
+                          for k in apart], parts, counts)
+        flat, sizes = np.concatenate(parts), np.concatenate(counts)
+        if not apart:
+            return flat, sizes
+        order = np.array(joins + apart, np.int64)  # the order of the ids in flat
+        back = np.argsort(order)
+        starts = (np.cumsum(sizes) - sizes)[back]
+        sizes = sizes[back]
+        return flat[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(len(flat))], sizes
+
+    def _library(self, texts: list[str]) -> Iterator[list[int]]:
+        return (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _one_by_one(self, texts: list[str], parts: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        found = list(self._library(texts))
+        counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+        parts.append(np.fromiter(chain.from_iterable(found), np.uint32))
 
     def _slices(self, texts: Iterable[str]) -> Iterator[tuple[list[str], list[int]]]:
         units: list[str] = []
@@ -111,9 +187,9 @@ class UnitEncoder:
             yield units, sizes
 
     def _numbers(self, units: list[str]) -> np.ndarray:
-        if len(self.index) > MAX_UNITS:
-            self._forget()
-        numbers = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        if len(self.young.index) > MAX_UNITS:
+            self.old, self.young = self.young, _Units()
+        numbers = np.fromiter(map(self.young.index.__getitem__, units), np.int64, len(units))
         self._learn()
         return numbers
 
@@ -132,7 +208,7 @@ class UnitEncoder:
         done = 0
         for units, sizes in self._slices(texts[i] for i in fast):
             numbers = self._numbers(units)
-            sums = np.concatenate([[0], np.cumsum(self.count[numbers])])
+            sums = np.concatenate([[0], np.cumsum(self.young.count[numbers])])
             ends = np.cumsum(sizes)
             out[fast[done:done + len(sizes)]] = sums[ends] - sums[ends - sizes]
             done += len(sizes)
@@ -146,13 +222,10 @@ class UnitEncoder:
             while run < len(texts) and texts[run] and not self._plain(texts[run]):
                 run += 1
             for units, sizes in self._slices(texts[at:run]):
-                numbers = self._numbers(units)
-                counts = self.count[numbers]
-                ends = np.cumsum(counts)
-                where = np.repeat(self.start[numbers] - ends + counts, counts)
-                where += np.arange(len(where))
-                bounds = np.concatenate([[0], ends])[np.cumsum(sizes)]
-                yield from np.split(self.ids[where], bounds[:-1])
+                numbers = self._numbers(units)  # may start a generation
+                ids, counts = self.young.ids_of(numbers)
+                bounds = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes)]
+                yield from np.split(ids, bounds[:-1])
             if run < len(texts):
                 yield np.array(self.tokenizer.encode(texts[run], add_special_tokens=False).ids, np.uint32)
             at = run + 1
