@@ -176,8 +176,14 @@ def recent_failed(results: DataFrame, limit: int = 10) -> DataFrame:
 def drill_down(results: DataFrame, records: DataFrame) -> DataFrame:
     """Failed results with the rows that failed, one row per failing row.
 
+    Rules may share method and label: where both sides tell their number (``rule_seq``), a
+    row is shown with the count of the very rule that caught it.  A store keeps the last of
+    such rules, and of these alone rows are shown.
+
     One rule may hold a large share of all failing rows, so the records are not
     shuffled by rule unless the results are too many to broadcast.
     """
-    failed = results.filter(F.col("status") == "Failed").select(*DRILL_KEY, "status", "failed_count")
-    return attach(records.select(*DRILL_KEY, "failed_row"), failed, DRILL_KEY)
+    numbered = "rule_seq" in results.columns and "rule_seq" in records.columns
+    key = [*DRILL_KEY, "rule_seq"] if numbered else DRILL_KEY
+    failed = results.filter(F.col("status") == "Failed").select(*key, "status", "failed_count")
+    return attach(records.select(*key, "failed_row"), failed, key)

@@ -14,25 +14,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.session import shared_dir
 
-#: Text in a block.  The shuffled rows are (texts / BLOCK_BYTES) * buckets: for terabytes
-#: of text take hundreds of megabytes.
+#: Text in a block, and codes that meet in a bucket, up to ``SCALE_FROM`` bytes of input.
+#: What is shuffled are lists, blocks x buckets of them.  Beyond, both grow with the square
+#: root of the input, so that a list keeps its length.
 BLOCK_BYTES = 8 << 20
-#: Codes that meet in a bucket.
 BUCKET_CODES = 1 << 21
-BLOCKS = "block long, n_words long, doc_ids array<long>, sizes array<long>, keys array<string>, payload binary"
+SCALE_FROM = 32 << 30
+#: Input of one task, at most: with more there are more tasks than shuffle partitions.
+TASK_BYTES = 256 << 20
+BLOCKS = "block long, n_words long, doc_ids array<long>, sizes array<long>, payload binary"
 _BLANKS = b" \t\n\x0b\x0c\r"
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(_BLANKS)] = False
 
-_rng = np.random.Generator(np.random.PCG64(20))  # fixed: all tasks need the same numbers
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[~_IS_WORD] = 0
-_STEP = np.uint64(int(_rng.integers(1, 1 << 61)) * 8 + 5)
+#: Words of up to so many bytes are hashed by eight bytes at a time, all words at once.
+_SHORT_WORD = 64
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @dataclass
@@ -44,14 +47,17 @@ class BlockTable:
     path: str
     buckets: int
     n_words: int
+    scale: float
 
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def rows(self, rest: bool = False) -> DataFrame:
+        """The blocks, with what was kept beside the texts only if asked for."""
+        found = self.spark.table(self.name)
+        return found if rest else found.drop("rest")
 
-    def with_facts(self, facts: DataFrame, *columns: str) -> DataFrame:
+    def with_facts(self, facts: DataFrame, *columns: str, rest: bool = False) -> DataFrame:
         """Blocks with the lists of what ``facts`` says of each (null without any)."""
         found = facts.groupBy("block").agg(*[F.collect_list(c).alias(c) for c in columns])
-        return self.rows().join(found.hint("shuffle_hash"), "block", "left")
+        return self.rows(rest).join(found.hint("shuffle_hash"), "block", "left")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -64,12 +70,24 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def _input_bytes(docs: DataFrame) -> int:
+    """Spark's estimate of the input's size, from the sizes of its files; 0 if it has none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
+
+
 def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                block_bytes: int = BLOCK_BYTES, key: Column | None = None) -> BlockTable:
-    """Write ``docs`` as blocks in ascending order of id (nulls first, ties by text).  A
-    ``key`` that tells rows apart is kept with each row."""
+                block_bytes: int | None = None, rest: Column | None = None) -> BlockTable:
+    """Write ``docs`` as blocks in ascending order of id (nulls first, ties by text).  The
+    value of ``rest`` is kept beside each text."""
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"),
+                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+                       (F.lit(0) if rest is None else rest).alias("rest"))
+    size = _input_bytes(docs)
+    scale = max(1.0, size / SCALE_FROM) ** 0.5
+    block_bytes = block_bytes or int(BLOCK_BYTES * scale)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
     name = f"blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
 
@@ -79,38 +97,47 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = TaskContext.get().partitionId() << 40
         ids: list = []
         texts: list[bytes] = []
-        keys: list = []
+        beside: list[pa.Array] = []
         held = 0
         for b in batches:
-            for i, text, k in zip(*(c.to_pylist() for c in b.columns)):
+            others, taken = b.column(2), 0
+            for k, (i, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 if held and held + len(text) > block_bytes:
-                    yield _packed(first, ids, texts, keys)
-                    first, ids, texts, keys, held = first + len(ids), [], [], [], 0
+                    beside.append(others.slice(taken, k - taken))
+                    yield _packed(first, ids, texts, beside)
+                    first, ids, texts, beside, held, taken = first + len(ids), [], [], [], 0, k
                 ids.append(i)
                 texts.append(text)
-                keys.append(k)
                 held += len(text)
+            beside.append(others.slice(taken))
         if ids:
-            yield _packed(first, ids, texts, keys)
-
-    docs.select(F.col(id_col).cast("long").alias("id"),
-                F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
-                (F.lit(None).cast("string") if key is None else key.cast("string")).alias("key")) \
-        .repartitionByRange(parts, "id").sortWithinPartitions("id", "text") \
-        .mapInArrow(pack, BLOCKS).write.option("path", path).option("compression", "none") \
-        .bucketBy(parts, "block").saveAsTable(name)
+            yield _packed(first, ids, texts, beside)
+
+    schema = T.StructType.fromDDL(BLOCKS).add("rest", T.ArrayType(docs.schema["rest"].dataType))
+    docs.repartitionByRange(parts, "id").sortWithinPartitions("id", "text") \
+        .mapInArrow(pack, schema).write.option("path", path).option("compression", "none") \
+        .bucketBy(min(parts, 100_000), "block").saveAsTable(name)
     n = spark.table(name).agg(F.sum("n_words")).first()[0] or 0
-    return BlockTable(spark, name, path, parts, n)
+    return BlockTable(spark, name, path, parts, n, scale)
 
 
-def _packed(first: int, ids: list, texts: list[bytes], keys: list) -> pa.RecordBatch:
+def _packed(first: int, ids: list, texts: list[bytes], beside: list[pa.Array]) -> pa.RecordBatch:
     data = b"\n".join(texts) + b"\n"
     n = int((np.diff(_IS_WORD[np.frombuffer(b" " + data, np.uint8)].view(np.int8)) == 1).sum())
+    rest = pa.concat_arrays(beside)
     return pa.RecordBatch.from_arrays(
         [pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-         pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.string())),
-         pa.array([zstandard.ZstdCompressor(level=1).compress(data)], pa.binary())],
-        ["block", "n_words", "doc_ids", "sizes", "keys", "payload"])
+         pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+         pa.array([zstandard.ZstdCompressor(level=1).compress(data)], pa.binary()),
+         pa.ListArray.from_arrays(pa.array([0, len(rest)], pa.int32()), rest)],
+        ["block", "n_words", "doc_ids", "sizes", "payload", "rest"])
+
+
+def texts_of(payload: bytes, sizes: list[int]) -> list[bytes]:
+    """The texts of a block's payload."""
+    data = zstandard.ZstdDecompressor().decompress(payload)
+    ends = np.cumsum(np.array(sizes, np.int64) + 1).tolist()
+    return [data[z - 1 - n:z - 1] for z, n in zip(ends, sizes)]
 
 
 class Block:
@@ -118,20 +145,23 @@ class Block:
     ``bounds[d] + i`` of the block."""
 
     def __init__(self, row: dict, fold_case: bool = False):
-        self.block, self.doc_ids, self.keys = row["block"], row["doc_ids"], row["keys"]
+        self.block, self.doc_ids = row["block"], row["doc_ids"]
         self.data = zstandard.ZstdDecompressor().decompress(row["payload"])
         sizes = np.array(row["sizes"], np.int64) + 1
         self.at = np.concatenate([[0], np.cumsum(sizes)])
-        raw = self.data.translate(_LOWER) if fold_case else self.data
-        data = np.frombuffer(raw, np.uint8)
-        word = _IS_WORD[data]
+        self.raw = self.data.translate(_LOWER) if fold_case else self.data
+        word = _IS_WORD[np.frombuffer(self.raw, np.uint8)]
         edges = np.flatnonzero(word[1:] != word[:-1]) + 1
         if word[0]:
             edges = np.concatenate([[0], edges])
-        self.starts, ends = edges[::2], edges[1::2]
-        self.words = _hash_words(data, self.starts, ends)
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.words = hash_words(self.raw, self.starts, self.ends, 1)
         self.bounds = np.searchsorted(self.starts, self.at)
 
+    def words_again(self) -> np.ndarray:
+        """Hashes of the words that have nothing in common with those of ``words``."""
+        return hash_words(self.raw, self.starts, self.ends, 2)
+
     def texts(self) -> Iterator[bytes]:
         for a, b in zip(self.at[:-1], self.at[1:]):
             yield self.data[a:b - 1]
@@ -156,23 +186,24 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of random numbers for its bytes."""
+def hash_words(raw: bytes, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """A 64-bit hash of each word.  Eight bytes at a time are mixed in, and mixing is one to
+    one, so different words of one length up to eight bytes never share a hash; others do
+    by chance only.  Long words are left to xxh3."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    powers = np.full(int(size.max()) + 1, _STEP, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers)
-    out = np.zeros(len(starts), np.uint64)
-    short = int(min(size.max(), 24))
-    for k in range(short):  # words are short: one pass for each place in a word
-        own = np.flatnonzero(size > k) if k else slice(None)
-        out[own] += _BYTE[data[starts[own] + k]] * powers[k]
-    for i in np.flatnonzero(size > short):
-        rest = data[starts[i] + short:ends[i]]
-        out[i:i + 1] += (_BYTE[rest] * powers[short:short + len(rest)]).sum(dtype=np.uint64)
-    return mix(out ^ mix(size.astype(np.uint64), 7))
+    eights = np.ndarray(len(raw), "<u8", np.frombuffer(raw + bytes(8), np.uint8), strides=(1,))
+    out = mix(size.astype(np.uint64), 100 + key)
+    own: slice | np.ndarray = slice(None)
+    for k in range(0, min(int(size.max()), _SHORT_WORD), 8):
+        if k:
+            own = np.flatnonzero((size > k) & (size <= _SHORT_WORD))
+        more = eights[starts[own] + k] & _LOW_BYTES[np.minimum(size[own] - k, 8)]
+        out[own] = mix(out[own] ^ more, key)
+    for i in np.flatnonzero(size > _SHORT_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i]:ends[i]], key)
+    return out
 
 
 def windows(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
@@ -232,10 +263,10 @@ class CodeSpace:
     bucket_bits: int
 
     @classmethod
-    def of(cls, n: int, spare_bits: int = 7) -> "CodeSpace":
+    def of(cls, n: int, scale: float = 1.0, spare_bits: int = 7) -> "CodeSpace":
         """For ``n`` codes: two of 2**spare_bits differing ones get the same code by chance."""
         bits = max(n, 2).bit_length() + spare_bits
-        return cls(bits, max(6, (n // BUCKET_CODES).bit_length()))
+        return cls(bits, max(6, int(n // (BUCKET_CODES * scale)).bit_length()))
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.bits)

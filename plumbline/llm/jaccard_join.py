@@ -35,11 +35,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plumbline.llm._blocks import (BLOCK_BYTES, Block, BlockTable, CodeSpace, block_table, pack_codes,
-                                   unpack_codes, windows)
+from plumbline.llm._blocks import (Block, BlockTable, CodeSpace, block_table, pack_codes, texts_of, unpack_codes,
+                                   windows)
 from plumbline.llm._components import components
 from plumbline.session import cut_lineage
 
@@ -48,7 +47,7 @@ WORDS, THRESHOLD = 5, 80
 #: No set above this size is light, whatever the costs.
 MOST_LIGHT = 24
 
-FACTS = "block long, row long, doc_id long, n_shingles long, digest binary, key string"
+FACTS = "block long, row long, doc_id long, n_shingles long, digest binary"
 LISTS = "bucket long, block long, width int, codes binary, counts binary"
 CLASSES = "block long, bucket long, classes binary, used long"
 POSTINGS = "key long, low int, high int, class long, n int, place int"
@@ -66,11 +65,52 @@ def partners(n: int, threshold: int) -> range:
 
 def similar_documents(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD,
                       id_col: str = "doc_id", text_col: str = "text",
-                      block_bytes: int = BLOCK_BYTES, key: Column | None = None) -> DataFrame:
+                      block_bytes: int | None = None) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``class_id`` (the smallest id with the
-    same set), ``key`` (of the row, as given) and ``first`` (whether the row comes first in
-    its component), for each row of ``docs``."""
-    blocks = block_table(docs, id_col, text_col, block_bytes, key)
+    same set) and ``first`` (whether the row comes first in its component), for each row of
+    ``docs``."""
+    blocks = block_table(docs, id_col, text_col, block_bytes)
+    try:
+        return cut_lineage(_joined(blocks, words, threshold).drop("block", "row"))
+    finally:
+        blocks.drop()
+
+
+def one_of_each(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id",
+                text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
+    """``docs`` with the first row of each component, in order of id, and nothing else.  The
+    rows come from the blocks, so texts are shuffled once."""
+    others = [c for c in docs.columns if c != text_col]
+    beside = F.struct(F.col(text_col).isNull().alias("missing"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    blocks = block_table(docs, id_col, text_col, block_bytes, beside)
+    try:
+        rows = blocks.rows(rest=True)
+        dropped = _joined(blocks, words, threshold).where(~F.col("first")).select("block", "row")
+        kept = blocks.with_facts(cut_lineage(dropped), "row", rest=True) \
+            .select("block", "sizes", "payload", "rest", "row") \
+            .mapInArrow(_kept, T.StructType([T.StructField("text", T.BinaryType()), T.StructField("rest", rows.schema["rest"].dataType.elementType)]))
+        columns = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
+        columns[text_col] = F.when(~F.col("rest.missing"), F.col("text").cast(docs.schema[text_col].dataType))
+        return cut_lineage(kept.select(*[columns[c].alias(c) for c in docs.columns]))
+    finally:
+        blocks.drop()
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block but for those of its list."""
+    for b in batches:
+        block, sizes, payload, rest, rows = b.columns
+        for i in range(b.num_rows):
+            stays = np.ones(len(sizes[i]), bool)
+            stays[np.array(rows[i].as_py() or [], np.int64) - block[i].as_py()] = False
+            texts = texts_of(payload[i].as_py(), sizes[i].as_py())
+            at = np.flatnonzero(stays)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([texts[k] for k in at], pa.binary()), rest[i].values.take(pa.array(at))], ["text", "rest"])
+
+
+def _joined(blocks: BlockTable, words: int, threshold: int) -> DataFrame:
+    """Each row of the blocks with its component."""
     facts = cut_lineage(blocks.rows().mapInArrow(_facts(words), FACTS))
     classes = cut_lineage(
         facts.where("n_shingles > 0").groupBy("digest")
@@ -79,7 +119,7 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, threshold: int = T
         .select("digest", F.col("at.row").alias("class"), F.col("at.block").alias("block"), "class_id", "n"))
     reps = classes.select("block", F.col("class").alias("rep"))
     total = classes.agg(F.sum("n")).first()[0] or 0
-    space = CodeSpace.of(total)
+    space = CodeSpace.of(total, blocks.scale)
     lists = blocks.with_facts(reps, "rep").mapInArrow(_lister(words, space), LISTS)
     counted = cut_lineage(lists.groupBy("bucket").applyInPandas(_counter, CLASSES)
                           .select("block", F.struct("bucket", "classes").alias("fact"), "used"))
@@ -92,30 +132,11 @@ def similar_documents(docs: DataFrame, *, words: int = WORDS, threshold: int = T
         .withColumn("component", F.coalesce("component", "class"))
     smallest = groups.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = groups.join(smallest, "component").select("digest", "class_id", "component_id", "component")
-    out = facts.join(named, "digest", "left").select(
-        "doc_id", "n_shingles",
+    return facts.join(named, "digest", "left").select(
+        "block", "row", "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        "key", (F.col("row") == F.coalesce("component", "row")).alias("first"))
-    out = cut_lineage(out)
-    blocks.drop()
-    return out
-
-
-def one_of_each(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """``docs`` with the first row of each component, in order of id, and nothing else."""
-    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    try:
-        keyed = docs.withColumn("_place", place)
-        keyed.schema  # analysed here: rows that are not read from files have no place
-    except AnalysisException:
-        docs = cut_lineage(docs)
-        keyed = docs.withColumn("_place", place)
-    found = similar_documents(keyed, words=words, threshold=threshold, id_col=id_col, text_col=text_col,
-                              key=F.col("_place"))
-    others = cut_lineage(found.where(~F.col("first")).select(F.col("key").alias("_place")))
-    return keyed.join(others, "_place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        (F.col("row") == F.coalesce("component", "row")).alias("first"))
 
 
 def _sets(block: Block, words: int) -> Iterator[np.ndarray]:
@@ -140,8 +161,8 @@ def _facts(words: int):
                     [pa.array([row["block"]] * len(sets), pa.int64()),
                      pa.array(row["block"] + np.arange(len(sets)), pa.int64()),
                      pa.array(block.doc_ids, pa.int64()), pa.array([n for n, _ in sets], pa.int64()),
-                     pa.array([d if n else None for n, d in sets], pa.binary()), pa.array(block.keys, pa.string())],
-                    ["block", "row", "doc_id", "n_shingles", "digest", "key"])
+                     pa.array([d if n else None for n, d in sets], pa.binary())],
+                    ["block", "row", "doc_id", "n_shingles", "digest"])
 
     return facts
 

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm._blocks import (BLOCK_BYTES, Block, BlockTable, CodeSpace, block_table, join_halves,
+from plumbline.llm._blocks import (Block, BlockTable, CodeSpace, block_table, join_halves,
                                    pack_codes, unpack_codes, windows)
 from plumbline.session import cut_lineage
 
@@ -35,7 +35,7 @@ FLAGS = "block long, level int, bucket long, flags binary"
 
 
 def mark_repeats(docs: DataFrame, *, window: int = 20, levels: int = 2, id_col: str = "doc_id",
-                 text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+                 text_col: str = "text", block_bytes: int | None = None,
                  texts: bool = False) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` of each document, or with
     ``texts`` the kept words themselves as ``kept``.
@@ -44,19 +44,20 @@ def mark_repeats(docs: DataFrame, *, window: int = 20, levels: int = 2, id_col:
     """
     if window % 2 ** (levels - 1):
         raise ValueError(f"{window} words cannot be halved {levels - 1} times")
-    blocks = block_table(docs, id_col, text_col, block_bytes)
-    space = CodeSpace.of(blocks.n_words)
-    lengths = [window >> k for k in range(levels - 1, -1, -1)]
-    flags = None
-    for level in range(levels):
-        lists = _with(blocks, flags).mapInArrow(_lister(lengths, level, space), LISTS)
-        found = lists.groupBy("bucket").applyInPandas(_matcher(level, level == levels - 1), FLAGS)
-        found = cut_lineage(found.select("block", F.struct("level", "bucket", "flags").alias("fact")))
-        flags = found if flags is None else flags.unionByName(found)
     schema = "doc_id long, n_words long, n_removed long, " + ("kept string" if texts else "kept_sha256 string")
-    out = cut_lineage(_with(blocks, flags).mapInArrow(_remover(lengths, space, texts), schema))
-    blocks.drop()
-    return out
+    blocks = block_table(docs, id_col, text_col, block_bytes)
+    try:
+        space = CodeSpace.of(blocks.n_words, blocks.scale)
+        lengths = [window >> k for k in range(levels - 1, -1, -1)]
+        flags = None
+        for level in range(levels):
+            lists = _with(blocks, flags).mapInArrow(_lister(lengths, level, space), LISTS)
+            found = lists.groupBy("bucket").applyInPandas(_matcher(level, level == levels - 1), FLAGS)
+            found = cut_lineage(found.select("block", F.struct("level", "bucket", "flags").alias("fact")))
+            flags = found if flags is None else flags.unionByName(found)
+        return cut_lineage(_with(blocks, flags).mapInArrow(_remover(lengths, space, texts), schema))
+    finally:
+        blocks.drop()
 
 
 def _with(blocks: BlockTable, flags: DataFrame | None) -> DataFrame:
@@ -91,7 +92,7 @@ class _Levels:
             at = at[self.room[at] >= 2 * half] if len(at) else at
             hashes = join_halves(places[at], places[at + half], 1)
         if last == len(self.lengths) - 1:
-            whole = windows(self.block.words, self.lengths[last], 2)
+            whole = windows(self.block.words_again(), self.lengths[last], 2)
             second = whole[at].astype(np.uint32)
         return at, hashes, second
 

@@ -25,6 +25,10 @@ RECORD_SCHEMA = (
     "run_id string, schema_name string, table_name string, rule_seq long, dqmethod string, "
     "col string, failed_row string"
 )
+ROWS_SCHEMA = (
+    "run_id string, schema_name string, table_name string, "
+    "rules array<struct<rule_seq: long, dqmethod: string, col: string>>, failed_row string"
+)
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from plumbline.functions.json import row_json
 from plumbline.operators import Check, Custom, KeyedCheck, RowCheck, SchemaValidation, TableCheck, build_check
-from plumbline.plans.rule import RECORD_SCHEMA, RESULT_SCHEMA, Rule, Run, TableSource, resolve_tables
+from plumbline.plans.rule import RECORD_SCHEMA, RESULT_SCHEMA, ROWS_SCHEMA, Rule, Run, TableSource, resolve_tables
 
 logger = logging.getLogger(__name__)
 
@@ -143,23 +143,42 @@ class TableRun:
     # -- failing rows ----------------------------------------------------------
 
     def failed_records(self) -> DataFrame:
-        """Every failing row once per rule that caught it, as JSON, tagged with the rule.
+        """Every failing row once per rule that caught it, as JSON, tagged with the rule."""
+        frames = [rows.select("failed_row", F.explode("rules").alias("hit")).filter(F.col("hit").isNotNull())
+                  for rows in self._failing()]
+        if not frames:
+            return self.df.sparkSession.createDataFrame([], RECORD_SCHEMA)
+        return union(frames).select(*self._names(), "hit.*", "failed_row")
+
+    def failed_rows(self) -> DataFrame:
+        """Every failing row as JSON with the list of the row checks that caught it (``rules``:
+        ``rule_seq``, ``dqmethod``, ``col``).  Keyed checks find their rows one by one, so a row
+        that they caught too occurs once more for each key."""
+        frames = list(self._failing())
+        if not frames:
+            return self.df.sparkSession.createDataFrame([], ROWS_SCHEMA)
+        return union(frames).select(*self._names(), F.array_compact("rules").alias("rules"), "failed_row")
+
+    def _names(self) -> list[Column]:
+        return [F.lit(self.run.run_id).alias("run_id"), F.lit(self.schema_name).alias("schema_name"),
+                F.lit(self.table_name).alias("table_name")]
+
+    def _failing(self) -> Iterable[DataFrame]:
+        """Failing rows as JSON with their rules, null for those that did not catch them.
 
         One pass serves all row checks.  Keyed checks first find their failing keys,
         which runs a job each; see ``operators.joins``.
         """
         rows = [c for c in self.compiled if isinstance(c.check, RowCheck) and not c.runs_python()]
-        frames = []
         for part in _passes(rows, self.df):
             fails = [c.check.fails(self.df.schema) for c in part]
             # Written with plain operators, not array functions with a lambda, so that
             # filter, JSON and explode compile into one stage.
             hits = F.array(*[F.when(failed, _tag(c)) for failed, c in zip(fails, part)])
-            frames.append(
+            yield (
                 self.df.filter(reduce(lambda a, b: a | b, fails))
                 .withColumn("__json", row_json(self.df.columns))  # once per row, not per hit
-                .select(F.col("__json").alias("failed_row"), F.explode(hits).alias("hit"))
-                .filter(F.col("hit").isNotNull())
+                .select(F.col("__json").alias("failed_row"), hits.alias("rules"))
             )
         others = [c for c in self.compiled if c not in rows]
         for same in _grouped(others):
@@ -167,17 +186,8 @@ class TableRun:
             known = [self._facts_of(check)] if isinstance(check, KeyedCheck) else []
             failing = check.failing(self.df, *known)
             if failing is not None:
-                tags = F.explode(F.array(*[_tag(c) for c in same])).alias("hit")
-                frames.append(failing.select(row_json(self.df.columns).alias("failed_row"), tags))
-        if not frames:
-            return self.df.sparkSession.createDataFrame([], RECORD_SCHEMA)
-        return union(frames).select(
-            F.lit(self.run.run_id).alias("run_id"),
-            F.lit(self.schema_name).alias("schema_name"),
-            F.lit(self.table_name).alias("table_name"),
-            "hit.*",
-            "failed_row",
-        )
+                yield failing.select(row_json(self.df.columns).alias("failed_row"),
+                                     F.array(*[_tag(c) for c in same]).alias("rules"))
 
     # -- running ---------------------------------------------------------------
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
+from plumbline.errors import RuleConfigError
 from plumbline.functions.keys import TIMESTAMPS, quoted
-from plumbline.sources.failed_log import flattened, meta_names, select_records
+from plumbline.plans.pipeline import Outcome
+from plumbline.sources.failed_log import FOLDERS, MANIFEST_SCHEMA, flattened, meta_names, select_records
 
 
 def _evened_out(rows: DataFrame) -> DataFrame:
@@ -17,39 +19,95 @@ def _evened_out(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance")
 
 
+def _tagged(records: DataFrame) -> DataFrame:
+    """Records, or failing rows with their rules, in the form they are stored in."""
+    if "rules" not in records.columns:
+        records = records.withColumn("rules", F.array(F.struct("rule_seq", "dqmethod", "col")))
+    return records.select(*FOLDERS, "rules", "failed_row")
+
+
 def write_log(records: DataFrame, path: str) -> None:
-    """Write failing rows as JSON lines, a folder per run and table.
+    """Write failing rows as JSON lines, a folder per run, schema and table.
 
     Only the folders present in ``records`` are replaced, so a retry is harmless.
     """
     (
-        _evened_out(records).write.mode("overwrite")
+        _evened_out(_tagged(records)).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id", "table_name")
+        .partitionBy(*FOLDERS)
         .json(path)
     )
 
 
-def promote(records: DataFrame, table: str, row_schema: T.StructType, path: str, run_id: str = "") -> str:
-    """Store one table's failing rows, flattened, as ``<table>_failed_rows``.
+def log_outcome(outcome: Outcome, path: str) -> DataFrame:
+    """Write all failing rows of a run, and what was written to the log's manifest.
 
-    Promoting a run a second time replaces it.  Returns where the rows are.
+    A row is stored once for all row checks that caught it.  Each table's folder is
+    replaced, also by no rows at all.  Rows are counted while they are written.  The manifest
+    is returned: one row per table.
     """
-    target = f"{path}/{table}_failed_rows"
-    rows = flattened(_evened_out(select_records(records, run_id=run_id, table=table)), row_schema)
+    spark, run = outcome.results.sparkSession, outcome.run.run_id
+    found = []
+    for table in outcome.tables:
+        counts = Observation()
+        rows = table.failed_rows().select("rules", "failed_row").observe(
+            counts, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("rules")), F.lit(0)).alias("records"))
+        place = "/".join(f"{k}={_escaped(v)}" for k, v in zip(FOLDERS, (run, table.schema_name, table.table_name)))
+        _evened_out(rows).write.mode("overwrite").json(f"{path}/{place}")
+        found.append((run, table.schema_name, table.table_name, counts.get["rows"], counts.get["records"]))
+    manifest = spark.createDataFrame(found, MANIFEST_SCHEMA)
+    manifest.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("run_id").parquet(f"{path}/_manifest")
+    return manifest
+
+
+def _escaped(name: str) -> str:
+    """A partition's value as Spark writes it into a folder's name."""
+    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in _UNSAFE else c for c in name)
+
+
+#: Signs that Spark writes as their code in names of folders.
+_UNSAFE = set("\"#%'*/:=?\\\x7f{[]^")
+
+
+def promote(records: DataFrame, table: str, row_schema: T.StructType, path: str, run_id: str = "",
+            schema_name: str = "") -> str:
+    """Store one table's failing rows, flattened, as ``<table>_failed_rows``, or with a schema
+    as ``<schema>.<table>_failed_rows``.
+
+    Promoting a run a second time replaces it, also by no rows.  Tables of one name in
+    several schemas are refused unless the schema is named.  Returns where the rows are.
+    """
+    mine = select_records(records, run_id=run_id, table=table, schema=schema_name)
+    if not schema_name:
+        schemas = [r[0] for r in mine.select("schema_name").distinct().limit(2).collect()]
+        if len(schemas) > 1:
+            raise RuleConfigError(f"'{table}' is in several schemas; name one of them")
+    target = f"{path}/{schema_name + '.' if schema_name else ''}{table}_failed_rows"
+    rows = flattened(_evened_out(mine), row_schema)
+    run = meta_names(row_schema)["run_id"]
+    if run_id:
+        _delete(records.sparkSession, f"{target}/{run}={_escaped(run_id)}")
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(meta_names(row_schema)["run_id"])
+        .partitionBy(run)
         .parquet(target)
     )
     return target
 
 
-def promote_to_table(records: DataFrame, table: str, row_schema: T.StructType, schema: str = "default") -> str:
-    """As ``promote``, into a table of the catalog.  A run's rows replace those it had there."""
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def promote_to_table(records: DataFrame, table: str, row_schema: T.StructType, schema: str = "default",
+                     schema_name: str = "") -> str:
+    """As ``promote``, into a table of the catalog.  A run's rows replace those it had there.
+    ``schema_name`` is that of the checked table, ``schema`` that of the new one."""
     target = f"`{schema}`.`{table}_failed_rows`"
-    rows = flattened(_evened_out(select_records(records, table=table)), row_schema)
+    rows = flattened(_evened_out(select_records(records, table=table, schema=schema_name)), row_schema)
     run = meta_names(row_schema)["run_id"]
     if not records.sparkSession.catalog.tableExists(target):
         rows.write.partitionBy(run).saveAsTable(target)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 PRIMARY_KEY = ["run_id", "schema_name", "table_name", "dqmethod", "col"]
 STORED_SCHEMA = (
     "run_id string, schema_name string, table_name string, dqmethod string, col string, "
-    "status string, run_timestamp timestamp_ntz, failed_count long"
+    "status string, run_timestamp timestamp_ntz, failed_count long, rule_seq long"
 )
-# Columns of the stored results table, in order.
-STORED = [*PRIMARY_KEY, "status", "run_timestamp", "failed_count"]
+# Columns of the stored results table, in order; the rule's number follows, so
+# that failing rows find the result of their own rule.
+STORED = [*PRIMARY_KEY, "status", "run_timestamp", "failed_count", "rule_seq"]
 
 
 def keep_last(results: DataFrame) -> DataFrame:
@@ -55,6 +56,6 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def save_results_jdbc(results: DataFrame, url: str, table: str, properties: Mapping[str, str]) -> None:
     """Append a run's results to a database table."""
-    stored_form(keep_last(results)).write.mode("append").option("batchsize", "10000").jdbc(
+    stored_form(keep_last(results)).drop("rule_seq").write.mode("append").option("batchsize", "10000").jdbc(
         url, table, properties=dict(properties)
     )

@@ -10,16 +10,38 @@ from plumbline.plans.rule import RECORD_SCHEMA
 META = ("run_id", "dqmethod", "col")
 
 
+#: What a log holds: a failing row once, with all rules that caught it together.  Older logs
+#: have a line for each rule.
+TAG = "struct<rule_seq: long, dqmethod: string, col: string>"
+STORED_SCHEMA = RECORD_SCHEMA + f", rules array<{TAG}>"
+FOLDERS = ("run_id", "schema_name", "table_name")
+MANIFEST_SCHEMA = "run_id string, schema_name string, table_name string, failed_rows long, failed_count long"
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The log as written: ``run_id``, ``schema_name``, ``table_name``, ``rules``, ``failed_row``."""
+    alone = F.array(F.struct("rule_seq", "dqmethod", "col"))
+    return spark.read.schema(STORED_SCHEMA).json(path) \
+        .select(*FOLDERS, F.coalesce("rules", alone).alias("rules"), "failed_row")
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log as records.  Filters on run and table skip other folders."""
-    return spark.read.schema(RECORD_SCHEMA).json(path)
+    """The log as records, one for each row and rule.  Filters on run, schema and table skip
+    other folders."""
+    return read_rows(spark, path).select(*FOLDERS, F.inline("rules"), "failed_row")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Runs in the log with the failing rows of each table and the records they stand for, as
+    counted when they were written: no row is read."""
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/_manifest")
 
 
 def select_records(
-    records: DataFrame, run_id: str = "", table: str = "", method: str = "", col: str = ""
+    records: DataFrame, run_id: str = "", table: str = "", method: str = "", col: str = "", schema: str = ""
 ) -> DataFrame:
-    """Records of one run, table, method and/or column; an empty text means any."""
-    wanted = {"run_id": run_id, "table_name": table, "dqmethod": method, "col": col}
+    """Records of one run, table, method, column and/or schema; an empty text means any."""
+    wanted = {"run_id": run_id, "table_name": table, "dqmethod": method, "col": col, "schema_name": schema}
     for name, value in wanted.items():
         if value:
             records = records.filter(F.col(name) == value)

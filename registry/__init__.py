@@ -11,7 +11,7 @@ from importlib import import_module
 from registry.base import ORACLES, QUERIES
 
 for _module in ("row_checks", "table_checks", "keyed_checks", "texts", "rulesets", "failures",
-                "rulebook", "history", "generated", "streams", "lossless"):
+                "rulebook", "history", "generated", "streams", "lossless", "schemas"):
     import_module(f"registry.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

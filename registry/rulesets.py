@@ -131,7 +131,7 @@ def ruleset_multi_table(spark, sf):
 )
 def results_dedup_last(spark, sf):
     outcome = run_all(spark, every_rule(), source(spark, sf), Run.start(RUN_ID))
-    return stored_form(keep_last(outcome.results)).drop("run_timestamp")
+    return stored_form(keep_last(outcome.results)).drop("run_timestamp", "rule_seq")
 
 
 YAML = """
