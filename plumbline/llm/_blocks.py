@@ -18,6 +18,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from plumbline.llm._memory import tidy
 from plumbline.session import shared_dir
 
 #: Text in a block, and codes that meet in a bucket, up to ``SCALE_FROM`` bytes of input.
@@ -115,16 +116,16 @@ def block_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = T.StructType.fromDDL(BLOCKS).add("rest", T.ArrayType(docs.schema["rest"].dataType))
     docs.repartitionByRange(parts, "id").sortWithinPartitions("id", "text") \
-        .mapInArrow(pack, schema).write.option("path", path).option("compression", "none") \
+        .mapInArrow(tidy(pack), schema).write.option("path", path).option("compression", "none") \
         .bucketBy(min(parts, 100_000), "block").saveAsTable(name)
     n = spark.table(name).agg(F.sum("n_words")).first()[0] or 0
     return BlockTable(spark, name, path, parts, n, scale)
 
 
-def _packed(first: int, ids: list, texts: list[bytes], beside: list[pa.Array]) -> pa.RecordBatch:
+def _packed(first: int, ids: list, texts: list[bytes], beside: list[pa.Array | None]) -> pa.RecordBatch:
     data = b"\n".join(texts) + b"\n"
     n = int((np.diff(_IS_WORD[np.frombuffer(b" " + data, np.uint8)].view(np.int8)) == 1).sum())
-    rest = pa.concat_arrays(beside)
+    rest = pa.concat_arrays([a for a in beside if a is not None] or [pa.nulls(len(ids))])
     return pa.RecordBatch.from_arrays(
         [pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
          pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),

@@ -35,6 +35,8 @@ from plumbline.session import cut_lineage
 
 #: Vectors the trees are grown on, trees, and vectors a leaf should hold.
 SAMPLE, TREES, LEAF = 20_000, 8, 1024
+#: Leaves that a tree of a small table should have, and vectors each then holds at least.
+LEAVES, LEAST = 64, 8
 #: Vectors and queries that meet in one group.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 8192
 #: Queries that the budget is measured with, and the recall wanted on them.
@@ -144,7 +146,8 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "
     rows = rows.where(F.size("v") == size)
     n = rows.count()
     rng = np.random.default_rng(seed)
-    trees = [grow(points, max(1, n // LEAF), rng) for _ in range(TREES)]
+    leaves = n // max(LEAST, min(LEAF, n // LEAVES))
+    trees = [grow(points, max(1, leaves), rng) for _ in range(TREES)]
     forest = spark.sparkContext.broadcast(trees)  # of a bounded sample
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.llm._memory import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
@@ -38,6 +40,8 @@ MAX_WORDS = 600_000
 #: Characters of text whose new words are merged together.
 SLICE_CHARS = 6 << 20
 SLICE_ROWS = 2048
+#: The same for a task that writes ids, a stage among others whose memory Spark still holds.
+SMALL_WORDS, SMALL_CHARS, SMALL_ROWS = 60_000, 1 << 20, 512
 #: Python's blanks that are none for the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -153,10 +157,12 @@ _MARKS = ("", ".", ",", ";", ":", "!", "?", ")")
 
 
 class TextEncoder:
-    """Ids of texts; each distinct run of non-blank characters is encoded once."""
+    """Ids of texts, and unless ``decoded`` is false what they decode to; each distinct run of
+    non-blank characters is encoded once."""
 
-    def __init__(self, path: str):
-        self.pairs = PairIndexEncoder(path)
+    def __init__(self, path: str, decoded: bool = True):
+        self.pairs, self.decoded = PairIndexEncoder(path), decoded
+        self.most, self.chars, self.rows = (MAX_WORDS, SLICE_CHARS, SLICE_ROWS) if decoded else (SMALL_WORDS, SMALL_CHARS, SMALL_ROWS)
         self.known: dict[str, tuple[str, str, int]] = {}
 
     def pieces(self, run: str) -> list[str]:
@@ -178,11 +184,11 @@ class TextEncoder:
         tokens = self.pairs.tokens
         for word, ids in zip(words, self.pairs.merge(words)):
             ids = ids.tolist()
-            told[word] = (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids]), len(ids))
+            told[word] = (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids]) if self.decoded else "", len(ids))
         for run, ps in zip(runs, pieces):
             found = [told[p] for p in ps]
             self.known[run] = found[0] if len(found) == 1 else (
-                " ".join(f[0] for f in found), " ".join(f[1] for f in found), sum(f[2] for f in found))
+                " ".join(f[0] for f in found), " ".join(f[1] for f in found) if self.decoded else "", sum(f[2] for f in found))
 
     def runs(self, text: str) -> list[str]:
         """What the text's ids are put together from; special tokens are runs too."""
@@ -195,12 +201,12 @@ class TextEncoder:
         """Id text, decoded text and number of ids of each text."""
         at = 0
         while at < len(texts):
-            if len(self.known) > MAX_WORDS:
+            if len(self.known) > self.most:
                 self.known.clear()
             for special, i in self.pairs.special.items():
                 self.known[special] = (str(i), special, 1)
             runs, size = [], 0
-            while at + len(runs) < len(texts) and size < SLICE_CHARS:
+            while at + len(runs) < len(texts) and size < self.chars:
                 text = texts[at + len(runs)]
                 size += len(text)
                 runs.append(self.runs(text))
@@ -210,7 +216,8 @@ class TextEncoder:
             known = self.known
             for rs in runs:
                 found = [known[r] for r in rs]
-                yield (" ".join([f[0] for f in found if f[2]]), " ".join([f[1] for f in found if f[2]]),
+                yield (" ".join([f[0] for f in found if f[2]]),
+                       " ".join([f[1] for f in found if f[2]]) if self.decoded else "",
                        sum([f[2] for f in found]))
             at += len(runs)
 
@@ -222,15 +229,18 @@ def _split(text: str) -> list[str]:
     return [r for r in _BLANKS.split(text) if r]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], encoder: TextEncoder) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that neither texts nor results of a large one are held at once.
 
     Words are forgotten at a task's end: Spark keeps Python workers for other tasks, which
     need the memory.
     """
-    for b in batches:
-        yield from (b.slice(at, SLICE_ROWS) for at in range(0, b.num_rows, SLICE_ROWS))
-    text_encoder(path).known = {}
+    try:
+        for b in batches:
+            yield from (b.slice(at, encoder.rows) for at in range(0, b.num_rows, encoder.rows))
+    finally:
+        encoder.known = {}
+        give_back()
 
 
 @lru_cache(maxsize=2)
@@ -243,8 +253,9 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     """``doc_id``, ``n_tokens`` and ``ids`` of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, path):
-            ids = [np.fromstring(i, np.int32, sep=" ") for i, _, _ in text_encoder(path).encode(b.column(1).to_pylist())]
+        own = TextEncoder(path, decoded=False)  # a task's own: other stages need the memory after it
+        for b in _slices(batches, own):
+            ids = [np.fromstring(i, np.int32, sep=" ") for i, _, _ in own.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))],
                 ["doc_id", "n_tokens", "ids"])
@@ -269,9 +280,10 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, path):
+        own = text_encoder(path)
+        for b in _slices(batches, own):
             made = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-                    for ids, text, n in text_encoder(path).encode(b.column(1).to_pylist())]
+                    for ids, text, n in own.encode(b.column(1).to_pylist())]
             columns = list(zip(*made)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()),

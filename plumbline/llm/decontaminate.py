@@ -39,7 +39,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import PandasUDFType
+from pyspark.sql.functions import ArrowUDFType
+
+from plumbline.llm._memory import give_back, tidy
 
 PASSAGE, LEAST_WORDS = 32, 5
 #: Rank of the latent space, which is the most passages of a block, and the columns it is
@@ -295,20 +297,19 @@ def _frequencies(docs: DataFrame, text_col: str, terms: dict[str, int]) -> tuple
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms(shared.value)
         total, n = np.zeros(len(shared.value), np.int64), 0
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                raw = text.split()
-                own = np.bincount(np.fromiter(map(known.__getitem__, raw), np.int64, len(raw)) + 2,
-                                  minlength=len(total) + 2)[2:]
-                total += own > 0
-                n += 1
+        for text in (t.as_py() for b in batches for t in b.column(0)):  # one at a time: batches are large
+            raw = text.split()
+            own = np.bincount(np.fromiter(map(known.__getitem__, raw), np.int64, len(raw)) + 2,
+                              minlength=len(total) + 2)[2:]
+            total += own > 0
+            n += 1
             if len(known) > MAX_WORDS:
                 known.clear()
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(total[found], n))],
                                          ["term", "n"])
 
-    rows = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(count, "term long, n long") \
+    rows = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(tidy(count), "term long, n long") \
         .groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(terms), np.int64)
     inside = rows[rows["term"] >= 0]
@@ -404,7 +405,8 @@ def latent_space(spark, rows: list[list[int]], weights: np.ndarray) -> np.ndarra
     """
     terms, rank = len(weights), min(RANK, len(rows), len(weights))
     columns = min(rank + SPARE, terms)
-    matrix = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "row long, terms array<int>")
+    matrix = spark.createDataFrame(pa.table({"row": pa.array(range(len(rows)), pa.int64()),
+                                             "terms": pa.array(rows, pa.list_(pa.int32()))}))
 
     def times(block: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(weights[:, None] * block)
@@ -446,13 +448,22 @@ def leaks_of(model: Model | ShortModel, text: Column) -> Column:
 
     shared = SparkSession.getActiveSession().sparkContext.broadcast(model)  # bounded by RANK or SHORT_ITEMS
 
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finder = shared.value.finder()
-        for texts in batches:
-            found = [f for a in range(0, len(texts), TEXTS) for f in finder.find(texts.iloc[a:a + TEXTS].tolist())]
-            yield pd.Series([[{"item_id": i, "share": s} for i, s in own] for own in found], dtype=object)
+    found_type = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())]))
 
-    kind = F.pandas_udf(find, "array<struct<item_id:long,share:double>>", PandasUDFType.SCALAR_ITER)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        finder = shared.value.finder()
+        try:
+            for texts in batches:  # large: their texts are taken out some at a time
+                parts = []
+                for a in range(0, len(texts), TEXTS):
+                    found = finder.find(texts.slice(a, TEXTS).to_pylist())
+                    parts.append(pa.array([[{"item_id": i, "share": s} for i, s in own] for own in found], found_type))
+                yield pa.concat_arrays(parts) if parts else pa.array([], found_type)
+        finally:
+            del finder
+            give_back()
+
+    kind = F.arrow_udf(find, "array<struct<item_id:long,share:double>>", ArrowUDFType.SCALAR_ITER)
     return kind(text)
 
 

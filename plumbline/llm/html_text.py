@@ -52,11 +52,14 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "
            "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _AGAINST_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "search"}
 _FOR_TAGS = {"article", "main"}
-_AGAINST = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|"
+_AGAINST_WORDS = (
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|newsletter|"
     r"subscribe|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widgets?|related|recommended|"
     r"share|sharing|social|footer|masthead|topbar|header|comments?|comment\w*|repl(?:y|ies)|disqus|login|signup|"
-    r"search|pagination|pager|complementary|contentinfo|skip)(?:$|[\s_-])", re.I)
+    r"search|pagination|pager|complementary|contentinfo|skip")
+_AGAINST = re.compile(rf"(?:^|[\s_-])(?:{_AGAINST_WORDS})(?:$|[\s_-])", re.I)
+#: Within an article only a whole name of a class counts; part of one leaves it to the text.
+_AGAINST_WHOLE = re.compile(rf"(?:^|\s)(?:{_AGAINST_WORDS})(?:$|\s)", re.I)
 _FOR = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body)(?:$|[\s_-])", re.I)
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -157,8 +160,10 @@ class _Parser:
         if attributes and tag in _BLOCK and tag not in ("body", "html"):
             for _, value in _ATTRIBUTE.findall(attributes):
                 value = value.strip("\"'")
-                if _AGAINST.search(value):
+                if (_AGAINST_WHOLE if above.sign > 0 else _AGAINST).search(value):
                     return -1
+                if above.sign > 0 and _AGAINST.search(value):
+                    return 0
                 if _FOR.search(value):
                     return 1
         return above.sign
@@ -231,9 +236,12 @@ def fit(x: np.ndarray, y: np.ndarray, spread: float = 0.5, steps: int = 30) -> n
 
 
 def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
-    """Weights from at most SAMPLE_PAGES pages, picked by hash of id."""
+    """Weights from at most SAMPLE_PAGES pages, picked by hash of id: hashes alone are put in
+    order, and pages are read up to the last of them."""
     rows = pages.where(F.col(html_col).isNotNull()) \
-        .select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(html_col, 1, SAMPLE_CHARS).alias("x")) \
+        .select(F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h"), F.col(f"`{html_col}`").alias("x"))
+    last = rows.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= last).select("h", F.substring("x", 1, SAMPLE_CHARS).alias("x")) \
         .orderBy("h", "x").limit(SAMPLE_PAGES).select("x")
     x, y = [np.zeros((0, len(FEATURES)))], [np.zeros(0)]
     for row in rows.toLocalIterator():

@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from plumbline.llm._blocks import (Block, BlockTable, CodeSpace, block_table, pack_codes, texts_of, unpack_codes,
                                    windows)
 from plumbline.llm._components import components
+from plumbline.llm._memory import tidy
 from plumbline.session import cut_lineage
 
 #: Words in a shingle, and the similarity in hundredths.
@@ -88,7 +89,7 @@ def one_of_each(docs: DataFrame, *, words: int = WORDS, threshold: int = THRESHO
         dropped = _joined(blocks, words, threshold).where(~F.col("first")).select("block", "row")
         kept = blocks.with_facts(cut_lineage(dropped), "row", rest=True) \
             .select("block", "sizes", "payload", "rest", "row") \
-            .mapInArrow(_kept, T.StructType([T.StructField("text", T.BinaryType()), T.StructField("rest", rows.schema["rest"].dataType.elementType)]))
+            .mapInArrow(tidy(_kept), T.StructType([T.StructField("text", T.BinaryType()), T.StructField("rest", rows.schema["rest"].dataType.elementType)]))
         columns = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
         columns[text_col] = F.when(~F.col("rest.missing"), F.col("text").cast(docs.schema[text_col].dataType))
         return cut_lineage(kept.select(*[columns[c].alias(c) for c in docs.columns]))
@@ -111,7 +112,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(blocks: BlockTable, words: int, threshold: int) -> DataFrame:
     """Each row of the blocks with its component."""
-    facts = cut_lineage(blocks.rows().mapInArrow(_facts(words), FACTS))
+    facts = cut_lineage(blocks.rows().mapInArrow(tidy(_facts(words)), FACTS))
     classes = cut_lineage(
         facts.where("n_shingles > 0").groupBy("digest")
         .agg(F.min(F.struct("row", "block")).alias("at"), F.min("doc_id").alias("class_id"),
@@ -120,7 +121,7 @@ def _joined(blocks: BlockTable, words: int, threshold: int) -> DataFrame:
     reps = classes.select("block", F.col("class").alias("rep"))
     total = classes.agg(F.sum("n")).first()[0] or 0
     space = CodeSpace.of(total, blocks.scale)
-    lists = blocks.with_facts(reps, "rep").mapInArrow(_lister(words, space), LISTS)
+    lists = blocks.with_facts(reps, "rep").mapInArrow(tidy(_lister(words, space)), LISTS)
     counted = cut_lineage(lists.groupBy("bucket").applyInPandas(_counter, CLASSES)
                           .select("block", F.struct("bucket", "classes").alias("fact"), "used"))
     light = _boundary(classes, counted, threshold)
@@ -253,7 +254,7 @@ def _boundary(classes: DataFrame, counted: DataFrame, threshold: int) -> int:
 def _postings(blocks: BlockTable, reps: DataFrame, counted: DataFrame, poster) -> DataFrame:
     both = reps.withColumn("fact", F.lit(None).cast("struct<bucket:bigint,classes:binary>")) \
         .unionByName(counted.select("block", F.lit(None).cast("long").alias("rep"), "fact"))
-    rows = cut_lineage(blocks.with_facts(both, "rep", "fact").mapInArrow(poster, POSTINGS))
+    rows = cut_lineage(blocks.with_facts(both, "rep", "fact").mapInArrow(tidy(poster), POSTINGS))
     # A key that one class alone has joins nothing.
     keys = rows.groupBy("key", "low", "high").agg(F.min("class").alias("one"), F.max("class").alias("other")) \
         .where("one != other").select("key", "low", "high")
@@ -327,7 +328,7 @@ def _heavy_links(blocks: BlockTable, reps: DataFrame, postings: DataFrame, words
                  threshold: int, light: int) -> DataFrame:
     needed = postings.select(F.col("class").alias("rep")).distinct()
     sets = cut_lineage(blocks.with_facts(reps.join(needed, "rep", "left_semi"), "rep")
-                       .mapInArrow(_set_rows(words), "class long, shingles binary"))
+                       .mapInArrow(tidy(_set_rows(words)), "class long, shingles binary"))
     lists = cut_lineage(postings.select("key", "class", "n", "place"))
     one = lists.groupBy("key").agg(F.min(F.struct("class", "n", "place")).alias("p")) \
         .select("key", F.col("p.class").alias("a"), F.col("p.n").alias("na"), F.col("p.place").alias("pa"))
@@ -390,4 +391,4 @@ def _check(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     return pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a") \
         .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b") \
-        .select("a", "b", "x", "y").mapInArrow(check, "a long, b long, linked boolean")
+        .select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long, linked boolean")

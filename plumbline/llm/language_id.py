@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.window import Window
 
 #: The bounded sample: documents of each language, and characters of each from a place
@@ -93,16 +94,15 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "
     """``docs`` with ``lang_pred``, ``score`` and ``rejected`` (narrow margin or ``und``)."""
     made = "lang_pred string, score double, rejected boolean"
 
-    @F.pandas_udf(made)
     def classify(texts):
-        import pandas as pd
-
         own = _classifier(dictionaries)
-        rows = [own.predict(t) for t in texts]
-        return pd.DataFrame({
-            "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows],
-            "rejected": [r[0] == UNDETERMINED or r[2] < margin for r in rows]})
+        rows = [own.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()),
+             pa.array([r[0] == UNDETERMINED or r[2] < margin for r in rows], pa.bool_())],
+            ["lang_pred", "score", "rejected"])
 
+    classify = F.arrow_udf(classify, made, ArrowUDFType.SCALAR)
     # Marked so that a filter on its result does not make Spark evaluate it twice.
     once = classify.asNondeterministic()
     return docs.withColumn("_language", once(F.col(text_col))).select(

@@ -116,6 +116,46 @@ def test_chains_and_stars_of_near_copies(documents):
     assert {r.component_id for r in got} == {0, 100}
 
 
+def thue_morse(n, flip=0):
+    """Words on which polynomials modulo a power of two agree, whatever their base."""
+    return "".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [8, 64, 1024, 4096])
+def test_words_of_one_length_keep_apart(documents, size):
+    one, other = thue_morse(size), thue_morse(size, 1)
+    raw = f"{one} {other}".encode()
+    for key in (1, 2):
+        a, b = _blocks.hash_words(raw, np.array([0, size + 1]), np.array([size, 2 * size + 1]), key)
+        assert a != b
+    assert {r.component_id for r in jaccard_join.similar_documents(documents([(1, one), (2, other)])).collect()} == {1, 2}
+    head = " ".join(f"w{i}" for i in range(19))
+    got = substring_dedup.mark_repeats(documents([(1, f"{head} {one}"), (2, f"{head} {other}")])).collect()
+    assert {r.n_removed for r in got} == {0}
+
+
+def test_hashes_of_words_are_their_own(documents):
+    make = random.Random(3)
+    words = list({bytes(make.choices(range(33, 256), k=make.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(3000)})
+    raw = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    for key in (1, 2):
+        found = _blocks.hash_words(raw, starts, ends, key)
+        assert len(set(found.tolist())) == len(words)
+        again = _blocks.hash_words(raw[starts[9]:], np.array([0]), np.array([ends[9] - starts[9]]), key)
+        assert again[0] == found[9]
+
+
+def test_rows_keep_their_other_columns(spark):
+    rows = [(1, "a b c d e f", None, [1, None], {"k": 1.5}), (2, "A b c d e f", "x", None, None), (3, None, "y", [], {}),
+            (4, "", None, [2], None), (5, "é \x00 z", "q", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, missing string, rest array<int>, c0 map<string,double>")
+    kept = jaccard_join.one_of_each(docs, block_bytes=8)
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[0]) == [rows[0], *rows[2:]]
+
+
 def test_one_of_each(spark, documents, files):
     rows = [(5, "a b c d e f g"), (2, "A b c d e f g"), (7, "other"), (8, None), (9, None), (7, "other"), (None, "null id")]
     for docs in (documents(rows), documents(rows).coalesce(1)):

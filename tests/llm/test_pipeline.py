@@ -33,4 +33,4 @@ def test_stages_on_odd_rows(spark, stage):
 
 def test_each_operator_has_a_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))

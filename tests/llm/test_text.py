@@ -181,6 +181,16 @@ def test_hidden_text(page, text):
     assert " ".join(b.text for b in html_text.parse(page)) == text
 
 
+def test_names_of_classes_within_an_article():
+    """Part of a name is no verdict there: the text decides.  A whole name is."""
+    own = ["We measured the rain of a whole year, day by day, and wrote it all down.",
+           "Others have measured it before us, and what they found agrees with ours.",
+           "We looked for it in the usual places, one by one, and then asked around."]
+    page = (f"<nav><a href=/>Home</a></nav><article><p>{own[0]}</p><div class='related-work'><p>{own[1]}</p></div>"
+            f"<section class='search-methods'><p>{own[2]}</p></section><div class=share><a href=/s>Share this</a></div></article>")
+    assert html_text.main_text(page, html_text.PRIOR) == "\n\n".join(own)
+
+
 def test_fit_without_sample_is_the_prior():
     assert (html_text.fit(np.zeros((0, len(html_text.FEATURES))), np.zeros(0)) == html_text.PRIOR).all()
 
