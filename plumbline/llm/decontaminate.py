@@ -297,7 +297,8 @@ def _frequencies(docs: DataFrame, text_col: str, terms: dict[str, int]) -> tuple
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Terms(shared.value)
         total, n = np.zeros(len(shared.value), np.int64), 0
-        for text in (t.as_py() for b in batches for t in b.column(0)):  # one at a time: batches are large
+        slices = (b.column(0).slice(a, TEXTS) for b in batches for a in range(0, b.num_rows, TEXTS))  # batches are large
+        for text in (t for part in slices for t in part.to_pylist()):
             raw = text.split()
             own = np.bincount(np.fromiter(map(known.__getitem__, raw), np.int64, len(raw)) + 2,
                               minlength=len(total) + 2)[2:]
