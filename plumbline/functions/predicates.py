@@ -89,8 +89,10 @@ def lambda_to_column(text: str, column: str | None) -> tuple[Column, set[str]]:
         raise RuleConfigError(f"Unsupported expression in {text!r}: write a SQL predicate instead.")
 
     def compare(left: ast.expr, op: ast.cmpop, right: ast.expr) -> Column:
-        if isinstance(op, (ast.Is, ast.IsNot)) and isinstance(right, ast.Constant) and right.value is None:
-            return value(left).isNull() if isinstance(op, ast.Is) else value(left).isNotNull()
+        nothing = [isinstance(n, ast.Constant) and n.value is None for n in (left, right)]
+        if any(nothing) and isinstance(op, (ast.Is, ast.IsNot, ast.Eq, ast.NotEq)):  # only nothing equals nothing
+            wanted = F.lit(True) if all(nothing) else value(right if nothing[0] else left).isNull()
+            return wanted if isinstance(op, (ast.Is, ast.Eq)) else ~wanted
         if isinstance(op, (ast.In, ast.NotIn)) and isinstance(right, (ast.List, ast.Tuple, ast.Set)):
             found = F.coalesce(value(left).isin(*[value(e) for e in right.elts]), F.lit(False))
             return found if isinstance(op, ast.In) else ~found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F, types as T
 
 from plumbline.errors import RuleConfigError
@@ -97,6 +99,9 @@ def as_timestamp(column: Column, dtype: T.DataType) -> Column:
 INTEGER_TARGETS = {"int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "int": "bigint",
                    "integer": "bigint", "long": "bigint", "bigint": "bigint", "smallint": "smallint", "short": "smallint", "tinyint": "tinyint", "byte": "tinyint"}
 
+#: The bits of unsigned ones.
+UNSIGNED_BITS = {"uint8": 8, "uint16": 16, "uint32": 32, "uint64": 64}
+
 
 def convertible(column: Column, dtype: T.DataType, name: str, strict: bool = False) -> Column | None:
     """A boolean for non-null values of ``column``; None if ``name`` is no known type."""
@@ -106,6 +111,10 @@ def convertible(column: Column, dtype: T.DataType, name: str, strict: bool = Fal
             # The value itself must be one of the named type.
             held = column.try_cast(INTEGER_TARGETS[name])
             return held.isNotNull() & (column.rlike(INTEGER_TEXT) if is_text(dtype) else held == column)
+        if strict and name in UNSIGNED_BITS and (is_text(dtype) or is_number(dtype)):
+            whole = column.try_cast("decimal(38,0)")
+            held = F.coalesce(whole.between(F.lit(0), F.lit(Decimal(2 ** UNSIGNED_BITS[name] - 1)).cast("decimal(38,0)")), F.lit(False))
+            return held & (column.rlike(INTEGER_TEXT) if is_text(dtype) else whole == column)
         if is_text(dtype):
             if strict and not name.startswith(("float", "complex", "double", "real", "num")):
                 return column.rlike(INTEGER_TEXT) & column.try_cast("long").isNotNull()

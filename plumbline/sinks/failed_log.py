@@ -57,7 +57,7 @@ def log_outcome(outcome: Outcome, path: str) -> DataFrame:
         found.append((run, table.schema_name, table.table_name, counts.get["rows"], counts.get["records"]))
     manifest = spark.createDataFrame(found, MANIFEST_SCHEMA)
     manifest.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("run_id").parquet(f"{path}/_manifest")
+        .partitionBy(*FOLDERS).parquet(f"{path}/_manifest")
     return manifest
 
 

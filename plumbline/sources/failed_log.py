@@ -34,7 +34,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Runs in the log with the failing rows of each table and the records they stand for, as
     counted when they were written: no row is read."""
-    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/_manifest")
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/_manifest") \
+        .select(*FOLDERS, "failed_rows", "failed_count")
 
 
 def select_records(

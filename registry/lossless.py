@@ -175,3 +175,23 @@ def dtype_strict_double(spark, sf):
     quantity = F.when(F.col("l_orderkey") % 4 == 0, F.col("l_quantity") + 0.5).otherwise(F.col("l_quantity"))
     df = table(spark, sf, "lineitem").select(quantity.cast("double").alias("l_quantity"))
     return check_summary(df, "DtypeEval", {"columns": {"l_quantity": "int"}, "strict": True})
+
+
+# Values of both signs, halves, and values past 255.
+_BALANCE = "CAST(CASE WHEN c_custkey % 4 = 0 THEN c_custkey / 2.0 WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS DOUBLE)"
+
+
+@query("dtype_strict_uint8", summary_sql(
+    "DtypeEval", "{''n'': ''uint8''}", f"(SELECT {_BALANCE} AS n FROM customer) AS c", "n < 0 OR n > 255 OR n != FLOOR(n)"))
+def dtype_strict_uint8(spark, sf):
+    df = table(spark, sf, "customer").select(F.expr(_BALANCE).alias("n"))
+    return check_summary(df, "DtypeEval", {"columns": {"n": "uint8"}, "strict": True})
+
+
+@query("custom_lambda_none", "\nUNION ALL\n".join(
+    summary_sql("CustomEval", "c_acctbal", damaged_sql("customer"), fails) for fails in ("c_acctbal IS NULL", "c_acctbal IS NOT NULL")))
+def custom_lambda_none(spark, sf):
+    """Nothing else equals None, and None does."""
+    df = damaged(spark, sf, "customer")
+    told = [check_summary(df, "CustomEval", {"column": "c_acctbal", "func": f"lambda x: x {op} None"}) for op in ("!=", "==")]
+    return told[0].unionByName(told[1])

@@ -10,7 +10,7 @@ from plumbline.errors import RuleConfigError
 from plumbline.plans import ruleset
 from plumbline.plans.pipeline import select_rules
 from plumbline.plans.ruleset import number_rules
-from plumbline.sinks.failed_log import export_csv, promote, promote_to_table, write_log
+from plumbline.sinks.failed_log import export_csv, log_outcome, promote, promote_to_table, write_log
 from plumbline.sinks.report import report_json, write_report
 from plumbline.sinks.results import keep_last, read_results, save_results, stored_form
 from plumbline.sources import failed_log as log
@@ -238,3 +238,35 @@ def test_yaml(spark, tmp_path):
 def test_yaml_that_is_not_yaml(spark):
     with pytest.raises(RuleConfigError):
         run_yaml(fx.readings(spark), "evals: [")
+
+
+def test_log_keeps_schemas_apart(spark, tmp_path):
+    """Tables of one name, a run without failing rows, and a manifest that was counted on writing."""
+    path = str(tmp_path / "log")
+    tables = {"a": spark.createDataFrame([(1, 5), (2, None)], "id int, v int"),
+              "b": spark.createDataFrame([(3, None), (4, None)], "id int, v int")}
+    rules = number_rules([Rule("EmptyEval", {"columns": ["v"]}, "t", "a"), Rule("RangeEval", {"column": "v", "min": 0, "max": 9}, "t", "a"),
+                          Rule("EmptyEval", {"columns": ["v"]}, "t", "b")])
+    outcome = run_all(spark, rules, lambda schema, name: tables[schema], Run.start())
+    for _ in range(2):
+        manifest = log_outcome(outcome, path)
+    wanted = {("a", 1, 2), ("b", 2, 2)}
+    shown = ("schema_name", "failed_rows", "failed_count")
+    assert {tuple(r) for r in manifest.select(*shown).collect()} == wanted
+    assert {tuple(r) for r in log.read_manifest(spark, path).select(*shown).collect()} == wanted
+    assert log.read_rows(spark, path).count() == 3 and log.read_log(spark, path).count() == 4
+    again = str(tmp_path / "records")
+    for table in outcome.tables:
+        write_log(table.failed_records(), again)
+    records = log.read_log(spark, again)
+    assert sorted(map(str, records.collect())) == sorted(map(str, log.read_log(spark, path).collect()))
+    with pytest.raises(RuleConfigError):
+        promote(records, "t", tables["a"].schema, str(tmp_path))
+    target = promote(records, "t", tables["a"].schema, str(tmp_path), outcome.run.run_id, schema_name="b")
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [3, 4]
+    promote(records.limit(0), "t", tables["a"].schema, str(tmp_path), outcome.run.run_id, schema_name="b")
+    assert spark.read.schema(tables["a"].schema).parquet(target).count() == 0
+    clean = run_all(spark, rules[2:], lambda schema, name: tables[schema].limit(0), outcome.run)
+    log_outcome(clean, path)
+    assert {r["schema_name"] for r in log.read_log(spark, path).collect()} == {"a"}
+    assert {tuple(r) for r in log.read_manifest(spark, path).select(*shown).collect()} == {("a", 1, 2), ("b", 0, 0)}
