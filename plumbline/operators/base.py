@@ -114,6 +114,14 @@ class TableCheck(Check):
         """Aggregates by name, computed over the whole table."""
         return {}
 
+    def parts(self, schema: T.StructType) -> dict[str, Column]:
+        """Aggregates over a part of the table, from which ``merged`` makes the whole's measures."""
+        return self.measures(schema)
+
+    def merged(self, part: dict[str, Column]) -> dict[str, Column]:
+        """``measures`` as aggregates over the parts' rows."""
+        return {}
+
     def verdict(self, total: Column, measured: dict[str, Column]) -> Verdict:
         raise NotImplementedError
 
@@ -135,6 +143,14 @@ class KeyedCheck(Check):
     def failing(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame | None:
         return None
 
+    def key_counts(self, df: DataFrame) -> DataFrame | None:
+        """Rows per key as ``n``, which can be added up over parts of the table; None if it takes more."""
+        return None
+
+    def judged(self, counts: DataFrame) -> DataFrame:
+        """As ``tally``, from the table's ``key_counts`` with one row for each key."""
+        raise NotImplementedError
+
 
 def details_json(**parts: Column) -> Column:
     """Check-specific fields of a summary as a JSON object, nulls kept."""

@@ -70,9 +70,12 @@ class Duplicate(KeyedCheck):
         return cut_lineage(counts.filter("n > 1"))
 
     def tally(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-        if facts is not None:
-            return stored_verdict(df, facts)
-        counts, _ = rows_per_key(df, list(self.columns))
+        return self.judged(self.key_counts(df)) if facts is None else stored_verdict(df, facts)
+
+    def key_counts(self, df: DataFrame) -> DataFrame:
+        return rows_per_key(df, list(self.columns))[0]
+
+    def judged(self, counts: DataFrame) -> DataFrame:
         return counted_verdict(counts, F.when(F.col("n") > 1, F.col("n")))
 
     def failing(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -113,7 +116,7 @@ class LabelBalance(KeyedCheck):
     def input_columns(self) -> list[str]:
         return [self.column]
 
-    def _classes(self, df: DataFrame) -> DataFrame:
+    def key_counts(self, df: DataFrame) -> DataFrame:
         label = nan_as_null(F.col(quoted(self.column)), df.schema[self.column].dataType)
         return df.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -122,13 +125,16 @@ class LabelBalance(KeyedCheck):
 
         The classes' total comes from a scalar subquery, so no row is moved for it.
         """
-        classes = self._classes(df).filter(F.col("label").isNotNull())
+        classes = self.key_counts(df).filter(F.col("label").isNotNull())
         total = classes.agg(F.sum("n")).scalar()
         return classes.select("label", "n", (F.col("n") / total).alias("ratio"))
 
     def tally(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+        return self.judged(self.key_counts(df))
+
+    def judged(self, counts: DataFrame) -> DataFrame:
         counted = F.when(F.col("label").isNotNull(), F.col("n"))
-        found = self._classes(df).agg(
+        found = counts.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("total_count"),
             F.sum(counted).alias("labelled"),
             F.count("label").alias("classes"),
@@ -195,11 +201,14 @@ class ReferentialIntegrity(KeyedCheck):
         return cut_lineage(counts.join(known, keys, "left_anti"))
 
     def tally(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-        if facts is not None:
-            return stored_verdict(df, facts)
-        counts, keys = rows_per_key(df, [self.column])
+        return self.judged(self.key_counts(df)) if facts is None else stored_verdict(df, facts)
+
+    def key_counts(self, df: DataFrame) -> DataFrame:
+        return rows_per_key(df, [self.column])[0]
+
+    def judged(self, counts: DataFrame) -> DataFrame:
         known = self._reference_keys().distinct().withColumn("known", F.lit(True)).hint("merge")
-        return counted_verdict(counts.join(known, keys, "left"), F.when(F.col("known").isNull(), F.col("n")))
+        return counted_verdict(counts.join(known, ["__k0"], "left"), F.when(F.col("known").isNull(), F.col("n")))
 
     def failing(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         keyed, keys = with_keys(df, [self.column])

@@ -78,14 +78,31 @@ class FeatureDrift(TableCheck):
         if not (is_number(dtype) or isinstance(dtype, T.BooleanType)):
             raise RuleConfigError(f"{self.method}: '{self.column}' is {dtype.simpleString()}, not a number.")
 
-    def measures(self, schema: T.StructType) -> dict[str, Column]:
+    def _value(self, schema: T.StructType) -> Column:
         value = F.col(quoted(self.column))
         dtype = schema[self.column].dataType
         if isinstance(dtype, T.BooleanType):
             value = value.cast("int")
-        value = nan_as_null(value, dtype).cast("double")
+        return nan_as_null(value, dtype).cast("double")
+
+    def measures(self, schema: T.StructType) -> dict[str, Column]:
+        value = self._value(schema)
         return {"mean": F.avg(value), "std": F.stddev_samp(value)}
 
+    def parts(self, schema: T.StructType) -> dict[str, Column]:
+        measured = self.measures(schema)
+        value = self._value(schema)
+        return {"n": F.count(value), "mean": measured["mean"], "squares": F.var_pop(value) * F.count(value)}
+
+    def merged(self, part: dict[str, Column]) -> dict[str, Column]:
+        # Deviations are taken from the reference's mean, near which rounding matters, not from nought.
+        centre = F.lit(float(self.reference_stats["mean"]))
+        n = F.sum(part["n"])
+        off = F.sum(part["n"] * (part["mean"] - centre)) / F.nullif(n, F.lit(0))
+        around = F.sum(part["squares"] + part["n"] * (part["mean"] - centre) * (part["mean"] - centre))
+        squares = F.greatest(around - n * off * off, F.lit(0.0))
+        return {"mean": off + centre, "std": F.sqrt(squares / F.when(n > 1, n - 1))}
+
     def verdict(self, total: Column, measured: dict[str, Column]) -> Verdict:
         drift_mean = F.abs(measured["mean"] - F.lit(float(self.reference_stats["mean"])))
         drift_std = F.abs(measured["std"] - F.lit(float(self.reference_stats["std"])))
@@ -144,6 +161,9 @@ class DataFreshness(TableCheck):
         # The cast goes outside the aggregate, so max stays on the raw column.
         return {"latest": F.max(F.col(quoted(self.column))).cast("timestamp_ntz")}
 
+    def merged(self, part: dict[str, Column]) -> dict[str, Column]:
+        return {"latest": F.max(part["latest"])}
+
     def verdict(self, total: Column, measured: dict[str, Column]) -> Verdict:
         now = F.lit(_in_utc(self.as_of)) if self.as_of else F.localtimestamp()
         seconds = int(parse_duration(self.freshness_threshold).total_seconds())

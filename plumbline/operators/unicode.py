@@ -153,14 +153,19 @@ class UnicodeValidation(KeyedCheck):
         matched = attach(groups, targets, [KEY])
         return matched.filter("t_all > t_same OR s_clean < s").select(KEY, TEXT, "s", "t_all", "t_same")
 
-    def failing(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-        """Source rows, key first, one for each failing pair."""
+    def failing_once(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+        """Each failing source row once, key first, with its failing pairs counted in ``__pairs``."""
         rows = attach(self._source(df), self._failing_texts(df, facts), [KEY, TEXT], weight="s")
         damaged = F.col("__mojibake") | F.col("__replaced")
         pairs = F.when(damaged, F.col("t_all")).otherwise(F.col("t_all") - F.col("t_same"))
         columns = [self.key_column, *[c for c in df.columns if c != self.key_column]]
         names = [quoted(c) for c in columns]
-        counted = rows.withColumn("__pairs", pairs).filter("__pairs > 0")
+        return rows.withColumn("__pairs", pairs).filter("__pairs > 0").select(*names, "__pairs")
+
+    def failing(self, df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+        """Source rows, key first, one for each failing pair."""
+        counted = self.failing_once(df, facts)
+        names = [quoted(c) for c in counted.columns if c != "__pairs"]
         # Repeat a row in two steps, so that no single row holds a long array.
         blocks = counted.select(
             *names, "__pairs", F.explode(F.sequence(F.lit(0), F.floor((F.col("__pairs") - 1) / 1000))).alias("__b")

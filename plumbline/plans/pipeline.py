@@ -12,8 +12,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.errors import RuleConfigError
-from plumbline.plans.rule import RECORD_SCHEMA, RESULT_SCHEMA, Rule, Run, TableSource
-from plumbline.plans.ruleset import TableRun, compile_table, number_rules, results_frame, union
+from plumbline.plans.rule import DISTRIBUTION_SCHEMA, RECORD_SCHEMA, RESULT_SCHEMA, Rule, Run, TableSource
+from plumbline.plans.ruleset import TableRun, compile_table, message_of, number_rules, results_frame, union
 
 logger = logging.getLogger(__name__)
 
@@ -33,6 +33,12 @@ class Outcome:
             return self.results.sparkSession.createDataFrame([], RECORD_SCHEMA)
         return union([t.failed_records() for t in self.tables])
 
+    def distributions(self) -> DataFrame:
+        """The classes of all label balance rules, one row each."""
+        if not self.tables:
+            return self.results.sparkSession.createDataFrame([], DISTRIBUTION_SCHEMA)
+        return union([t.distributions() for t in self.tables])
+
     def failing_rows(self, table_name: str, dqmethod: str = "", col: str = "", *, schema_name: str | None = None,
                      rule_seq: int | None = None) -> DataFrame | None:
         """The failing rows of one check, in the table's own columns.
@@ -48,7 +54,7 @@ class Outcome:
         ]
         if len(fits) > 1:
             raise RuleConfigError(f"{len(fits)} rules of {table_name} fit; name rule_seq and schema_name")
-        return fits[0][1].check.failing(fits[0][0].df) if fits else None
+        return fits[0][0].failing_of(fits[0][1]) if fits else None
 
 
 def by_table(rules: Sequence[Rule]) -> list[tuple[str, str, list[Rule]]]:
@@ -80,7 +86,7 @@ def plan_all(
             tables.append(compile_table(source(schema, table), group, run, source, schema, table))
         except Exception as exc:
             logger.error("%s.%s skipped: %s", schema, table, exc)
-            skipped.append((schema, table, str(exc).splitlines()[0]))
+            skipped.append((schema, table, message_of(exc)))
     return tables, skipped
 
 
@@ -115,7 +121,7 @@ def run_all(
                     settled.append(job.result())
                 except Exception as exc:
                     logger.error("%s.%s skipped: %s", table.schema_name, table.table_name, exc)
-                    skipped.append((table.schema_name, table.table_name, str(exc).splitlines()[0]))
+                    skipped.append((table.schema_name, table.table_name, message_of(exc)))
     rows = [row for result, _ in settled for row in result]
     results = results_frame(spark, rows) if rows else spark.createDataFrame([], RESULT_SCHEMA)
     return Outcome(run, results, tuple(t for _, t in settled), tuple(skipped))

@@ -25,6 +25,10 @@ RECORD_SCHEMA = (
     "run_id string, schema_name string, table_name string, rule_seq long, dqmethod string, "
     "col string, failed_row string"
 )
+DISTRIBUTION_SCHEMA = (
+    "run_id string, schema_name string, table_name string, rule_seq long, col string, "
+    "label string, n long, ratio double"
+)
 ROWS_SCHEMA = (
     "run_id string, schema_name string, table_name string, "
     "rules array<struct<rule_seq: long, dqmethod: string, col: string>>, failed_row string"

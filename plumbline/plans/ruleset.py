@@ -16,8 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from plumbline.functions.json import row_json
-from plumbline.operators import Check, Custom, KeyedCheck, RowCheck, SchemaValidation, TableCheck, build_check
-from plumbline.plans.rule import RECORD_SCHEMA, RESULT_SCHEMA, ROWS_SCHEMA, Rule, Run, TableSource, resolve_tables
+from plumbline.operators import Check, Custom, KeyedCheck, LabelBalance, RowCheck, SchemaValidation, TableCheck, build_check
+from plumbline.plans.rule import DISTRIBUTION_SCHEMA, RECORD_SCHEMA, RESULT_SCHEMA, ROWS_SCHEMA, Rule, Run, TableSource, resolve_tables
 
 logger = logging.getLogger(__name__)
 
@@ -86,7 +86,7 @@ class TableRun:
         frames += [self._one_pass([c]) for c in alone]
         frames += [self._tally(c) for c in keyed]
         if self.errors:
-            frames.append(self._error_rows())
+            frames.append(self.error_rows())
         if not frames:
             return self.df.sparkSession.createDataFrame([], RESULT_SCHEMA)
         return union(frames)
@@ -110,24 +110,24 @@ class TableRun:
                 verdict = check.verdict(total, {n: F.col(f"m{i}_{n}") for n in check.measures(schema)})
                 passed, failed = verdict.passed, verdict.failed_count
                 passing, details = verdict.passed_count, verdict.details
-            rows.append(_verdict_row(c.rule, c.check.label(), c.check.result_name(), passed, total, failed, passing, details))
-        return self._finish(self.df.agg(*aggregates).select(F.inline(F.array(*rows))))
+            rows.append(verdict_row(c.rule, c.check.label(), c.check.result_name(), passed, total, failed, passing, details))
+        return self.finished(self.df.agg(*aggregates).select(F.inline(F.array(*rows))))
 
     def _tally(self, c: Compiled) -> DataFrame:
         names = ("passed", "total_count", "failed_count", "passed_count", "details")
-        columns = _verdict_columns(c.rule, c.check.label(), c.check.result_name(), *[F.col(n) for n in names])
-        return self._finish(c.check.tally(self.df, self._facts_of(c.check)).select(*columns))
+        columns = verdict_columns(c.rule, c.check.label(), c.check.result_name(), *[F.col(n) for n in names])
+        return self.finished(c.check.tally(self.df, self._facts_of(c.check)).select(*columns))
 
-    def _error_rows(self) -> DataFrame:
+    def error_rows(self) -> DataFrame:
         none = F.lit(None).cast("long")
         rows = [
-            _verdict_row(rule, "N/A", "error", F.lit(None).cast("boolean"), none, F.lit(0).cast("long"),
+            verdict_row(rule, "N/A", "error", F.lit(None).cast("boolean"), none, F.lit(0).cast("long"),
                          none, F.to_json(F.struct(F.lit(message).alias("error_message"))))
             for rule, message in self.errors
         ]
-        return self._finish(self.df.sparkSession.range(1).select(F.inline(F.array(*rows))))
+        return self.finished(self.df.sparkSession.range(1).select(F.inline(F.array(*rows))))
 
-    def _finish(self, verdicts: DataFrame) -> DataFrame:
+    def finished(self, verdicts: DataFrame) -> DataFrame:
         passed = F.col("passed")
         status = F.when(passed.isNull(), "Error").when(passed, "Success").otherwise("Failed")
         return verdicts.select(
@@ -140,6 +140,16 @@ class TableRun:
             "total_count", "failed_count", "passed_count", "details",
         )
 
+    def distributions(self) -> DataFrame:
+        """Every class of every label balance rule: ``label``, rows ``n`` and their ``ratio``."""
+        frames = [
+            c.check.distribution(self.df).select(
+                *self._names(), F.lit(c.rule.rule_seq).cast("long").alias("rule_seq"), F.lit(c.check.label()).alias("col"),
+                F.col("label").cast("string").alias("label"), "n", "ratio")
+            for c in self.compiled if isinstance(c.check, LabelBalance)
+        ]
+        return union(frames) if frames else self.df.sparkSession.createDataFrame([], DISTRIBUTION_SCHEMA)
+
     # -- failing rows ----------------------------------------------------------
 
     def failed_records(self) -> DataFrame:
@@ -182,21 +192,25 @@ class TableRun:
             )
         others = [c for c in self.compiled if c not in rows]
         for same in _grouped(others):
-            check = same[0].check
-            known = [self._facts_of(check)] if isinstance(check, KeyedCheck) else []
-            failing = check.failing(self.df, *known)
+            failing = self.failing_of(same[0])
             if failing is not None:
                 yield failing.select(row_json(self.df.columns).alias("failed_row"),
                                      F.array(*[_tag(c) for c in same]).alias("rules"))
 
+    def failing_of(self, c: Compiled) -> DataFrame | None:
+        """The failing rows of one rule, from stored facts where there are any."""
+        known = [self._facts_of(c.check)] if isinstance(c.check, KeyedCheck) else []
+        return c.check.failing(self.df, *known)
+
     # -- running ---------------------------------------------------------------
 
     def settled(self) -> tuple[list[Row], "TableRun"]:
         """Run the checks now.  A rule that fails at run time becomes an ``Error`` row.
 
         One action for all rules inside the JVM and one for each Python callable.  If an
-        action over several rules fails, its rules are halved until the offender is
-        alone, so one bad rule among many costs a few passes, not one per rule.  The
+        action over several rules fails, the rule whose SQL Spark names as the error's
+        place is set apart and the others run again: an action for each bad rule.  Only
+        an error without a place has the rules halved until the offender is alone.  The
         rows fetched are one per rule.
         """
         rows, good, bad = [], [], list(self.errors)
@@ -209,11 +223,16 @@ class TableRun:
                 good += group
             except Exception as exc:
                 logger.warning("%s.%s, %d rule(s): %s", self.schema_name, self.table_name, len(group), exc)
+                blamed = _blamed(exc, group)
                 half = len(group) // 2
-                if half:
+                if len(blamed) == 1:
+                    bad.append((blamed[0].rule, message_of(exc)))
+                    if len(group) > 1:
+                        pending.append([c for c in group if c is not blamed[0]])
+                elif half:
                     pending += [group[:half], group[half:]]
                 else:
-                    bad.append((group[0].rule, _first_line(exc)))
+                    bad.append((group[0].rule, message_of(exc)))
         if bad:
             rows += replace(self, compiled=(), errors=tuple(bad)).results().collect()
         good.sort(key=lambda c: c.rule.rule_seq)
@@ -234,8 +253,18 @@ def _grouped(compiled: Sequence[Compiled]) -> list[list[Compiled]]:
     return [members for _, members in groups]
 
 
-def _first_line(exc: Exception) -> str:
-    return (str(exc) or type(exc).__name__).splitlines()[0]
+def message_of(exc: Exception) -> str:
+    """The whole message, without the JVM's stack."""
+    return (str(exc).split("\n\nJVM stacktrace:")[0] or type(exc).__name__).strip()
+
+
+def _blamed(exc: Exception, group: Sequence[Compiled]) -> list[Compiled]:
+    """The rules whose SQL text holds what Spark names as the place of the error."""
+    try:
+        places = {place.fragment() for place in exc.getQueryContext() if place.contextType().name == "SQL"}
+    except Exception:  # no error of Spark, or none that names a place
+        return []
+    return [c for c in group if isinstance(c.check, Custom) and any(p and p in str(c.check.func) for p in places)]
 
 
 def _tag(c: Compiled) -> Column:
@@ -246,7 +275,7 @@ def _tag(c: Compiled) -> Column:
     )
 
 
-def _verdict_columns(rule, label, check_type, passed, total, failed, passing, details) -> list[Column]:
+def verdict_columns(rule, label, check_type, passed, total, failed, passing, details) -> list[Column]:
     return [
         F.lit(rule.rule_seq).cast("long").alias("rule_seq"),
         F.lit(rule.dqmethod).alias("dqmethod"),
@@ -260,8 +289,8 @@ def _verdict_columns(rule, label, check_type, passed, total, failed, passing, de
     ]
 
 
-def _verdict_row(*parts) -> Column:
-    return F.struct(*_verdict_columns(*parts))
+def verdict_row(*parts) -> Column:
+    return F.struct(*verdict_columns(*parts))
 
 
 def _passes(fused: list[Compiled], df: DataFrame) -> Iterable[list[Compiled]]:
@@ -303,7 +332,7 @@ def compile_table(
 
     def refuse(rule: Rule, exc: Exception) -> None:
         logger.warning("%s on %s: %s", rule.dqmethod, rule.table_name, exc)
-        errors.append((rule, _first_line(exc)))
+        errors.append((rule, message_of(exc)))
 
     for rule in rules:
         try:

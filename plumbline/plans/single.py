@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row
 from plumbline.errors import RuleConfigError
 from plumbline.operators import Check, build_check
 from plumbline.plans.rule import Rule, Run
-from plumbline.plans.ruleset import Compiled, TableRun
+from plumbline.plans.ruleset import Compiled, TableRun, message_of
 
 
 def summary(df: DataFrame, check: Check, run: Run | None = None, table_name: str = "table") -> DataFrame:
@@ -94,7 +94,7 @@ def run_yaml(
             check.guard(df)
             planned.append(Compiled(Rule(check.method, entry, rule_seq=i), check))
         except Exception as exc:
-            problems[i] = str(exc).splitlines()[0]
+            problems[i] = message_of(exc)
     table = TableRun(df, run, "default", "table", tuple(planned))
     rows, settled = table.settled() if planned else ([], table)
     problems |= {rule.rule_seq: message for rule, message in settled.errors}

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.errors import RuleConfigError
-from plumbline.functions.json import canonical_json
+from plumbline.functions.json import identity_json
 from plumbline.plans.rule import Rule
 
 CATALOGUE_SCHEMA = (
@@ -62,7 +62,7 @@ def load_rules(rules: DataFrame, active_only: bool = True) -> list[Rule]:
 
 
 def _canonical(df: DataFrame) -> DataFrame:
-    return df.withColumn("__config", canonical_json(F.col("config")))
+    return df.withColumn("__config", identity_json(F.col("config")))
 
 
 def _identical_active(new: DataFrame, existing: DataFrame, how: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Each micro-batch is checked like a small table.  Its results and failing rows go to
 folders named after the batch and are overwritten if the batch is replayed, so a
-lost driver or executor never counts a batch twice.  Rules over the whole table are
-left to a batch run over the accumulated table.
+lost driver or executor never counts a batch twice.  Rules over the whole table are kept
+as state by ``streaming.accumulated`` or left to a batch run over the accumulated table.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.json import canonical_json
+from plumbline.functions.json import canonical_json, identity_json
 from plumbline.sources import rules as rulebook
 from registry.base import query, table
 
@@ -115,3 +115,23 @@ def rules_delete(spark, sf):
 @query("rules_options", f"SELECT DISTINCT schema_name, table_name FROM {_relation()} AS r")
 def rules_options(spark, sf):
     return rulebook.rule_options(_rules(spark, sf))
+
+
+# The same numbers written in four ways, nested too; and a text that only looks like a number.
+SPELLINGS = ["1", "1.0", "1e0", "10E-1"]
+NUMBERED = """'{"column": "age", "min": ' || spelling || ', "more": [{"max": ' || spelling || '}, "' || spelling || '"]}'"""
+SPELLED = "CASE " + " ".join(f"WHEN c_custkey % 4 = {i} THEN '{t}'" for i, t in enumerate(SPELLINGS)) + " END"
+
+
+@query(
+    "rules_equal_numbers",
+    f"""SELECT c_nationkey, CAST(COUNT(*) AS BIGINT) AS kinds, CAST(SUM(n) AS BIGINT) AS rules
+        FROM (SELECT c_nationkey, {SPELLED} AS spelling, COUNT(*) AS n FROM customer GROUP BY c_nationkey, spelling) AS t
+        GROUP BY c_nationkey""",
+)
+def rules_equal_numbers(spark, sf):
+    """Configurations are one where only numbers are written in another way; the quoted number tells four apart."""
+    spelled = table(spark, sf, "customer").select("c_nationkey", F.expr(SPELLED).alias("spelling"))
+    same = spelled.select("c_nationkey", identity_json(F.expr(NUMBERED)).alias("config"))
+    kinds = same.groupBy("c_nationkey", "config").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("rules"))

@@ -78,8 +78,12 @@ def line_run(spark, sf):
 
 
 def rules_sql(name: str, extra: str = "", start: int = 1) -> str:
+    return verdicts_sql(ALL_RULES[name], extra, start)
+
+
+def verdicts_sql(rules, extra: str = "", start: int = 1) -> str:
     parts = []
-    for i, (method, _, label, relation, fails) in enumerate(ALL_RULES[name], start=start):
+    for i, (method, _, label, relation, fails) in enumerate(rules, start=start):
         head = f"{extra}CAST({i} AS BIGINT) AS rule_seq, "
         if relation is None:
             parts.append(f"""SELECT {head}'{method}' AS dqmethod, 'N/A' AS col, 'Error' AS status,
@@ -181,3 +185,41 @@ def yaml_report(spark, sf):
         for i, r in enumerate(report)
     ]
     return spark.createDataFrame(rows, "position long, status string, check_type string, total long, failed long")
+
+
+LABELS = [("l_returnflag", "lineitem", LINEITEM), ("o_orderpriority", "orders", ORDERS), ("c_mktsegment", "customer", CUSTOMER)]
+
+
+@query(
+    "ruleset_distributions",
+    "\nUNION ALL\n".join(
+        f"""SELECT '{name}' AS table_name, CAST({i} AS BIGINT) AS rule_seq, '{column}' AS col, {column} AS label,
+                   CAST(COUNT(*) AS BIGINT) AS n, COUNT(*) / SUM(COUNT(*)) OVER () AS ratio
+            FROM {relation} WHERE {column} IS NOT NULL GROUP BY {column}"""
+        for i, (column, name, relation) in enumerate(LABELS, start=1)
+    ),
+)
+def ruleset_distributions(spark, sf):
+    """Every class of the balance rules of a run over three tables."""
+    rules = [Rule("StatisticalDistributionEval", {"column": c, "mode": "label_balance"}, name, "public") for c, name, _ in LABELS]
+    found = run_all(spark, number_rules(rules), source(spark, sf), Run.start(RUN_ID)).distributions()
+    return found.select("table_name", "rule_seq", "col", "label", "n", "ratio")
+
+
+# Two predicates that fail while they run, among rules that do not.
+BAD_RULES = [
+    ORDER_RULES[0],
+    ("CustomEval", {"func": "CAST(key_text AS INT) > 0"}, "N/A", None, None),
+    ORDER_RULES[1],
+    ORDER_RULES[3],
+    ("CustomEval", {"func": "o_totalprice / (o_custkey - o_custkey) > 1"}, "N/A", None, None),
+    ORDER_RULES[2],
+]
+
+
+@query("ruleset_bad_predicates", verdicts_sql(BAD_RULES))
+def ruleset_bad_predicates(spark, sf):
+    """Each bad predicate ends as an error of its own; the others have their results."""
+    rules = number_rules([Rule(m, c, "orders", "public") for m, c, *_ in BAD_RULES])
+    outcome = run_all(spark, rules, source(spark, sf), Run.start(RUN_ID))
+    return _shown(outcome.results)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from plumbline import Rule, Run
 from plumbline.plans.ruleset import number_rules
+from plumbline.sources.tables import from_mapping
+from plumbline.streaming.accumulated import accumulate_stream, accumulated
 from plumbline.streaming.incremental import check_stream, failed_records, totals
 from registry.base import SUMMARY, damage, damaged_sql, query, scratch, summary_sql, table
 
@@ -90,3 +92,58 @@ def stream_many_batches(spark, sf):
     out = scratch(spark, "stream")
     check_stream(stream, rules, out, Run.start(), keep_rows=False, availableNow=True).awaitTermination()
     return totals(spark, out).select(*SUMMARY)
+
+
+COUNTED = "CAST(COUNT(*) AS BIGINT) AS total_count, CAST(0 AS BIGINT) AS failed_count, CAST(NULL AS BIGINT) AS passed_count"
+WHOLE_RULES = [
+    ("DupEval", {"columns": ["user_id", "event_type"]}, "user_id,event_type"),
+    ("UniqueEval", {"columns": ["event_id"]}, "event_id"),
+    ("ReferentialIntegrityEval", {"column": "user_id", "reference_df": "customer", "reference_column": "c_custkey"}, "user_id"),
+    ("StatisticalDistributionEval", {"column": "event_type", "mode": "label_balance", "threshold": 0.5}, "event_type"),
+    ("StatisticalDistributionEval", {"column": "value", "mode": "feature_drift",
+                                     "reference_stats": {"mean": 50.0, "std": 30.0}, "tolerance": 1.0}, "value"),
+    ("RowCountEval", {"min": 100}, "N/A"),
+    ("DataFreshnessEval", {"column": "ts", "freshness_threshold": "1d", "as_of": "2020-01-01T00:00:00"}, "ts"),
+    ("UniqueEval", {"columns": ["no_such_column"]}, "N/A"),
+]
+PASSING = {  # of the rules that judge the table as a whole
+    4: f"(SELECT MAX(n) <= 0.5 * SUM(n) FROM (SELECT COUNT(*) AS n FROM {EVENTS} GROUP BY event_type) AS classes)",
+    5: "ABS(AVG(value) - 50.0) <= 1.0 AND ABS(STDDEV_SAMP(value) - 30.0) <= 1.0",
+    6: "COUNT(*) >= 100",
+    7: "MAX(ts) > TIMESTAMP '2019-12-31 00:00:00'",
+}
+PER_KEY = {
+    1: f"(SELECT COUNT(*) OVER (PARTITION BY user_id, event_type) AS n FROM {EVENTS}) AS c",
+    2: f"(SELECT COUNT(*) OVER (PARTITION BY event_id) AS n FROM {EVENTS}) AS c",
+}
+
+
+def _whole_sql():
+    parts = []
+    for i, (method, _, label) in enumerate(WHOLE_RULES, start=1):
+        head = f"CAST({i} AS BIGINT) AS rule_seq, "
+        if i in PER_KEY:
+            parts.append(summary_sql(method, label, PER_KEY[i], "n > 1", head))
+        elif i in PASSING:
+            parts.append(f"""SELECT {head}'{method}' AS dqmethod, '{label}' AS col,
+                CASE WHEN {PASSING[i]} THEN 'Success' ELSE 'Failed' END AS status, {COUNTED} FROM {EVENTS}""")
+        elif method == "ReferentialIntegrityEval":
+            parts.append(summary_sql(
+                method, label, EVENTS, "user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM customer)", head))
+        else:
+            parts.append(f"""SELECT {head}'{method}' AS dqmethod, 'N/A' AS col, 'Error' AS status,
+                CAST(NULL AS BIGINT) AS total_count, CAST(0 AS BIGINT) AS failed_count, CAST(NULL AS BIGINT) AS passed_count""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("stream_whole_table", _whole_sql())
+def stream_whole_table(spark, sf):
+    """Duplicates, references, balance, drift and freshness from the states of four micro-batches."""
+    path = _in_parts(spark, sf)
+    events = spark.read.parquet(path)
+    rules = number_rules([Rule(m, c, "events", "public") for m, c, _ in WHOLE_RULES])
+    source = from_mapping({"customer": table(spark, sf, "customer")})
+    out = scratch(spark, "state")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    accumulate_stream(stream, rules, out, source, availableNow=True).awaitTermination()
+    return accumulated(spark, events.schema, rules, out, Run.start(), source).select("rule_seq", *SUMMARY)

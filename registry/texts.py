@@ -111,3 +111,35 @@ def unicode_nfkc_summary(spark, sf):
     """No SQL twin: DuckDB has no NFKC.  Checked on the Japanese fixtures in the tests."""
     out = summary(damaged(spark, sf, "documents"), _check(spark, sf, "NFKC"))
     return out.select("status", "total_count", "failed_count", "passed_count")
+
+
+@query(
+    "unicode_rows_once",
+    f"""SELECT doc_id, lang, text, CAST(COUNT(*) AS BIGINT) AS pairs
+        FROM {PAIRS} WHERE fails GROUP BY doc_id, lang, text""",
+)
+def unicode_rows_once(spark, sf):
+    """Each failing source row once, whatever the number of target rows it fails against."""
+    found = _check(spark, sf).failing_once(damaged(spark, sf, "documents"))
+    return found.select("doc_id", "lang", "text", F.col("__pairs").alias("pairs"))
+
+
+DIGITS, WIDE_DIGITS = "0123456789", "".join(chr(0xFF10 + i) for i in range(10))
+CHANGED = "CASE WHEN doc_id % 17 = 0 THEN text || ' changed' ELSE text END"
+
+
+@query(
+    "unicode_nfkc_digits",
+    f"""SELECT CASE WHEN SUM(f) = 0 THEN 'Success' ELSE 'Failed' END AS status, CAST(COUNT(*) AS BIGINT) AS total_count,
+               CAST(SUM(f) AS BIGINT) AS failed_count, CAST(SUM(1 - f) AS BIGINT) AS passed_count
+        FROM (SELECT CASE WHEN translate(translate(text, '{DIGITS}', '{WIDE_DIGITS}'), '{WIDE_DIGITS}', '{DIGITS}') <> {CHANGED}
+                            OR {DAMAGED_TEXT.format(c='text')} THEN 1 ELSE 0 END AS f FROM documents) AS compared""",
+)
+def unicode_nfkc_digits(spark, sf):
+    """Full-width digits in the source, plain ones in the target: equal in NFKC."""
+    documents = table(spark, sf, "documents")
+    wide = documents.select("doc_id", F.translate("text", DIGITS, WIDE_DIGITS).alias("text"))
+    target = documents.select("doc_id", F.expr(CHANGED).alias("text"))
+    check = build_check("UnicodeValidationEval", {
+        "key_column": "doc_id", "columns": ["text"], "target_df": target, "normalization_form": "NFKC"})
+    return summary(wide, check).select("status", "total_count", "failed_count", "passed_count")

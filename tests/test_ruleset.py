@@ -7,9 +7,10 @@ import pytest
 import fixtures as fx
 from plumbline import Rule, Run, compile_table, plan_all, run_all, run_yaml, summary
 from plumbline.errors import RuleConfigError
+from plumbline.operators import Duplicate
 from plumbline.plans import ruleset
 from plumbline.plans.pipeline import select_rules
-from plumbline.plans.ruleset import number_rules
+from plumbline.plans.ruleset import TableRun, number_rules
 from plumbline.sinks.failed_log import export_csv, log_outcome, promote, promote_to_table, write_log
 from plumbline.sinks.report import report_json, write_report
 from plumbline.sinks.results import keep_last, read_results, save_results, stored_form
@@ -270,3 +271,49 @@ def test_log_keeps_schemas_apart(spark, tmp_path):
     log_outcome(clean, path)
     assert {r["schema_name"] for r in log.read_log(spark, path).collect()} == {"a"}
     assert {tuple(r) for r in log.read_manifest(spark, path).select(*shown).collect()} == {("a", 1, 2), ("b", 0, 0)}
+
+
+def test_a_bad_predicate_costs_one_action(spark, monkeypatch):
+    """Spark names the place of the error, so nothing is halved."""
+    df = spark.createDataFrame([(i, "x") for i in range(5)], "id int, t string")
+    good = [Rule("RangeEval", {"column": "id", "min": 0, "max": i}, "t") for i in range(20)]
+    bad = [Rule("CustomEval", {"func": "CAST(t AS INT) > 0"}, "t"), Rule("CustomEval", {"func": "1 / (id - id) > 0"}, "t")]
+    table = compile_table(df, number_rules([*good[:10], bad[0], *good[10:], bad[1]]))
+    runs = []
+    results = TableRun.results
+    monkeypatch.setattr(TableRun, "results", lambda self: runs.append(len(self.compiled)) or results(self))
+    rows, settled = table.settled()
+    assert runs == [22, 21, 20, 0]
+    errors = {r["rule_seq"]: json.loads(r["details"])["error_message"] for r in rows if r["status"] == "Error"}
+    assert set(errors) == {11, 22} and "CAST_INVALID_INPUT" in errors[11] and "DIVIDE_BY_ZERO" in errors[22]
+    assert "CAST(t AS INT)" in errors[11].splitlines()[2]  # all lines of the message
+    assert sum(r["status"] == "Success" for r in rows) == 16 and len(settled.compiled) == 20
+
+
+def test_equal_bad_predicates_are_told_apart(spark):
+    """Two rules hold the text that Spark names: both are tried alone."""
+    df = spark.createDataFrame([(1, "x")], "id int, t string")
+    rules = number_rules([Rule("CustomEval", {"func": "CAST(t AS INT) > 0"}, "t"),
+                          Rule("CustomEval", {"func": "id < 5 OR CAST(t AS INT) > 0"}, "t"),
+                          Rule("EmptyEval", {"columns": ["t"]}, "t")])
+    rows, _ = compile_table(df, rules).settled()
+    assert {r["rule_seq"]: r["status"] for r in rows} == {1: "Error", 2: "Success", 3: "Success"}
+
+
+def test_distributions(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
+    rules = number_rules([Rule("StatisticalDistributionEval", {"column": "k", "mode": "label_balance"}, "t"),
+                          Rule("EmptyEval", {"columns": ["k"]}, "t")])
+    outcome = run_all(spark, rules, lambda schema, name: df, Run.start())
+    rows = {(r["rule_seq"], r["label"], r["n"], round(r["ratio"], 4)) for r in outcome.distributions().collect()}
+    assert rows == {(1, "a", 2, 0.6667), (1, "b", 1, 0.3333)}
+    empty = run_all(spark, rules, lambda schema, name: df.limit(0), Run.start())
+    assert empty.distributions().count() == 0
+    assert run_all(spark, [], lambda schema, name: df, Run.start()).distributions().count() == 0
+
+
+def test_failing_rows_use_stored_facts(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string")
+    outcome = run_all(spark, number_rules([Rule("DupEval", {"columns": ["id"]}, "t", "s")]), lambda schema, name: df, Run.start())
+    monkeypatch.setattr(Duplicate, "facts", lambda self, df: pytest.fail("counted again"))
+    assert sorted(r["v"] for r in outcome.failing_rows("t", rule_seq=1).collect()) == ["a", "b"]

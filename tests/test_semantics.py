@@ -4,10 +4,12 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import Rule, build_check, compile_table, returns_column, run_check
 from plumbline.errors import MissingColumnError, RuleConfigError
 from plumbline.functions.durations import parse_duration
+from plumbline.functions.json import identity_json
 
 
 def failing(df, method, config, column="i"):
@@ -239,3 +241,22 @@ def test_columns_with_dots(spark):
     run = compile_table(df, [Rule("EmptyEval", {"columns": ["c d"]}, rule_seq=1), Rule("DupEval", {"columns": ["a.b"]}, rule_seq=2)])
     assert {r["rule_seq"]: r["failed_count"] for r in run.results().collect()} == {1: 1, 2: 2}
     assert run.failed_records().count() == 3
+
+
+def test_equal_configurations(spark):
+    """Numbers agree by value at any depth; texts, keys and structure do as they stand."""
+    groups = [
+        ['{"a": 1, "b": [1.50]}', '{"b":[15e-1],"a":1.0}', '{"a":10E-1, "b": [0.150e+1]}', '{"a":1e0,"b":[1.5]}'],
+        ['{"a": "1", "b": [1.5]}'], ['{"a": "1.0", "b": [1.5]}'],
+        ['{"a": 0}', '{"a": -0.0}', '{"a": 0e9}', '{"a": 0.000}'],
+        ['{"a": 100}', '{"a": 1e2}', '{"a": 1.00E+2}'], ['{"a": -100}', '{"a": -1e2}'],
+        ['{"a": 12345678901234567890123456789012345678901}'], ['{"a": 12345678901234567890123456789012345678902}'],
+        ['{"a": 0.05}', '{"a": 5e-2}'], ['{"a": 0.5}'], ['{"a": "#1e0"}'], ['{"a": "x \\" 1.0 \\\\"}'], ['{"a": "x \\" 1 \\\\"}'],
+        ['{"1.0": null}'], ['{"1": null}'], ["not json 1.0"], ["not json 1"], ["[1, 1]"], ["[11]"], ["-1", "-1.0"], ["{}"], [""],
+    ]
+    texts = [(i, t) for i, group in enumerate(groups) for t in group] + [(99, None)]
+    df = spark.createDataFrame(texts, "i int, t string").select("i", identity_json(F.col("t")).alias("same"))
+    found = {}
+    for row in df.collect():
+        found.setdefault(row["same"], set()).add(row["i"])
+    assert len(found) == len(groups) + 1 and all(len(ids) == 1 for ids in found.values())
