@@ -27,11 +27,11 @@ class Outcome:
     tables: tuple[TableRun, ...]
     skipped: tuple[tuple[str, str, str], ...]  # (schema, table, reason)
 
-    def failed_records(self) -> DataFrame:
-        """The failing rows of all tables."""
+    def failed_records(self, evened: bool = False) -> DataFrame:
+        """The failing rows of all tables; ``evened`` as for one."""
         if not self.tables:
             return self.results.sparkSession.createDataFrame([], RECORD_SCHEMA)
-        return union([t.failed_records() for t in self.tables])
+        return union([t.failed_records(evened) for t in self.tables])
 
     def distributions(self) -> DataFrame:
         """The classes of all label balance rules, one row each."""

@@ -13,9 +13,10 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from plumbline.functions.json import row_json
+from plumbline.functions.keys import quoted
 from plumbline.operators import Check, Custom, KeyedCheck, LabelBalance, RowCheck, SchemaValidation, TableCheck, build_check
 from plumbline.plans.rule import DISTRIBUTION_SCHEMA, RECORD_SCHEMA, RESULT_SCHEMA, ROWS_SCHEMA, Rule, Run, TableSource, resolve_tables
 
@@ -29,6 +30,22 @@ def union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+#: Types whose values Spark can hash.
+_PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def evened_out(rows: DataFrame) -> DataFrame:
+    """Spread failing rows over tasks, for files of a sensible size and even parsing.
+
+    Failing rows are few in most input partitions and many in some; adaptive execution
+    merges the small ones and splits the large ones.  Done while they are still rows: as
+    JSON, once for each rule, they would take many times the space in the shuffle.  Dealt
+    by the hash of their values, as Spark sorts rows, on disk if need be, to deal them in turn.
+    """
+    plain = [quoted(f.name) for f in rows.schema if isinstance(f.dataType, _PLAIN)]
+    return rows.hint("rebalance", *plain)
+
+
 @dataclass(frozen=True)
 class Compiled:
     """A rule with its check, ready to be planned."""
@@ -152,19 +169,22 @@ class TableRun:
 
     # -- failing rows ----------------------------------------------------------
 
-    def failed_records(self) -> DataFrame:
-        """Every failing row once per rule that caught it, as JSON, tagged with the rule."""
+    def failed_records(self, evened: bool = False) -> DataFrame:
+        """Every failing row once per rule that caught it, as JSON, tagged with the rule.
+
+        ``evened`` spreads the rows over tasks, for records that are written or parsed.
+        """
         frames = [rows.select("failed_row", F.explode("rules").alias("hit")).filter(F.col("hit").isNotNull())
-                  for rows in self._failing()]
+                  for rows in self._failing(evened)]
         if not frames:
             return self.df.sparkSession.createDataFrame([], RECORD_SCHEMA)
         return union(frames).select(*self._names(), "hit.*", "failed_row")
 
-    def failed_rows(self) -> DataFrame:
+    def failed_rows(self, evened: bool = False) -> DataFrame:
         """Every failing row as JSON with the list of the row checks that caught it (``rules``:
         ``rule_seq``, ``dqmethod``, ``col``).  Keyed checks find their rows one by one, so a row
         that they caught too occurs once more for each key."""
-        frames = list(self._failing())
+        frames = list(self._failing(evened))
         if not frames:
             return self.df.sparkSession.createDataFrame([], ROWS_SCHEMA)
         return union(frames).select(*self._names(), F.array_compact("rules").alias("rules"), "failed_row")
@@ -173,12 +193,13 @@ class TableRun:
         return [F.lit(self.run.run_id).alias("run_id"), F.lit(self.schema_name).alias("schema_name"),
                 F.lit(self.table_name).alias("table_name")]
 
-    def _failing(self) -> Iterable[DataFrame]:
+    def _failing(self, evened: bool = False) -> Iterable[DataFrame]:
         """Failing rows as JSON with their rules, null for those that did not catch them.
 
         One pass serves all row checks.  Keyed checks first find their failing keys,
         which runs a job each; see ``operators.joins``.
         """
+        spread = evened_out if evened else lambda found: found
         rows = [c for c in self.compiled if isinstance(c.check, RowCheck) and not c.runs_python()]
         for part in _passes(rows, self.df):
             fails = [c.check.fails(self.df.schema) for c in part]
@@ -186,7 +207,7 @@ class TableRun:
             # filter, JSON and explode compile into one stage.
             hits = F.array(*[F.when(failed, _tag(c)) for failed, c in zip(fails, part)])
             yield (
-                self.df.filter(reduce(lambda a, b: a | b, fails))
+                spread(self.df.filter(reduce(lambda a, b: a | b, fails)))
                 .withColumn("__json", row_json(self.df.columns))  # once per row, not per hit
                 .select(F.col("__json").alias("failed_row"), hits.alias("rules"))
             )
@@ -194,8 +215,8 @@ class TableRun:
         for same in _grouped(others):
             failing = self.failing_of(same[0])
             if failing is not None:
-                yield failing.select(row_json(self.df.columns).alias("failed_row"),
-                                     F.array(*[_tag(c) for c in same]).alias("rules"))
+                yield spread(failing).select(row_json(self.df.columns).alias("failed_row"),
+                                             F.array(*[_tag(c) for c in same]).alias("rules"))
 
     def failing_of(self, c: Compiled) -> DataFrame | None:
         """The failing rows of one rule, from stored facts where there are any."""

@@ -10,13 +10,8 @@ from plumbline.plans.pipeline import Outcome
 from plumbline.sources.failed_log import FOLDERS, MANIFEST_SCHEMA, flattened, meta_names, select_records
 
 
-def _evened_out(rows: DataFrame) -> DataFrame:
-    """Spread rows over tasks, for files of a sensible size and even parsing.
-
-    Failing rows are few in most input partitions and many in some; adaptive
-    execution merges the small ones and splits the large ones.
-    """
-    return rows.hint("rebalance")
+#: Lines say much over and over.  Files compressed so are read by one task each, hence their bound.
+_LINES = {"compression": "gzip", "maxRecordsPerFile": 1_000_000}
 
 
 def _tagged(records: DataFrame) -> DataFrame:
@@ -27,12 +22,13 @@ def _tagged(records: DataFrame) -> DataFrame:
 
 
 def write_log(records: DataFrame, path: str) -> None:
-    """Write failing rows as JSON lines, a folder per run, schema and table.
+    """Write failing rows as compressed JSON lines, a folder per run, schema and table.
 
-    Only the folders present in ``records`` are replaced, so a retry is harmless.
+    Records are written where they are: take them ``evened`` from a run.  Only the folders
+    present in ``records`` are replaced, so a retry is harmless.
     """
     (
-        _evened_out(_tagged(records)).write.mode("overwrite")
+        _tagged(records).write.mode("overwrite").options(**_LINES)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*FOLDERS)
         .json(path)
@@ -50,10 +46,10 @@ def log_outcome(outcome: Outcome, path: str) -> DataFrame:
     found = []
     for table in outcome.tables:
         counts = Observation()
-        rows = table.failed_rows().select("rules", "failed_row").observe(
+        rows = table.failed_rows(evened=True).select("rules", "failed_row").observe(
             counts, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("rules")), F.lit(0)).alias("records"))
         place = "/".join(f"{k}={_escaped(v)}" for k, v in zip(FOLDERS, (run, table.schema_name, table.table_name)))
-        _evened_out(rows).write.mode("overwrite").json(f"{path}/{place}")
+        rows.write.mode("overwrite").options(**_LINES).json(f"{path}/{place}")
         found.append((run, table.schema_name, table.table_name, counts.get["rows"], counts.get["records"]))
     manifest = spark.createDataFrame(found, MANIFEST_SCHEMA)
     manifest.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
@@ -84,7 +80,7 @@ def promote(records: DataFrame, table: str, row_schema: T.StructType, path: str,
         if len(schemas) > 1:
             raise RuleConfigError(f"'{table}' is in several schemas; name one of them")
     target = f"{path}/{schema_name + '.' if schema_name else ''}{table}_failed_rows"
-    rows = flattened(_evened_out(mine), row_schema)
+    rows = flattened(mine, row_schema)
     run = meta_names(row_schema)["run_id"]
     if run_id:
         _delete(records.sparkSession, f"{target}/{run}={_escaped(run_id)}")
@@ -107,7 +103,7 @@ def promote_to_table(records: DataFrame, table: str, row_schema: T.StructType, s
     """As ``promote``, into a table of the catalog.  A run's rows replace those it had there.
     ``schema_name`` is that of the checked table, ``schema`` that of the new one."""
     target = f"`{schema}`.`{table}_failed_rows`"
-    rows = flattened(_evened_out(select_records(records, table=table, schema=schema_name)), row_schema)
+    rows = flattened(select_records(records, table=table, schema=schema_name), row_schema)
     run = meta_names(row_schema)["run_id"]
     if not records.sparkSession.catalog.tableExists(target):
         rows.write.partitionBy(run).saveAsTable(target)
@@ -123,7 +119,7 @@ def export_csv(records: DataFrame, row_schema: T.StructType, path: str) -> None:
 
     Blanks are kept, quotes are doubled, and nested values are JSON text.
     """
-    rows = flattened(_evened_out(records), row_schema, meta_first=False)
+    rows = flattened(records, row_schema, meta_first=False)
     plain = [
         F.to_json(F.col(quoted(f.name)), TIMESTAMPS).alias(f.name)
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(quoted(f.name))

@@ -66,7 +66,7 @@ def failed_manifest(spark, sf):
 def failed_log_by_rule(spark, sf):
     """Written to the log and read back."""
     run, path = line_run(spark, sf), scratch(spark, "failed-log")
-    write_log(run.failed_records(), path)
+    write_log(run.failed_records(evened=True), path)
     part = F.get_json_object("failed_row", "$.l_partkey").cast("long")
     return log.read_log(spark, path).groupBy("run_id", "table_name", "rule_seq", "dqmethod", "col").agg(
         F.count(F.lit(1)).alias("n"), F.sum(part).alias("parts")
@@ -96,14 +96,14 @@ ORDER_RECORDS = "(" + "\nUNION ALL\n".join(
 ) + ") AS records"
 
 
-def _order_records(spark, sf):
+def _order_records(spark, sf, evened=False):
     df = damaged(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     rules = number_rules([
         Rule("EmptyEval", {"columns": ["o_orderpriority"]}, "orders", "public"),
         Rule("CategoricalValuesEval", {"column": "o_orderstatus", "allowed_values": ["F", "O"]}, "orders", "public"),
     ])
     run = compile_table(df, rules, Run.start(RUN_ID))
-    return df, run.failed_records()
+    return df, run.failed_records(evened)
 
 
 @query("failed_json", f"SELECT * FROM {ORDER_RECORDS}")
@@ -144,14 +144,14 @@ PROMOTED = "\nUNION ALL\n".join(
 @query("failed_flat", PROMOTED)
 def failed_flat(spark, sf):
     """Promoted to a table of its own, and read from there."""
-    df, records = _order_records(spark, sf)
+    df, records = _order_records(spark, sf, evened=True)
     target = promote(records, "orders", df.schema, scratch(spark, "promoted"), RUN_ID)
     return spark.read.parquet(target)
 
 
 @query("failed_csv", PROMOTED)
 def failed_csv(spark, sf):
-    df, records = _order_records(spark, sf)
+    df, records = _order_records(spark, sf, evened=True)
     path = scratch(spark, "export")
     export_csv(records, df.schema, path)
     schema = "o_orderkey long, o_orderstatus string, o_orderpriority string, dqmethod string, col string, run_id string"

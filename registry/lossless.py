@@ -27,7 +27,7 @@ def _promoted(spark, df, name, rules):
     run = compile_table(df, number_rules([Rule(m, c, name, "public") for m, c in rules]), Run.start(RUN_ID),
                         schema_name="public", table_name=name)
     path = scratch(spark, "log")
-    write_log(run.failed_records(), path)
+    write_log(run.failed_records(evened=True), path)
     target = promote(log.read_log(spark, path), name, df.schema, scratch(spark, "promoted"), RUN_ID)
     return spark.read.parquet(target).select("col", *df.columns)
 
@@ -61,7 +61,7 @@ def failed_csv_whole(spark, sf):
     df = table(spark, sf, "customer").withColumn("c_name", F.expr(AWKWARD.replace("chr(92)", "char(92)")))
     rules = number_rules([Rule("RangeEval", {"column": "c_acctbal", "min": 9000, "max": 1e9}, "customer")])
     path = scratch(spark, "csv")
-    export_csv(compile_table(df, rules).failed_records(), df.schema, path)
+    export_csv(compile_table(df, rules).failed_records(evened=True), df.schema, path)
     shape = df.schema.simpleString()[7:-1].replace(":", " ") + ", dqmethod string, col string, run_id string"
     return spark.read.options(**read_csv_options()).schema(shape).csv(path).drop("col", "run_id")
 

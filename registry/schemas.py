@@ -48,7 +48,7 @@ def failed_two_schemas(spark, sf):
     outcome, _ = _outcome(spark, sf)
     path = scratch(spark, "two-schemas")
     for table in outcome.tables:
-        write_log(table.failed_records(), path)
+        write_log(table.failed_records(evened=True), path)
     return _with_ids(log.read_log(spark, path))
 
 
@@ -86,7 +86,7 @@ def failed_promoted_schema(spark, sf):
     """Promoted twice: of a run with all rows, then of the same run again."""
     outcome, tables = _outcome(spark, sf)
     path = scratch(spark, "promoted")
-    records = outcome.failed_records()
+    records = outcome.failed_records(evened=True)
     for _ in range(2):
         target = promote(records, "customer", tables["archive"].schema, path, RUN_ID, schema_name="archive")
     return spark.read.parquet(target).select("dqmethod", "col", KEYS["archive"], "o_orderpriority", "o_totalprice")
