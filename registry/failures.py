@@ -36,8 +36,7 @@ RECORDS = f"({_records_sql()}) AS records"
 
 
 def _from_json(records, schema, shown=("run_id", "schema_name", "table_name", "rule_seq", "dqmethod", "col")):
-    # Failing rows are unevenly spread, and parsing costs more than moving them.
-    parsed = records.hint("rebalance").withColumn("r", F.from_json("failed_row", schema))
+    parsed = records.withColumn("r", F.from_json("failed_row", schema))
     values = [F.col(f"r.{c.strip()}") for c in COLUMNS.split(",")]
     return parsed.select(*shown, *values)
 
@@ -45,7 +44,7 @@ def _from_json(records, schema, shown=("run_id", "schema_name", "table_name", "r
 @query("failed_records", f"SELECT * FROM {RECORDS}")
 def failed_records(spark, sf):
     run = line_run(spark, sf)
-    return _from_json(run.failed_records(), run.df.schema)
+    return _from_json(run.failed_records(evened=True), run.df.schema)
 
 
 @query(
