@@ -166,7 +166,7 @@ def failed_csv(spark, sf):
 def drilldown_join(spark, sf):
     run = line_run(spark, sf)
     run = run.prepared()
-    joined = drill_down(stored_form(keep_last(run.results())), run.failed_records())
+    joined = drill_down(stored_form(keep_last(run.results())), run.failed_records(evened=True))
     shown = ("run_id", "table_name", "dqmethod", "col", "status", "failed_count")
     return _from_json(joined, run.df.schema, shown)
 

@@ -57,7 +57,7 @@ def _moved(df):
                 below += 1
 
 
-@pytest.mark.parametrize("name", ["failed_records"])
+@pytest.mark.parametrize("name", ["failed_records", "drilldown_join"])
 def test_failing_rows_are_not_moved_as_json(spark, tables, name):
     df = QUERIES[name](spark, tables)
     moved = list(_moved(df))
