@@ -103,14 +103,29 @@ def write_files(docs: DataFrame, path: str, files: str, *, end_id: int = 0,
         .mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{files}/blocks")
 
 
+def _lots(raw: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """The ids of documents, those of many short ones together: counting any number of ids
+    takes a pass over the vocabulary."""
+    lot: list[bytes] = []
+    held = 0
+    for x in raw:
+        lot.append(x)
+        held += len(x) // width
+        if held >= BLOCK_IDS:
+            yield np.frombuffer(b"".join(lot), f"<u{width}")
+            lot, held = [], 0
+    if lot:
+        yield np.frombuffer(b"".join(lot), f"<u{width}")
+
+
 def _ranks(ids: DataFrame, width: int) -> np.ndarray:
     """The ids that occur, the most frequent first, ties by id: bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(x, f"<u{width}"))
+            for ids in _lots(b.column(0).to_pylist(), width):
+                own = np.bincount(ids)
                 if len(own) > len(total):
                     total, own = own, total
                 total[:len(own)] += own
