@@ -31,14 +31,19 @@ from plumbline.session import shared_dir
 BLOCK_IDS = 1 << 18
 BLOCKS = "part int, block int, first long, doc_ids array<long>, sizes array<int>, control binary, data binary"
 
-_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.int64)
+#: The four lengths less one of a control byte, as bytes of one number.
+_CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8).view(np.uint32).reshape(-1)
 
 
-def _slots(sizes: np.ndarray) -> np.ndarray:
-    """Where each value's code lies, if every document of ``sizes`` values starts a control
+def _own(sizes: np.ndarray) -> np.ndarray:
+    """Which codes are those of values, if every document of ``sizes`` values starts a control
     byte."""
-    quads = -(-sizes // 4)
-    return np.repeat(4 * (np.cumsum(quads) - quads) - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    gaps = -sizes % 4
+    ends = np.cumsum(sizes + gaps)
+    own = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+    for k in (1, 2, 3):
+        own[ends[gaps >= k] - k] = False
+    return own
 
 
 def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
@@ -46,26 +51,31 @@ def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
     document's last control byte is filled up with lengths of one that have no data."""
     values = np.ascontiguousarray(values, "<u4")
     longer = (values > 0xFF).astype(np.uint8)
-    longer += values > 0xFFFF
-    longer += values > 0xFFFFFF
-    codes = np.zeros(4 * int((-(-sizes // 4)).sum()), np.uint8)
-    codes[_slots(sizes)] = longer
+    width = 1 + sum(int(values.max(initial=0)) >= 1 << 8 * k for k in (1, 2, 3))
+    for k in range(2, width):
+        longer += values >= 1 << 8 * k
+    own = _own(sizes)
+    codes = np.zeros(len(own), np.uint8)
+    codes[own] = longer
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    width = int(longer.max(initial=0)) + 1
-    data = values.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) <= longer[:, None]]
+    kept = np.ones((len(values), width), bool)
+    for k in range(1, width):
+        kept[:, k] = longer >= k
+    data = values.view(np.uint8).reshape(-1, 4)[:, :width].reshape(-1)[kept.reshape(-1)]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
     """The values of ``pack``."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[_slots(sizes)]
-    at = np.cumsum(lengths) - lengths
-    padded = np.frombuffer(data + b"\0\0\0", np.uint8)
-    values = padded[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        longer = np.flatnonzero(lengths > k)
-        values[longer] |= padded[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+    longer = _CODES[np.frombuffer(control, np.uint8)].view(np.uint8)[_own(sizes)]
+    at = np.arange(len(longer))
+    at[1:] += np.cumsum(longer[:-1], dtype=np.int64)
+    own = np.frombuffer(data, np.uint8)
+    values = own[at].astype(np.uint32)
+    for k in range(1, int(longer.max(initial=0)) + 1):
+        more = np.flatnonzero(longer >= k)
+        values[more] |= own[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return values
 
 
@@ -207,7 +217,7 @@ def _read(spark: SparkSession, files: str, value, kind: pa.DataType, column: str
 
 def read_digests(spark: SparkSession, files: str) -> DataFrame:
     """As ``read_files``, with ``ids_crc32`` instead of the ids."""
-    return _read(spark, files, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), pa.int64(), "ids_crc32 long")
+    return _read(spark, files, lambda ids: zlib.crc32(ids.astype("<u4", copy=False)), pa.int64(), "ids_crc32 long")
 
 
 def new_files(spark: SparkSession) -> str:

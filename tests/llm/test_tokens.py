@@ -10,8 +10,8 @@ import sentencepiece
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from plumbline.llm import bpe, token_counts, token_files
-from plumbline.llm._units import encoder
+from plumbline.llm import _units, bpe, token_counts, token_files
+from plumbline.llm._units import UnitEncoder, encoder
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 TEXTS = [None, "", " ", "a", "Hello, world", "  two  blanks ", "a\n\nb\n\n\nc\t d\r\n", "<|endoftext|> x<|startoftext|>y",
@@ -57,6 +57,34 @@ def test_units_give_the_librarys_ids(texts):
     assert own.counts(texts).tolist() == list(map(len, want))
 
 
+def test_a_word_is_asked_for_once_whatever_signs_follow(monkeypatch):
+    own, asked = UnitEncoder(BYTE), []
+    ask = own._library
+    monkeypatch.setattr(own, "_library", lambda texts: asked.extend(texts) or ask(texts))
+    texts = ["Of zyxwvut, zyxwvut. zyxwvut! zyxwvut", "No zyxwvut; ézyx... ézyx\nOf zyxwvut's (zyxwvut)"]
+    lib = library(BYTE)
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in own.encode(texts)] == want
+    words = " ".join(asked).split()
+    assert words.count("zyxwvut") == words.count("ézyx") == 1
+    assert not {"zyxwvut,", "zyxwvut.", "zyxwvut!", "zyxwvut;", "ézyx..."} & set(words)
+
+
+def test_units_over_slices_and_generations(monkeypatch):
+    monkeypatch.setattr(_units, "MAX_UNITS", 12)
+    monkeypatch.setattr(_units, "_SLICE", 40)
+    words = ["of", "of,", "Of.", "zu", "zu's", "'s,", "ñé!", "日本。", "日本.", "\x1cab", "\x1c", "x1.", "?!", "2,", "ªº:"]
+    blanks = [" ", "\n", " ", "\n\n", "  ", "\t", " ", "\u3000"]
+    texts = ["".join(words[(k * k + j * (k + 3)) % len(words)] + blanks[(k + j * j) % (3 if k % 2 else len(blanks))]
+                     for j in range(k % 9)).strip(" " if k % 3 else "") + "z" * (k % 2) for k in range(120)]
+    texts[7] += "<|endoftext|>"
+    own, lib = UnitEncoder(BYTE), library(BYTE)
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in own.encode(texts)] == want
+    assert own.old is not own.young
+    assert own.counts(texts).tolist() == list(map(len, want))
+
+
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=9), min_size=1, max_size=6))
 def test_packing(documents_of_values):
     sizes = np.array(list(map(len, documents_of_values)), np.int64)
